@@ -111,7 +111,7 @@ def columns_wide(cells: DataFrame, keys: list[str], by: str, categories: list, p
 def band_layout(shape: Column) -> Column:
     """How a raster of this shape splits: bands first, bands last, pages or flat."""
     def side(i: int) -> Column:
-        return F.element_at(shape, i)
+        return F.try_element_at(shape, F.lit(i))
 
     first = side(1).isin(BAND_COUNTS) & (side(1) < side(2)) & (side(1) < side(3))
     last = side(3).isin(BAND_COUNTS) & (side(3) < side(1)) & (side(3) < side(2))
@@ -124,44 +124,39 @@ def band_layout(shape: Column) -> Column:
     )
 
 
-def split_bands(cells: DataFrame, shape: Column) -> DataFrame:
-    """``page, band, band_pos`` (1-based page and band) of every raster cell.
+def band_plan(rasters: DataFrame, shape: str = "shape") -> DataFrame:
+    """Add to a table with one row per raster what :func:`split_bands` needs per cell.
 
-    Pages of a stack are laid out by the same rule as single images: a page whose first
-    or last axis is a band axis splits into bands, any other page is one flat column,
-    reported as band 0.
+    ``page_cells`` (cells of one page), ``layout`` of a page, and ``plane``: cells of one
+    band when bands come first, number of bands when they come last.  Pages of a stack
+    follow the same rule as single images; a page without a band axis is flat.
     """
-    pos = F.col("pos").cast("bigint")
-
-    def side(s: Column, i: int) -> Column:
-        return F.element_at(s, i)
-
-    def within(s: Column, layout: Column, p: Column) -> tuple[Column, Column]:
-        plane = side(s, 2) * side(s, 3)
-        band = (
-            F.when(layout == "single", F.lit(1).cast("bigint"))
-            .when(layout == "bands_first", F.floor(p / plane) + 1)
-            .when(layout == "bands_last", p % side(s, 3) + 1)
-            .otherwise(F.lit(0).cast("bigint"))
-        )
-        at = (
-            F.when(layout == "bands_first", p % plane)
-            .when(layout == "bands_last", F.floor(p / side(s, 3)))
-            .otherwise(p)
-        )
-        return band, at
-
-    layout = band_layout(shape)
-    stacked = layout == "pages"
-    page_shape = F.when(stacked, F.slice(shape, F.lit(2), F.size(shape) - 1)).otherwise(shape)
-    inner = F.when(band_layout(page_shape) == "pages", "flat").otherwise(band_layout(page_shape))
-    page_cells = cells_of_shape(page_shape)
-    band, at = within(page_shape, inner, F.when(stacked, pos % page_cells).otherwise(pos))
-    return cells.withColumns({
-        "page": F.when(stacked, F.floor(pos / page_cells) + 1).otherwise(F.lit(1).cast("bigint")),
-        "band": band,
-        "band_pos": at.cast("bigint"),
-    })
+    planned = rasters.withColumn("_layout", band_layout(F.col(shape)))
+    page = F.when(F.col("_layout") == "pages", F.slice(shape, F.lit(2), F.size(shape) - 1)).otherwise(F.col(shape))
+    planned = planned.withColumn("_page", page).withColumn("_inner", band_layout(F.col("_page")))
+    planned = planned.withColumn("layout", F.when(F.col("_inner") == "pages", "flat").otherwise(F.col("_inner")))
+    last_two = F.try_element_at("_page", F.lit(2)) * F.try_element_at("_page", F.lit(3))
+    return planned.withColumns({
+        "page_cells": cells_of_shape(F.col("_page")),
+        "plane": F.when(F.col("layout") == "bands_first", last_two)
+        .when(F.col("layout") == "bands_last", F.element_at("_page", -1)).otherwise(F.lit(1)),
+    }).drop("_layout", "_page", "_inner")
+
+
+def split_bands(cells: DataFrame) -> DataFrame:
+    """``page, band, band_pos`` of every cell of a planned raster.
+
+    Pages and bands count from 1; a page that is one flat column has band 0.  Only
+    integer arithmetic happens per cell, the layout was decided per raster.
+    """
+    within = F.expr("CAST(pos % page_cells AS BIGINT)")
+    placed = cells.withColumns({"page": F.expr("CAST(pos div page_cells AS BIGINT) + 1"), "_within": within})
+    return placed.withColumns({
+        "band": F.expr("""CASE layout WHEN 'single' THEN 1L WHEN 'bands_first' THEN _within div plane + 1
+            WHEN 'bands_last' THEN _within % plane + 1 ELSE 0L END"""),
+        "band_pos": F.expr("""CASE layout WHEN 'bands_first' THEN _within % plane
+            WHEN 'bands_last' THEN _within div plane ELSE _within END"""),
+    }).drop("_within")
 
 
 def fill_value(attrs: Column) -> Column:

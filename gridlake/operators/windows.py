@@ -241,7 +241,10 @@ def exact_quantiles(df, keys, value, points: dict[str, float], max_group=None, c
     """
     known = df.where(F.col(value).isNotNull())
     if _plain(known, keys, max_group):
-        return known.groupBy(*keys).agg(*[F.percentile(value, q).alias(name) for name, q in points.items()])
+        # one buffer for all points
+        all_points = F.percentile(value, F.array(*[F.lit(float(q)) for q in points.values()]))
+        found = known.groupBy(*keys).agg(all_points.alias("_all"))
+        return found.select(*keys, *[F.col("_all")[i].alias(name) for i, name in enumerate(points)])
     indexed = number_chunks(known.select(*keys, value), keys, [value], chunk_rows)
     spans = _group_spans(indexed, keys)
     wanted = spans.withColumn("_q", F.explode(F.array(*[

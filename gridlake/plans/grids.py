@@ -76,24 +76,28 @@ def _shaped(spark, sf_dir):
     for label, sides in SHAPES.items():
         literal = F.array(*[F.lit(s).cast("bigint") for s in sides])
         shape = F.when(F.col("label") == label, literal).otherwise(shape)
-    shaped = cells(spark, sf_dir).withColumn("shape", shape)
-    return shaped.where(F.col("pos") < arrays.cells_of_shape(F.col("shape")))
+    rasters = table(spark, sf_dir, "embeddings").withColumn("shape", shape)
+    planned = arrays.band_plan(rasters).withColumn("n", arrays.cells_of_shape(F.col("shape")))
+    spread = planned.select(
+        "vec_id", "label", "page_cells", "layout", "plane", "n", F.posexplode("embedding").alias("pos", "value")
+    )
+    return spread.where(F.col("pos") < F.col("n"))
 
 
 def raster_bands(spark, sf_dir):
-    split = arrays.split_bands(_shaped(spark, sf_dir), F.col("shape"))
+    split = arrays.split_bands(_shaped(spark, sf_dir))
     return split.select("vec_id", F.col("pos").cast("bigint").alias("pos"), "page", "band", "band_pos")
 
 
 def raster_count(spark, sf_dir):
-    split = arrays.split_bands(_shaped(spark, sf_dir), F.col("shape"))
+    split = arrays.split_bands(_shaped(spark, sf_dir))
     sizes = split.groupBy("vec_id", "page", "band").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("vec_id").agg(F.max("n").alias("total_rows"))
 
 
 def raster_sample(spark, sf_dir):
     """First page, first values of each band, padded."""
-    split = arrays.split_bands(_shaped(spark, sf_dir), F.col("shape")).where("page = 1")
+    split = arrays.split_bands(_shaped(spark, sf_dir)).where("page = 1")
     banded = split.select("vec_id", "band", F.col("band_pos").alias("pos"), "value")
     sample = arrays.sample(banded, ["vec_id", "band"], F.lit(1_000_000), F.lit(FILL))
     return sample.select("vec_id", "band", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))

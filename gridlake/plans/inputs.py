@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridlake.frame import Frame
+from gridlake.functions.text import ratio
 from gridlake.sources.tables import read_parquet
 
 ROOT = "/storage/dataset"
@@ -127,7 +128,7 @@ def bench_runs(spark, sf_dir) -> DataFrame:
         F.col("l_tax").alias("connect_time"),
         F.col("l_quantity").alias("total_time"),
         F.col("l_extendedprice").alias("throughput_mbps"),
-        (F.col("l_extendedprice") / F.col("l_quantity")).alias("rows_per_sec"),
+        ratio(F.col("l_extendedprice"), F.col("l_quantity")).alias("rows_per_sec"),
         F.col("l_discount").alias("memory_change_mb"),
         F.col("l_linenumber").cast("double").alias("file_size_mb"),
     )

@@ -83,8 +83,8 @@ def _sql(table_name: str, query: str):
 
 STRINGS = """SELECT p_partkey, upper(p_name) AS up, substring(p_name, 2, 4) AS sub,
   regexp_replace(p_name, '[aeiou]', '*') AS masked, lpad(p_brand, 12, '.') AS padded,
-  split_part(p_name, ' ', 1) AS first_word, length(trim(p_name)) AS n, replace(p_type, 'E', 'e') AS swapped,
-  reverse(p_brand) AS back, concat(p_brand, '/', p_type) AS joined, position('i' IN p_name) AS at,
+  split_part(p_name, ' ', 1) AS first_word, CAST(length(trim(p_name)) AS BIGINT) AS n, replace(p_type, 'E', 'e') AS swapped,
+  reverse(p_brand) AS back, concat(p_brand, '/', p_type) AS joined, CAST(position('i' IN p_name) AS BIGINT) AS at,
   p_name ILIKE '%RING%' AS is_ring, left(p_name, 3) AS l3, right(p_name, 3) AS r3, repeat('x', p_size % 4) AS rep,
   translate(p_brand, '#', '-') AS dashed, starts_with(p_name, 'red') AS is_red FROM {t}"""
 
