@@ -43,9 +43,12 @@ def frame_profile(df: DataFrame) -> DataFrame:
     )
 
 
-def sample_summary(frame, rows: int = 10) -> DataFrame:
-    """Per column: type, the first ``rows`` values as text (NaN as ``NaN``) and the row count."""
-    first = frame.limit(rows).indexed() if frame.order else frame
+def sample_summary(frame, rows: int = 10, total: DataFrame | None = None) -> DataFrame:
+    """Per column: type, the first ``rows`` values as text (NaN as ``NaN``) and the row count.
+
+    ``total`` is a one-row, one-column count to show instead of the frame's own.
+    """
+    first = frame.limit(rows).indexed()
     names = frame.column_names
     as_text = []
     for name in names:
@@ -61,7 +64,8 @@ def sample_summary(frame, rows: int = 10) -> DataFrame:
     types = F.create_map(*[
         F.lit(x) for f in frame.schema.fields for x in (f.name, f.dataType.simpleString())
     ])
-    total = frame.df.agg(F.count(F.lit(1)).alias("total_count"))
+    if total is None:
+        total = frame.df.agg(F.count(F.lit(1)).alias("total_count"))
     typed = lists.select("column", types[F.col("column")].alias("type"), "values")
     return typed.withColumn("total_count", total.scalar())
 

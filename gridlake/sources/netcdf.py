@@ -202,12 +202,50 @@ def read_cells(spark: SparkSession, path: str, variables: list[str] | None = Non
     if variables is not None:
         meta = meta.where(F.col("var").isin(variables))
 
+    return _read_plan(range_plan(meta, range_bytes).repartition("file", "var", "row0", "byte0"))
+
+
+def _read_plan(plan: DataFrame) -> DataFrame:
     def read(batches):
         for batch in batches:
             for r in batch.to_pylist():
                 yield from _cell_batches(r)
 
-    return range_plan(meta, range_bytes).repartition("file", "var", "row0", "byte0").mapInArrow(read, CELL)
+    return plan.mapInArrow(read, CELL)
+
+
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the flattened file, from its header."""
+    return arrays.row_counts(var_meta(spark, path)).select("total_rows")
+
+
+def sample_frame(spark: SparkSession, path: str) -> Frame:
+    """The first twenty values of each variable as columns, read as a few bytes each.
+
+    At most ten slices along the first axis count; shorter variables are padded with
+    their fill value, or NaN.
+    """
+    meta = var_meta(spark, path).where("dtype <> 'char'").withColumn("_inner", arrays.inner_cells(F.col("shape")))
+    item = F.expr("row_bytes div _inner")
+    rows = F.least(
+        F.lit(arrays.SAMPLE_SLICES), F.element_at("shape", 1), F.ceil(F.lit(arrays.SAMPLE_VALUES) / F.col("_inner"))
+    )
+    head = meta.where((F.col("_inner") > 0) & (F.element_at("shape", 1) > 0)).select(
+        "file", "var", "dtype", "begin", "row_bytes", "stride", F.lit(0).cast("bigint").alias("row0"),
+        rows.cast("bigint").alias("n_rows"), F.lit(0).cast("bigint").alias("byte0"),
+        F.when(rows > 1, F.col("row_bytes"))
+        .otherwise(F.least(F.col("row_bytes"), item * arrays.SAMPLE_VALUES)).alias("n_bytes"),
+    )
+    cells = _read_plan(head).where(F.col("pos") < arrays.SAMPLE_VALUES)
+    # one row per variable of one file
+    pads = meta.select("var", F.coalesce("fill", F.lit(float("nan"))).alias("pad"))
+    places = pads.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(arrays.SAMPLE_VALUES - 1))).cast("bigint"))
+    padded = places.join(cells.select("var", "pos", "value"), ["var", "pos"], "left").select(
+        "var", "pos", F.coalesce("value", "pad").alias("value")
+    )
+    names = sorted(r[0] for r in meta.select("var").distinct().collect())
+    wide = arrays.columns_wide(padded, [], "var", names)
+    return Frame(wide.withColumnRenamed("pos", ROW), dense=True)
 
 
 def open_cells(spark: SparkSession, path: str, variables: list[str] | None = None) -> Frame:

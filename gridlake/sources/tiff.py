@@ -115,12 +115,34 @@ def page_meta(spark: SparkSession, path: str) -> DataFrame:
         .when(F.col("planar") == 2, bands_first).otherwise(bands_last)
     )
     return strip_plan(spark, path).where("first = 0").select(
-        "file", "page", shape.alias("shape"), "dtype", F.col("samples").alias("bands")
+        "file", "page", shape.alias("shape"), "dtype", F.col("samples").alias("bands"), "height", "width"
     )
 
 
+def count_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Pixels of the largest band of the file, from its directories."""
+    return page_meta(spark, path).agg(F.max(F.col("height") * F.col("width")).alias("total_rows"))
+
+
+def sample_frame(spark: SparkSession, path: str) -> Frame:
+    """The first twenty pixels of each band of the first page, padded with NaN."""
+    plan = strip_plan(spark, path).where("page = 1")
+    near = (F.col("planar") == 2) | (F.col("first") < F.col("samples") * arrays.SAMPLE_VALUES)
+    cells = _read_plan(plan.where(near))
+    bands = plan.agg(F.max("samples")).first()[0]
+    names = [f"page1_band{b + 1}" for b in range(bands)]
+    sample = arrays.sample(cells, ["band"], F.lit(arrays.SAMPLE_VALUES), F.lit(float("nan")))
+    named = sample.withColumn("column", F.concat(F.lit("page1_band"), F.col("band").cast("string")))
+    wide = arrays.columns_wide(named, [], "column", names)
+    return Frame(wide.withColumnRenamed("pos", ROW), dense=True)
+
+
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """``file, page, band, pos, value`` of every pixel; pages and bands count from 1."""
+    return _read_plan(strip_plan(spark, path).repartition("file", "page", "first"))
+
+
+def _read_plan(plan: DataFrame) -> DataFrame:
 
     def read(batches):
         for batch in batches:
@@ -143,7 +165,7 @@ def read_cells(spark: SparkSession, path: str) -> DataFrame:
                         pa.array(data[cut].astype("f8")),
                     ], ["file", "page", "band", "pos", "value"])
 
-    return strip_plan(spark, path).repartition("file", "page", "first").mapInArrow(read, CELL)
+    return plan.mapInArrow(read, CELL)
 
 
 def open_cells(spark: SparkSession, path: str) -> Frame:
