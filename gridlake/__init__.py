@@ -1,7 +1,14 @@
 """gridlake: table, catalogue and gridded-array analytics on PySpark."""
 
-from gridlake.frame import Frame
-from gridlake.session import session
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel with their code, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from gridlake.frame import Frame  # noqa: E402
+from gridlake.session import session  # noqa: E402
 
 __all__ = ["Frame", "session", "open_frame"]
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import fnmatch
 import posixpath
-from urllib.parse import unquote, urlsplit
+import re
 
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,44 +14,86 @@ from pyspark.sql import functions as F
 # The columns of a directory frame, in order.
 DIRECTORY_COLUMNS = ["name", "path", "suffix", "type", "size", "time", "blob"]
 
+LISTING = "path string, length bigint, modificationTime timestamp"
+
+
+def locate(path: str):
+    """The Arrow file system of a path or URI, the path inside it, and what precedes it."""
+    local = re.match(r"^(?:file:(?://)?)?(?=/)", path)
+    if local or "://" not in path:
+        return pafs.LocalFileSystem(), path[local.end():] if local else path, ""
+    system, inner = pafs.FileSystem.from_uri(path)
+    return system, inner, path[: len(path) - len(inner)] if path.endswith(inner) else ""
+
 
 def open_input(path: str):
     """A random-access file for a plain path or a URI of any Arrow file system."""
-    if path.startswith("file:") or "://" not in path:
-        return pafs.LocalFileSystem().open_input_file(unquote(urlsplit(path).path) if path.startswith("file:") else path)
-    system, inner = pafs.FileSystem.from_uri(path)
+    system, inner, _ = locate(path)
     return system.open_input_file(inner)
 
 
 def open_output(path: str):
     """A new file for a plain path or URI, creating its folder."""
-    if path.startswith("file:") or "://" not in path:
-        system, inner = pafs.LocalFileSystem(), unquote(urlsplit(path).path) if path.startswith("file:") else path
-    else:
-        system, inner = pafs.FileSystem.from_uri(path)
+    system, inner, _ = locate(path)
     system.create_dir(posixpath.dirname(inner), recursive=True)
     return system.open_output_stream(inner)
 
 
 def rename(source: str, target: str) -> None:
     """Move a finished file into place, replacing what an earlier attempt left."""
-    if source.startswith("file:") or "://" not in source:
-        system = pafs.LocalFileSystem()
-        inner = [unquote(urlsplit(p).path) if p.startswith("file:") else p for p in (source, target)]
-    else:
-        system, first = pafs.FileSystem.from_uri(source)
-        inner = [first, pafs.FileSystem.from_uri(target)[1]]
-    system.move(*inner)
+    system, inner, _ = locate(source)
+    system.move(inner, locate(target)[1])
+
+
+def _hidden(name: str) -> bool:
+    # as everywhere in Spark: markers, checksums and unfinished files
+    return name.startswith((".", "_"))
+
+
+def _listing_batch(entries: list, prefix: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        pa.array([prefix + e.path for e in entries], pa.string()),
+        pa.array([e.size for e in entries], pa.int64()),
+        pa.array([(e.mtime_ns or 0) // 1000 for e in entries], pa.int64()).cast(pa.timestamp("us", "UTC")),
+    ], ["path", "length", "modificationTime"])
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """All files below a folder (``path, length, modificationTime``); contents are not read."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(folder).select("path", "length", "modificationTime").where(
-        ~F.col("path").endswith("/.DS_Store")
-    )
+    """All files at or below a path (``path, length, modificationTime``), empty ones too.
+
+    The driver lists the first level only; the folders found there are walked by the
+    tasks, one folder at a time.  Names starting with a dot or underscore are hidden.
+    """
+    system, inner, prefix = locate(folder)
+    top = system.get_file_info(inner)
+    if top.type == pafs.FileType.NotFound:
+        raise FileNotFoundError(folder)
+    entries = [top] if top.is_file else system.get_file_info(pafs.FileSelector(inner))
+    shown = [(prefix + e.path, not e.is_file) for e in entries if not _hidden(posixpath.basename(e.path))]
+
+    def wanted(path: str) -> bool:
+        return pattern is None or any(
+            fnmatch.fnmatch(posixpath.basename(path).lower(), p) for p in pattern.split("|")
+        )
+
+    def walk(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                system, start, prefix = locate(row["path"])
+                if not row["is_folder"]:
+                    if wanted(start):
+                        yield _listing_batch([system.get_file_info(start)], prefix)
+                    continue
+                folders = [start]
+                while folders:
+                    here = system.get_file_info(pafs.FileSelector(folders.pop()))
+                    here = [e for e in here if not _hidden(posixpath.basename(e.path))]
+                    folders += [e.path for e in here if not e.is_file]
+                    yield _listing_batch([e for e in here if e.is_file and wanted(e.path)], prefix)
+
+    tops = spark.createDataFrame(shown, "path string, is_folder boolean")
+    spread = tops.repartition(max(1, min(len(shown), 4 * spark.sparkContext.defaultParallelism)))
+    return spread.mapInArrow(walk, LISTING)
 
 
 def relative_to(path: Column, root: str) -> Column:
@@ -61,8 +105,7 @@ def relative_to(path: Column, root: str) -> Column:
 
 def folder_listing(spark: SparkSession, root: str) -> DataFrame:
     """Files below a storage root with their dataset, the first folder under the root."""
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    files = list_files(spark, root).withColumn("relative_path", relative_to(plain, root))
+    files = list_files(spark, root).withColumn("relative_path", relative_to(F.col("path"), root))
     return files.withColumn("dataset", F.split("relative_path", "/")[1])
 
 

@@ -239,7 +239,8 @@ def sample_frame(spark: SparkSession, path: str) -> Frame:
     cells = _read_plan(head).where(F.col("pos") < arrays.SAMPLE_VALUES)
     # one row per variable of one file
     pads = meta.select("var", F.coalesce("fill", F.lit(float("nan"))).alias("pad"))
-    places = pads.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(arrays.SAMPLE_VALUES - 1))).cast("bigint"))
+    first, last = (F.lit(i).cast("bigint") for i in (0, arrays.SAMPLE_VALUES - 1))
+    places = pads.withColumn("pos", F.explode(F.sequence(first, last)))
     padded = places.join(cells.select("var", "pos", "value"), ["var", "pos"], "left").select(
         "var", "pos", F.coalesce("value", "pad").alias("value")
     )

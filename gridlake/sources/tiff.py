@@ -91,7 +91,7 @@ def read_strips(source) -> list[dict]:
 
 def strip_plan(spark: SparkSession, path: str) -> DataFrame:
     """One row per strip of every TIFF file at or below ``path``; directories only."""
-    files = list_files(spark, path, "*.{tif,tiff}").select("path").repartition("path")
+    files = list_files(spark, path, "*.tif|*.tiff").select("path").repartition("path")
     arrow = to_arrow_schema(T._parse_datatype_string(STRIP))
 
     def read(batches):
