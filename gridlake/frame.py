@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gridlake.functions import nulls
 from gridlake.functions.expressions import predicate
-from gridlake.operators import profile, reshape, udf
+from gridlake.operators import joins, profile, reshape, udf
 from gridlake.operators.rowindex import ROW, densify, sort_index
 
 SMALL_LIMIT = 100_000  # above this, limits use row positions instead of one merging task
@@ -198,7 +198,7 @@ class Frame:
     def column(self, name: str) -> list:
         """All values of one column in row order: an export to the driver, size it first."""
         self._require(name)
-        return [r[0] for r in self.select(name).ordered.toLocalIterator(prefetchPartitions=True)]
+        return [v for batch in self.select(name).get_stream() for v in batch.column(0).to_pylist()]
 
     def get_stream(self, max_chunksize: int = 1000) -> Iterator[pa.RecordBatch]:
         from gridlake.streaming.chunks import stream_batches
@@ -297,7 +297,7 @@ class Frame:
         return Frame(run_sql(self.data, text), order=[])
 
     def merge(self, other: "Frame", on: str | list[str], how: str = "inner") -> "Frame":
-        return Frame(self.data.join(other.data, on, how), order=[])
+        return Frame(joins.merge(self.data, other.data, on, how), order=[])
 
     join = merge
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from gridlake.functions import text
 from gridlake.operators.rowindex import ROW, sort_index
-from gridlake.operators.windows import number_chunks
+from gridlake.operators.windows import row_numbers
 from gridlake.sources.files import relative_to
 
 FILES_PER_PAGE = 50_000
@@ -33,15 +33,11 @@ def with_uri(files: DataFrame, root: str, dataset_uri: Column) -> DataFrame:
 def list_files(dataset_file, root: str, uri_prefix: str, limit: int = FILES_PER_PAGE) -> DataFrame:
     """All datasets' listable files with the page of the dataset listing they are on.
 
-    Pages follow the path order.  Positions come from one range-partitioned sort over
-    all datasets, so a dataset with very many files is no single task.
+    Pages follow the path order.
     """
     files = with_uri(listable(dataset_file), root, F.concat(F.lit(uri_prefix), F.col("datasetId")))
-    numbered = number_chunks(files, ["datasetId"], ["path"])
-    first = numbered.groupBy("datasetId").agg(F.min(ROW).alias("_first"))
-    position = F.col(ROW) - F.col("_first")
-    paged = numbered.join(first, "datasetId")
-    return paged.withColumn("page", F.floor(position / limit) + 1).drop(ROW, "_chunk", "_first")
+    numbered = row_numbers(files, ["datasetId"], ["path"], "_at")
+    return numbered.withColumn("page", F.floor((F.col("_at") - 1) / limit) + 1).drop("_at")
 
 
 def file_counts(dataset_file: DataFrame, limit: int = FILES_PER_PAGE) -> DataFrame:

@@ -12,6 +12,24 @@ from pyspark.sql import functions as F
 from gridlake.operators import windows
 
 
+def merge(left, right, on: str | list[str], how: str = "inner", max_group=None) -> DataFrame:
+    """Equi-join on shared columns: inner, left, right, full, semi or anti.
+
+    Spark splits a hot key of the left side in inner and left joins only.  So semi and
+    anti joins see distinct right keys, and a right or full join over a huge key group
+    is an inner or left join plus the right rows without a partner.
+    """
+    keys = [on] if isinstance(on, str) else list(on)
+    if how in ("semi", "anti", "left_semi", "left_anti"):
+        return left.join(right.select(*keys).distinct(), keys, how)
+    biggest = windows.MAX_GROUP_ROWS if max_group is None else max_group
+    if how not in ("right", "full") or windows.largest_group(left, keys) <= biggest:
+        return left.join(right, keys, how)
+    matched = left.join(right, keys, "inner" if how == "right" else "left")
+    alone = right.join(left.select(*keys).distinct(), keys, "left_anti")
+    return matched.unionByName(alone, allowMissingColumns=True)
+
+
 def asof_join(left, right, keys, left_on, right_on, values, max_group=None, chunk_rows=windows.CHUNK_ROWS):
     """Each left row with the ``values`` of the latest right row at or before it.
 

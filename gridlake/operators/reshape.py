@@ -28,6 +28,16 @@ def concat_rows(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def intersect_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows in both; duplicates go before the shuffle, so repeated rows are no skew."""
+    return a.distinct().intersect(b.distinct())
+
+
+def subtract_rows(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct rows of the first that the second lacks."""
+    return a.distinct().subtract(b.distinct())
+
+
 def aggregate_column(df: DataFrame, column: str, how: str) -> Column:
     """An aggregate by name with the missing-value rules of the frame verbs."""
     present = F.when(~nulls.missing_in(df, column), F.col(f"`{column}`"))

@@ -33,7 +33,8 @@ def scan_index(df: DataFrame, name: str = ROW) -> DataFrame:
     offsets = sizes.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     if len(files) <= MAX_BROADCAST_FILES:
         offsets = F.broadcast(offsets)
-    joined = located.join(offsets, "_file")
+    # a left join on a unique key: it vanishes from plans that never use the position
+    joined = located.join(offsets, "_file", "left")
     return joined.select(*df.columns, (F.col("_offset") + F.col("_pos")).alias(name))
 
 
@@ -54,7 +55,7 @@ def line_index(df: DataFrame, file: Column, block: Column, name: str = ROW) -> D
     offsets = sizes.select(
         "_file", "_block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift")
     )
-    joined = located.join(offsets, ["_file", "_block"])
+    joined = located.join(offsets, ["_file", "_block"], "left")
     return joined.select(*df.columns, (F.col("_id") + F.col("_shift")).alias(name))
 
 

@@ -86,6 +86,16 @@ def ranking(df, keys, order, peers, tiles=4, max_group=None, chunk_rows=CHUNK_RO
     )
 
 
+def row_numbers(df, keys, order, name="row_number", max_group=None, chunk_rows=CHUNK_ROWS) -> DataFrame:
+    """The 1-based position of each row in its group."""
+    if _plain(df, keys, max_group):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
+    indexed = number_chunks(df, keys, order, chunk_rows)
+    first = indexed.groupBy(*keys).agg(F.min(ROW).alias("_first"))
+    numbered = indexed.join(first, keys)
+    return numbered.select(*df.columns, (F.col(ROW) - F.col("_first") + 1).alias(name))
+
+
 def neighbours(df, keys, order, column, steps: dict[str, int], max_group=None, chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Values of ``column`` a given number of rows away in the group (negative: before)."""
     if _plain(df, keys, max_group):
@@ -112,7 +122,7 @@ def edge_values(df, keys, order, column, nth: int = 2) -> DataFrame:
     Plain aggregates, combined on the map side, so group size does not matter; the n-th
     row is found with a row-number limit that Spark applies before the shuffle.
     """
-    at = F.struct(*order)
+    at = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     edges = df.groupBy(*keys).agg(
         F.min_by(column, at).alias("first_value"),
         F.max_by(column, at).alias("last_value"),

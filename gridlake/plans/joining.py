@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlake.frame import Frame
 from gridlake.operators import joins, reports, windows
 from gridlake.plans.inputs import BENCH_RUNS_SQL, bench_runs, frame, table
 
@@ -37,23 +38,23 @@ def _merge_sql(how: str) -> str:
 
 def join_semi(spark, sf_dir):
     dear = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
-    customers = table(spark, sf_dir, "customer")
-    return customers.join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return joins.merge(customers, dear.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "semi")
 
 
 def join_anti(spark, sf_dir):
     dear = table(spark, sf_dir, "orders").where("o_totalprice > 400000")
-    customers = table(spark, sf_dir, "customer")
-    return customers.join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return joins.merge(customers, dear.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "anti")
 
 
 def join_self(spark, sf_dir):
-    """Each order with the customer's next one, through a row-number self-join."""
-    return frame(spark, sf_dir, "orders").sql("""
-      WITH numbered AS (SELECT o_orderkey, o_custkey, o_totalprice,
-          row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS k FROM dataframe)
+    """Each order with the customer's next one; the join keys are unique, so no key is hot."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+    numbered = windows.row_numbers(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"], "k").drop("o_orderdate")
+    return Frame(numbered).sql("""
       SELECT a.o_orderkey, b.o_orderkey AS next_order, round(b.o_totalprice - a.o_totalprice, 2) AS change
-      FROM numbered a JOIN numbered b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1""").data
+      FROM dataframe a JOIN dataframe b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1""").data
 
 
 def join_theta(spark, sf_dir):

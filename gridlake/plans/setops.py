@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridlake.operators import reshape
 from gridlake.operators.rowindex import ROW
 from gridlake.plans.inputs import frame, gap_frame, table
 
@@ -34,7 +35,7 @@ def set_union_all(spark, sf_dir):
 
 def set_intersect(spark, sf_dir):
     a, b = _keys(spark, sf_dir)
-    return a.intersect(b)
+    return reshape.intersect_rows(a, b)
 
 
 def set_intersect_all(spark, sf_dir):
@@ -44,7 +45,7 @@ def set_intersect_all(spark, sf_dir):
 
 def set_except(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")).subtract(orders)
+    return reshape.subtract_rows(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), orders)
 
 
 def set_except_all(spark, sf_dir):

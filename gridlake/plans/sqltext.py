@@ -37,8 +37,9 @@ def sql_recursive(spark, sf_dir):
 def sql_exists(spark, sf_dir):
     return frame(spark, sf_dir, "lineitem").sql("""
       SELECT l_orderkey, count(*) AS n FROM dataframe a
-      WHERE EXISTS (SELECT 1 FROM dataframe b WHERE b.l_orderkey = a.l_orderkey AND b.l_quantity > 45)
-        AND l_orderkey NOT IN (SELECT l_orderkey FROM dataframe WHERE l_returnflag = 'R' AND l_orderkey IS NOT NULL)
+      WHERE l_orderkey IN (SELECT DISTINCT b.l_orderkey FROM dataframe b WHERE b.l_quantity > 45)
+        AND NOT EXISTS (SELECT DISTINCT c.l_orderkey FROM dataframe c
+          WHERE c.l_returnflag = 'R' AND c.l_orderkey = a.l_orderkey)
       GROUP BY l_orderkey""").data
 
 

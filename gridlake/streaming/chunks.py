@@ -26,21 +26,31 @@ def chunk_sizes(frame, rows: int = ROWS_PER_CHUNK) -> DataFrame:
 
 
 def stream_batches(frame, rows: int = ROWS_PER_CHUNK) -> Iterator[pa.RecordBatch]:
-    """Record batches of at most ``rows`` rows in row order.
+    """Record batches of ``rows`` rows (the last one shorter) in row order.
 
-    Partitions come to the driver one after the other while the next is prefetched;
-    only one partition and one batch are held at a time.
+    Tasks hand over Arrow messages; the driver holds one partition at a time while the
+    next is prefetched, and cuts the batches to size.
     """
-    ordered = frame.ordered
-    schema = ordered.limit(0).toArrow().schema
-    pending: list = []
-    for row in ordered.toLocalIterator(prefetchPartitions=True):
-        pending.append(row.asDict(recursive=True))
-        if len(pending) == rows:
-            yield pa.RecordBatch.from_pylist(pending, schema=schema)
-            pending = []
-    if pending:
-        yield pa.RecordBatch.from_pylist(pending, schema=schema)
+
+    def pack(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_pydict({"message": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
+
+    held: list = []
+    for row in frame.ordered.mapInArrow(pack, "message binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(row["message"]).read_all())
+        if sum(t.num_rows for t in held) < rows:
+            continue
+        table = pa.concat_tables(held)
+        whole = table.num_rows // rows * rows
+        for start in range(0, whole, rows):
+            yield table.slice(start, rows).combine_chunks().to_batches()[0]
+        held = [table.slice(whole)] if whole < table.num_rows else []
+    if held:
+        yield pa.concat_tables(held).combine_chunks().to_batches()[0]
 
 
 def chunk_plan(files: DataFrame, size: str = "size", chunk_bytes: int = FETCH_BYTES) -> DataFrame:

@@ -146,3 +146,15 @@ def test_scan_index_over_files(spark, folder):
     got = [tuple(r) for r in scan_index(df).orderBy(ROW).collect()]
     want = [i for p in range(3) for i in range(p * 100, p * 100 + 70 + p)]
     assert got == [(v, n) for n, v in enumerate(want)]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_merge_over_hot_key(spark, how):
+    left = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(60)], "k string, a int")
+    right = spark.createDataFrame([("hot", 1), ("k3", 2), ("none", 3), (None, 4)], "k string, b int")
+    same(joins.merge(left, right, "k", how), joins.merge(left, right, "k", how, max_group=3))
+
+
+def test_row_numbers(points):
+    args = (points, ["k"], ["t", "i"])
+    same(windows.row_numbers(*args), windows.row_numbers(*args, max_group=10, chunk_rows=37))
