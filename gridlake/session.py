@@ -33,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     ``spark.checkpoint.dir`` is read from the session.  Only a local master may go
     without it: there a temporary folder is as shared as any other.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

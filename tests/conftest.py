@@ -14,8 +14,8 @@ def spark():
     from gridlake.session import session
 
     s = session(
-        "tests", "local[8]",
-        **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"},
+        "tests", "local[4]",
+        **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false"},
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
