@@ -9,8 +9,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 from gridlake.frame import Frame  # noqa: E402
 from gridlake.session import session  # noqa: E402
+from gridlake.workspace import Workspace  # noqa: E402
 
-__all__ = ["Frame", "session", "open_frame"]
+__all__ = ["Frame", "Workspace", "open_frame", "session"]
 
 
 def open_frame(spark, path, **options):

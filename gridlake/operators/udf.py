@@ -19,7 +19,7 @@ def infer_return_type(df: DataFrame, column: str, func: Callable) -> T.DataType:
     inferred = pa.array([func(v) for v in values]).type
     if pa.types.is_null(inferred):
         raise ValueError("cannot tell the result type from the first rows; pass return_type")
-    return from_arrow_type(inferred)
+    return from_arrow_type(inferred, prefer_timestamp_ntz=True)
 
 
 def map_values(df: DataFrame, column: str, func: Callable, new_name: str | None, return_type) -> DataFrame:

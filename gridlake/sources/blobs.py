@@ -5,7 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from gridlake.sources.files import open_input
+from gridlake.sources.files import open_input, spread
 from gridlake.streaming.chunks import FETCH_BYTES, chunk_plan
 
 
@@ -21,8 +21,8 @@ def _read(path: str, start: int = 0, length: int | None = None) -> bytes | None:
 def load_blobs(files: DataFrame, root: str = "") -> DataFrame:
     """Fill the ``blob`` column with the bytes at ``root || path``; null if unreadable.
 
-    Each task reads its own rows, one file at a time, so contents never cross a
-    shuffle.  Use :func:`load_chunks` for files too large for one value.
+    The paths are spread over all tasks, then each task reads its files one at a time;
+    contents never cross a shuffle.  Use :func:`load_chunks` for files too large for one value.
     """
     schema = files.schema
 
@@ -35,7 +35,7 @@ def load_blobs(files: DataFrame, root: str = "") -> DataFrame:
                 at = row.schema.get_field_index("blob")
                 yield row.set_column(at, "blob", pa.array([blob], pa.binary()))
 
-    return files.mapInArrow(read, schema)
+    return spread(files, "path").mapInArrow(read, schema)
 
 
 def load_chunks(files: DataFrame, root: str = "", chunk_bytes: int = FETCH_BYTES) -> DataFrame:
@@ -56,4 +56,4 @@ def load_chunks(files: DataFrame, root: str = "", chunk_bytes: int = FETCH_BYTES
                 data = pa.array([_read(root + path, start, length)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, data], [*part.schema.names, "bytes"])
 
-    return plan.repartition("path", "chunk_no").mapInArrow(read, schema)
+    return spread(plan, "path", "chunk_no").mapInArrow(read, schema)

@@ -45,6 +45,20 @@ def rename(source: str, target: str) -> None:
     system.move(inner, locate(target)[1])
 
 
+def spread(work: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows that each stand for file work, whatever their own few bytes.
+
+    The number of partitions is given, because adaptive execution would merge a small
+    table of large reads into a handful of tasks.
+    """
+    spark = work.sparkSession
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    if not spark.sparkContext.master.startswith("local"):
+        # with dynamic allocation few cores may be registered yet
+        tasks = max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return work.repartition(tasks, *keys)
+
+
 def _hidden(name: str) -> bool:
     # as everywhere in Spark: markers, checksums and unfinished files
     return name.startswith((".", "_"))

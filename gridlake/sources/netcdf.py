@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from gridlake.frame import Frame
 from gridlake.operators import arrays
 from gridlake.operators.rowindex import ROW
-from gridlake.sources.files import list_files, open_input, open_output, rename
+from gridlake.sources.files import list_files, open_input, open_output, rename, spread
 
 # Fixed values of the file format: type codes, list tags, padding.
 TYPES = {1: "i1", 2: "S1", 3: ">i2", 4: ">i4", 5: ">f4", 6: ">f8", 7: "u1", 8: ">u2", 9: ">u4", 10: ">i8", 11: ">u8"}
@@ -125,7 +125,7 @@ def read_header(source, size: int) -> list[dict]:
 
 def var_meta(spark: SparkSession, path: str) -> DataFrame:
     """One row per variable of every ``.nc`` file at or below ``path``; headers only."""
-    files = list_files(spark, path, "*.nc").select("path", "length").repartition("path")
+    files = spread(list_files(spark, path, "*.nc").select("path", "length"), "path")
     names = [f.name for f in T._parse_datatype_string(VAR_META).fields]
 
     def read(batches):
@@ -202,7 +202,7 @@ def read_cells(spark: SparkSession, path: str, variables: list[str] | None = Non
     if variables is not None:
         meta = meta.where(F.col("var").isin(variables))
 
-    return _read_plan(range_plan(meta, range_bytes).repartition("file", "var", "row0", "byte0"))
+    return _read_plan(spread(range_plan(meta, range_bytes), "file", "var", "row0", "byte0"))
 
 
 def _read_plan(plan: DataFrame) -> DataFrame:

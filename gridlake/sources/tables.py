@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from gridlake.frame import Frame
 from gridlake.functions.nulls import is_float
 from gridlake.operators.rowindex import ROW, line_index, scan_index
-from gridlake.sources.files import list_files, open_input
+from gridlake.sources.files import list_files, open_input, spread
 
 # Quotes are doubled inside quoted cells.
 CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
@@ -93,10 +93,12 @@ def read_arrow(spark: SparkSession, path: str) -> Frame:
 
     # one row per file
     numbered = files.withColumn("file_no", F.row_number().over(Window.orderBy("path")) - 1)
-    sizes = files.mapInArrow(count_batches, "path string, n bigint").where("n > 0")
+    sizes = spread(files, "path").mapInArrow(count_batches, "path string, n bigint").where("n > 0")
     plan = numbered.join(sizes, "path").select(
         "path", F.col("file_no").cast("bigint").alias("file_no"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("batch_no"),
     )
-    rows = plan.repartition("path", "batch_no").mapInArrow(read, from_arrow_schema(schema).add(ROW, "long"))
+    rows = spread(plan, "path", "batch_no").mapInArrow(
+        read, from_arrow_schema(schema, prefer_timestamp_ntz=True).add(ROW, "long")
+    )
     return Frame(rows)

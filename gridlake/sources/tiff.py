@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gridlake.frame import Frame
 from gridlake.operators import arrays
 from gridlake.operators.rowindex import ROW
-from gridlake.sources.files import list_files, open_input, open_output, rename
+from gridlake.sources.files import list_files, open_input, open_output, rename, spread
 
 # Fixed values of the file format: tags, and value sizes and codes by field type.
 WIDTH, HEIGHT, BITS, COMPRESSION, OFFSETS, SAMPLES = 256, 257, 258, 259, 273, 277
@@ -91,7 +91,7 @@ def read_strips(source) -> list[dict]:
 
 def strip_plan(spark: SparkSession, path: str) -> DataFrame:
     """One row per strip of every TIFF file at or below ``path``; directories only."""
-    files = list_files(spark, path, "*.tif|*.tiff").select("path").repartition("path")
+    files = spread(list_files(spark, path, "*.tif|*.tiff").select("path"), "path")
     arrow = to_arrow_schema(T._parse_datatype_string(STRIP))
 
     def read(batches):
@@ -139,7 +139,7 @@ def sample_frame(spark: SparkSession, path: str) -> Frame:
 
 def read_cells(spark: SparkSession, path: str) -> DataFrame:
     """``file, page, band, pos, value`` of every pixel; pages and bands count from 1."""
-    return _read_plan(strip_plan(spark, path).repartition("file", "page", "first"))
+    return _read_plan(spread(strip_plan(spark, path), "file", "page", "first"))
 
 
 def _read_plan(plan: DataFrame) -> DataFrame:

@@ -386,3 +386,26 @@ def test_arrow_schema_is_kept(spark, folder):
     back = tables.read_arrow(spark, f"{folder}/a")
     assert back.schema.simpleString() == df.schema.simpleString()
     assert isinstance(next(back.get_stream()), pa.RecordBatch)
+
+
+def test_workspace(spark, folder):
+    import os
+
+    from gridlake import Workspace
+
+    os.makedirs(f"{folder}/alpha/deep")
+    os.makedirs(f"{folder}/beta")
+    with open(f"{folder}/alpha/deep/t.csv", "w") as f:
+        f.write("a,b\n1,x\n2,y\n")
+    with open(f"{folder}/beta/raw.bin", "wb") as f:
+        f.write(bytes(range(256)) * 5)
+    space = Workspace(spark, folder)
+    assert sorted(r[0] for r in space.list_datasets().collect()) == ["alpha", "beta"]
+    assert [r[0] for r in space.list_dataframes("alpha").collect()] == [f"{folder}/alpha/deep/t.csv"]
+    uri = "data://host:1/alpha/alpha/deep/t.csv"
+    assert space.open(uri)["a"] == [1, 2] and space.count(uri) == 2
+    assert {r["column"] for r in space.sample(uri).collect()} == {"a", "b"}
+    parts = list(space.download(f"{folder}/beta/raw.bin", 300))
+    assert [len(p) for p in parts] == [300, 300, 300, 300, 80] and b"".join(parts) == bytes(range(256)) * 5
+    with pytest.raises(ValueError):
+        space.resolve("data://host/alpha")
