@@ -163,6 +163,12 @@ def chunk_sizes(spark, sf_dir):
     return chunks.chunk_sizes(frame(spark, sf_dir, "events").filter("value > 10"))
 
 
+def chunk_rows(spark, sf_dir):
+    """Which chunk of the transfer each remaining row travels in."""
+    filtered = frame(spark, sf_dir, "events").filter("value > 10").select("event_id")
+    return chunks.with_chunk(filtered).select("event_id", "chunk")
+
+
 def preview_rows(spark, sf_dir):
     events = frame(spark, sf_dir, "events")
     shown = profile.shown_columns(events.column_names, 2, 2)
@@ -230,6 +236,8 @@ QUERIES = {
     "sample_summary": (sample_summary, _summary_sql()),
     "materialize": (materialize, """SELECT event_type, count(*) AS n, round(sum(value), 2) AS total
       FROM events GROUP BY event_type"""),
+    "chunk_rows": (chunk_rows, """SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 1000 AS chunk
+      FROM events WHERE value > 10"""),
     "chunk_sizes": (chunk_sizes, """SELECT rn // 1000 AS chunk, count(*) AS n_rows FROM (
       SELECT row_number() OVER (ORDER BY event_id) - 1 AS rn FROM events WHERE value > 10) GROUP BY 1"""),
     "preview_rows": (preview_rows, """SELECT rn AS row_no, event_id, ts, value, props, n AS total_rows,

@@ -129,6 +129,19 @@ def test_sort_index_counts_hot_values(spark):
     assert [(r["v"], r["id"]) for r in got] == want and [r[ROW] for r in got] == list(range(5000))
 
 
+def test_chunk_sizes_match_the_stream(spark):
+    from gridlake.frame import Frame
+    from gridlake.streaming import chunks
+
+    df = spark.range(1000).select(F.col("id").alias(ROW), F.col("id").alias("v"))
+    frame = Frame(df, dense=True).filter("v % 3 == 0")
+    sizes = {r["chunk"]: r["n_rows"] for r in chunks.chunk_sizes(frame, 100).collect()}
+    assert sizes == {0: 100, 1: 100, 2: 100, 3: 34}
+    assert list(sizes.values()) == [b.num_rows for b in frame.get_stream(100)]
+    placed = chunks.with_chunk(frame, 100).groupBy("chunk").count().collect()
+    assert {r["chunk"]: r["count"] for r in placed} == sizes
+
+
 def test_densify_blocks(spark):
     df = spark.range(3000).where("id % 7 IN (1, 2)").select(F.col("id").alias(ROW), F.col("id").alias("v"))
     got = densify(df, block_rows=64).orderBy(ROW).collect()
