@@ -42,7 +42,8 @@ def asof_join(left, right, keys, left_on, right_on, values, max_group=None, chun
         F.struct(*[F.col(c) for c in left.columns if c not in keys]).alias("_left"),
         F.lit(None).cast(right.select(F.struct(*values).alias("v")).schema["v"].dataType).alias("_right"),
     )
-    lookup = right.select(
+    # null keys and null times match nothing
+    lookup = right.dropna(subset=[*keys, right_on]).select(
         *keys, F.col(right_on).alias("_at"), F.lit(0).alias("_side"),
         F.monotonically_increasing_id().alias("_tie"),
         F.lit(None).cast(payload.schema["_left"].dataType).alias("_left"),
@@ -79,7 +80,8 @@ def range_aggregate(probes, points, probe_on: str, point_on: str, value: Column,
         F.monotonically_increasing_id().alias("_tie"),
         F.struct(*probes.columns).alias("_left"), F.lit(None).cast("double").alias("_value"),
     )
-    right = points.select(
+    # a null point is below no probe
+    right = points.where(F.col(point_on).isNotNull()).select(
         F.col(point_on).alias("_at"), F.lit(0).alias("_side"),
         F.monotonically_increasing_id().alias("_tie"),
         F.lit(None).cast(left.schema["_left"].dataType).alias("_left"),

@@ -174,3 +174,15 @@ def test_merge_over_hot_key(spark, how):
 def test_row_numbers(points):
     args = (points, ["k"], ["t", "i"])
     same(windows.row_numbers(*args), windows.row_numbers(*args, max_group=10, chunk_rows=37))
+
+
+def test_null_keys_match_nothing(spark):
+    a = spark.createDataFrame([(None, 5, 1), ("a", None, 2), ("a", 5, 3)], "k string, t int, i int")
+    b = spark.createDataFrame([(None, 1, 7), ("a", None, 8), ("a", 4, 9)], "k string, rt int, j int")
+    for limits in ({}, {"max_group": 1, "chunk_rows": 2}):
+        got = joins.asof_join(a, b, ["k"], "t", "rt", ["j"], **limits).collect()
+        assert {r["i"]: r["j"] for r in got} == {1: None, 2: None, 3: 9}
+    probes = spark.createDataFrame([(1, 3), (2, None)], "i int, at int")
+    points = spark.createDataFrame([(None, 10), (2, 20), (4, 40)], "p int, w int")
+    got = joins.range_aggregate(probes, points, "at", "p", F.col("w")).collect()
+    assert {r["i"]: (r["n_matches"], r["sum_matches"]) for r in got} == {1: (1, 20.0), 2: (0, 0.0)}
