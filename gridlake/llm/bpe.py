@@ -19,6 +19,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 import regex
@@ -49,12 +50,20 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def remember(cache: dict, key, value) -> None:
-    """Bounded: when full, what came last goes; frequent words came first."""
-    if len(cache) >= CACHED_WORDS:
-        for late in list(cache)[CACHED_WORDS // 2:]:
-            del cache[late]
-    cache[key] = value
+class Cache(dict):
+    """Values by key, made when first asked for; ``trim`` keeps it bounded."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        self[key] = value = self.make(key)
+        return value
+
+    def trim(self) -> None:
+        if len(self) > CACHED_WORDS:  # frequent words came first
+            for late in list(self)[CACHED_WORDS // 2:]:
+                del self[late]
 
 
 class MergeList:
@@ -175,8 +184,7 @@ class Encoder:
     def __init__(self, merges: MergeList):
         self.merges = merges
         self.added = regex.compile("|".join(map(regex.escape, merges.added))) if merges.added else None
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.runs: dict[str, tuple[int, ...]] = {}
+        self.words, self.runs = Cache(self._word), Cache(self._run)
 
     def normal(self, text: str) -> str:
         if text.isascii():
@@ -192,46 +200,38 @@ class Encoder:
             symbols[-1] += WORD_END
         return symbols
 
-    def run(self, piece: str) -> tuple[int, ...]:
-        ids = self.runs.get(piece)
-        if ids is None:
-            symbols = self._spelled(piece)
-            if len(symbols) <= DIRECT:
-                tokens = self.merges.merge(symbols)
-            else:
-                coder = RunEncoder(self.merges)
-                tokens = [*coder.feed(symbols), *coder.finish()]
-            ids = tuple(map(self.merges.ids.__getitem__, tokens))
-            if len(piece) <= DIRECT:
-                remember(self.runs, piece, ids)
-        return ids
+    def _run(self, piece: str) -> tuple[int, ...]:
+        symbols = self._spelled(piece)
+        if len(symbols) <= DIRECT:
+            tokens = self.merges.merge(symbols)
+        else:
+            coder = RunEncoder(self.merges)
+            tokens = [*coder.feed(symbols), *coder.finish()]
+        return tuple(map(self.merges.ids.__getitem__, tokens))
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a text without ordinary white space around it."""
-        ids = self.words.get(word)
-        if ids is None:
-            ids = ()
-            for piece in _PIECES.findall(self.normal(word)):
-                ids += self.run(piece)
-            if len(word) <= DIRECT:
-                remember(self.words, word, ids)
+        ids = ()
+        for piece in _PIECES.findall(self.normal(word)):
+            ids += self.runs[piece]
         return ids
 
-    def _plain(self, text: str) -> Iterator[tuple[int, ...]]:
+    def _plain(self, text: str) -> Iterator[list[int]]:
         words = _GAP.split(text) if _SEPARATORS.search(text) else text.split()
-        known = self.words
-        for word in words:
-            yield known.get(word) or self.word(word)
+        for at in range(0, len(words), WINDOW):
+            yield list(chain.from_iterable(map(self.words.__getitem__, words[at:at + WINDOW])))
+            self.words.trim()
+            self.runs.trim()
 
-    def encode(self, text: str) -> Iterator[tuple[int, ...]]:
-        """Ids of the whole text, word by word; added tokens are found in the raw text."""
+    def encode(self, text: str) -> Iterator[list[int]]:
+        """Ids of the whole text, a stretch of words at a time; added tokens are found in the raw text."""
         if self.added is None or not self.added.search(text):
             yield from self._plain(text)
             return
         at = 0
         for found in self.added.finditer(text):
             yield from self._plain(text[at:found.start()])
-            yield (self.merges.added[found.group()],)
+            yield [self.merges.added[found.group()]]
             at = found.end()
         yield from self._plain(text[at:])
 
@@ -304,7 +304,7 @@ class _LongStretch:
                 mark = _PIECES.match(self.owner.normal(text[at:at + 3]))
                 if mark and len(mark.group()) > 1 and mark.group()[1].isalpha():
                     out.extend(self.close())
-                    out.extend(self.owner.run(mark.group()))
+                    out.extend(self.owner.runs[mark.group()])
                     at += len(mark.group())
                     continue
             for c in char:
