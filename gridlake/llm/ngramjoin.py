@@ -9,13 +9,12 @@ threshold.  The steps, each a Spark job over all rows:
 2. Prefixes: n-grams are ordered by their count in the sketch (rare first, then by hash; any
    order that is the same everywhere gives right results).  Sets as similar as asked share a
    member of their first |x| - ceil(t |x|) + 1 n-grams in that order.
-3. Postings: prefix n-grams that more than one set has.  Only these sets are read again, for
-   their full content and a parity signature.
-4. Links: in each posting list the set that shares most of its prefix is compared with all
-   others, twice with fresh centres; the components found so far then leave only pairs
-   between different components, and those are all tested.  A pair must pass the length,
-   positional and signature filters inside the join, is made once, and is verified exactly
-   once, behind a suffix filter.
+3. Postings: prefix n-grams that more than one set has.
+4. Links: in each posting list the set with the fewest rarer n-grams is compared with the
+   others; the components found so far then leave only pairs between different components,
+   and those are all tested.  A pair must pass the length, positional and signature filters
+   before it is made, is made once, and is verified exactly once, behind a suffix filter, on
+   full sets that are computed again for the documents of such pairs alone.
 
 Only connections are asked for, so pairs that are connected already need no test: work in a
 group of near copies grows with its size, not with its square.
@@ -28,6 +27,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,15 +38,8 @@ SKETCH, SLICES = 1 << 20, 64
 SIGNATURE = 8  # longs
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-CACHED_WORDS = 400_000
-
-_hashes: dict[bytes, int] = {}
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _MULTIPLY[1]
-    h = (h ^ (h >> np.uint64(27))) * _MULTIPLY[2]
-    return h ^ (h >> np.uint64(31))
+# Cells of the bitmap that picks the documents whose sets are computed again: a prime.
+CELLS = 8_388_593
 
 
 def grams(text: str | None, n: int) -> np.ndarray:
@@ -60,21 +53,24 @@ def grams(text: str | None, n: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, dtype=np.uint64)
-    known = _hashes
-    if len(known) > CACHED_WORDS:
-        for late in list(known)[CACHED_WORDS // 2:]:
-            del known[late]
-    for word in set(words).difference(known):
-        known[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
     width = min(n, len(h))
     count = len(h) - width + 1
     out = np.full(count, width, dtype=np.uint64)
     for i in range(width):
-        out = _mix(out * _MULTIPLY[0] + h[i:i + count])
+        out = out * _MULTIPLY[0] + h[i:i + count]
+    out = (out ^ (out >> np.uint64(30))) * _MULTIPLY[1]
+    out = (out ^ (out >> np.uint64(27))) * _MULTIPLY[2]
+    out ^= out >> np.uint64(31)
     return np.unique(out)
 
 
+def one_by_one(column):
+    """Values of an Arrow column, without a list of all of them."""
+    for i in range(len(column)):
+        yield column[i].as_py()
+
+
 def _slot(g: np.ndarray) -> np.ndarray:
     return (g >> np.uint64(44)).astype(np.int64)
 
@@ -141,12 +137,10 @@ class NgramJoin:
         n, width = self.n, SKETCH // SLICES
 
         def measure(batches):
-            from gridlake.llm.ngramjoin import grams  # with the worker's cache of words
-
             sketch, slots, waiting = np.zeros(SKETCH, dtype=np.int64), [], 0
             for batch in batches:
                 sizes, marks = [], []
-                for text in batch["text"].to_pylist():
+                for text in one_by_one(batch["text"]):
                     g = grams(text, n)
                     slots.append(_slot(g))
                     waiting += len(g)
@@ -198,60 +192,74 @@ class NgramJoin:
         self.counts = self.spark.sparkContext.broadcast(counts)
 
     # -- step 2 ---------------------------------------------------------------------
-    def postings(self, classes: DataFrame) -> DataFrame:
-        """(gram, doc, size, place) of the prefixes of one set of each class, where the
-        n-gram is in the prefix of another one too."""
+    def heads(self, classes: DataFrame) -> DataFrame:
+        """(doc, size, bits, grams) of one set of each class: its signature and its prefix."""
         n, share, counts = self.n, self.share, self.counts
 
         def prefix(batches):
-            from gridlake.llm.ngramjoin import grams  # with the worker's cache of words
-
             for batch in batches:
-                docs, sizes, parts = [], [], []
-                for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
+                docs, sizes, bits, parts = [], [], [], []
+                for doc, text in zip(batch["doc"].to_pylist(), one_by_one(batch["text"])):
                     g = grams(text, n)
                     if not len(g):
                         continue
                     keep = len(g) - int(ceil_share(np.int64(len(g)), share)) + 1
-                    order = np.lexsort((g, counts.value[_slot(g)]))[:keep]
+                    # counts, then hashes: the sort is stable and g is sorted
+                    key = (counts.value[_slot(g)].astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32))
                     docs.append(doc)
                     sizes.append(len(g))
-                    parts.append(g[order].view(np.int64))
+                    bits.append(signature(g))
+                    parts.append(g[np.argsort(key, kind="stable")[:keep]].view(np.int64))
+                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
-                    names=["doc", "size", "grams"],
+                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, longs), pa.array(parts, longs)],
+                    names=["doc", "size", "bits", "grams"],
                 )
 
-        heads = self.docs.mapInArrow(prefix, "doc long, size long, grams array<long>")
-        heads = heads.join(classes.select("doc"), "doc", "left_semi")
+        rows = self.docs.mapInArrow(prefix, "doc long, size long, bits array<long>, grams array<long>")
+        return stage(rows.join(classes.select("doc").hint("merge"), "doc", "left_semi"), "ngram-heads")
+
+    # -- step 3 ---------------------------------------------------------------------
+    def postings(self, heads: DataFrame) -> DataFrame:
+        """(gram, doc, size, place, centre): prefix n-grams that are in the prefix of another set too.
+
+        The centre of a posting list is the member with the fewest rarer n-grams: of a group of
+        near copies, the one with the fewest changes of its own.
+        """
         rows = heads.select("doc", "size", F.posexplode("grams").alias("place", "gram"))
-        rows = rows.select("gram", "doc", "size", F.col("place").cast("int").alias("place"))
+        rows = rows.select("gram", "doc", F.col("size").cast("int"), F.col("place").cast("int"))
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        sorted_rows = rows.repartition(parts, "gram").sortWithinPartitions("gram")
-        return stage(sorted_rows.mapInArrow(_shared, "gram long, doc long, size long, place int"), "ngram-postings")
+        dealt = rows.repartition(parts, "gram").sortWithinPartitions("gram", "place", "doc")
+        schema = "gram long, doc long, size int, place int, c_doc long, c_size int, c_place int"
+        return stage(dealt.mapInArrow(_shared, schema), "ngram-postings")
 
-    # -- step 3 ---------------------------------------------------------------------
-    def members(self, postings: DataFrame) -> DataFrame:
-        """(doc, size, bits, content) of the sets that occur in postings."""
+    def contents(self, pairs: DataFrame) -> DataFrame:
+        """(doc, content): the full sets of the documents of the pairs.
+
+        A bitmap of fixed size picks the documents while they are read, so texts are not
+        shuffled; a few more may pass, which then meet no pair.
+        """
         n = self.n
-        wanted = postings.groupBy("doc").agg(F.count(F.lit(1)).alias("shared"))
+        cells = pairs.select(F.explode(F.array("a", "b")).alias("doc")).select(F.pmod("doc", F.lit(CELLS)).alias("cell"))
+        span = 32768  # bits of one of Spark's bitmaps
+        maps = cells.groupBy(F.floor(F.col("cell") / span).alias("at")).agg(
+            F.bitmap_construct_agg(F.pmod("cell", F.lit(span))).alias("bits")
+        )
+        wanted = np.zeros(-(-CELLS // span) * span, dtype=bool)
+        for row in maps.collect():
+            wanted[row["at"] * span:(row["at"] + 1) * span] = np.unpackbits(np.frombuffer(row["bits"], np.uint8), bitorder="little")
+        wanted = self.spark.sparkContext.broadcast(np.packbits(wanted))
 
         def full(batches):
-            from gridlake.llm.ngramjoin import grams  # with the worker's cache of words
-
             for batch in batches:
-                parts = [grams(text, n) for text in batch["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch["doc"], pa.array([len(g) for g in parts], pa.int64()), batch["shared"],
-                     pa.array([signature(g) for g in parts], pa.list_(pa.int64())),
-                     pa.array([g.tobytes() for g in parts], pa.binary())],
-                    names=["doc", "size", "shared", "bits", "content"],
-                )
+                cell = batch["doc"].to_numpy(zero_copy_only=False) % CELLS
+                hit = (wanted.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
+                batch = batch.filter(pa.array(hit.astype(bool)))
+                parts = [grams(text, n).tobytes() for text in one_by_one(batch["text"])]
+                yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(parts, pa.binary())], names=["doc", "content"])
 
-        chosen = self.docs.join(wanted, "doc").select("doc", "text", "shared")
-        return stage(
-            chosen.mapInArrow(full, "doc long, size long, shared long, bits array<long>, content binary"), "ngram-members"
-        )
+        named = self.docs.filter("doc IS NOT NULL")
+        return stage(named.mapInArrow(full, "doc long, content binary"), "ngram-contents")
 
     # -- step 4 ---------------------------------------------------------------------
     def _may_link(self, size_a: Column, size_b: Column, place_a: Column, place_b: Column) -> Column:
@@ -268,52 +276,44 @@ class NgramJoin:
         # differing members <= sizes - 2 * overlap, with the overlap at least share / (1 + share) of the sizes
         return apart * (a + b) <= (size_a + size_b) * (b - a)
 
-    def _verify(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
+    def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are as similar as asked; each arrives once."""
         share = self.share
         pairs = stage(pairs, "ngram-pairs")
-        left = members.select(F.col("doc").alias("a"), F.col("content").alias("x"))
-        right = members.select(F.col("doc").alias("b"), F.col("content").alias("y"))
-        right = right.join(pairs.select("b").distinct(), "b", "left_semi")
+        contents = self.contents(pairs)
+        left = contents.select(F.col("doc").alias("a"), F.col("content").alias("x"))
+        right = contents.select(F.col("doc").alias("b"), F.col("content").alias("y"))
 
         def check(batches):
             for batch in batches:
                 keep = [
                     similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
-                    for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())
+                    for x, y in zip(one_by_one(batch["x"]), one_by_one(batch["y"]))
                 ]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
-
-    def _star(self, lists: DataFrame, parts: DataFrame, members: DataFrame, again: bool) -> DataFrame:
-        """Verified links between a centre of each posting list and the others in it.
+        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
-        The centre shares most of its prefix; the second time it is the member that does so
-        outside the component of the first.
-        """
-        rows = lists.join(parts, "doc")
-        rank = F.struct("shared", (-F.col("doc")).alias("order"), "doc", "size", "place", "part")
-        if again:
-            mixed = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-            rows = rows.join(mixed.filter("low < high"), "gram")
-            first = rows.groupBy("gram").agg(F.max(rank).alias("c")).select("gram", F.col("c.part").alias("done"))
-            centres = rows.join(first, "gram").filter("part <> done").groupBy("gram").agg(F.max(rank).alias("c"))
-        else:
-            centres = rows.groupBy("gram").agg(F.max(rank).alias("c"))
-        met = rows.join(centres, "gram").filter(F.col("part") != F.col("c.part"))
-        met = met.filter(self._may_link(F.col("size"), F.col("c.size"), F.col("place"), F.col("c.place")))
-        pairs = met.select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct()
-        marks = members.select("doc", "size", "bits")
-        pairs = pairs.join(marks.toDF("a", "size_a", "bits_a"), "a").join(marks.toDF("b", "size_b", "bits_b"), "b")
+    def _star(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        """Verified links between the members of posting lists and a centre of one."""
+        met = lists.filter("doc <> c_doc")
+        met = met.filter(self._may_link(F.col("size"), F.col("c_size"), F.col("place"), F.col("c_place")))
+        pairs = met.groupBy(F.col("doc").alias("a"), F.col("c_doc").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+        marks = parts.select("doc", "size", "bits")
+        for end in ("a", "b"):
+            pairs = pairs.join(marks.toDF(end, f"size_{end}", f"bits_{end}").hint("merge"), end)
         pairs = pairs.filter(self._bits_allow(F.col("size_a"), F.col("size_b"), F.col("bits_a"), F.col("bits_b")))
-        return self._verify(pairs.select("a", "b"), members)
+        # one centre for each, the one it meets most; the next step has what this leaves open
+        best = pairs.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("m"))
+        best = best.select("a", (-F.col("m.b")).alias("b"))
+        return self._verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
-    def _rest(self, lists: DataFrame, parts: DataFrame, members: DataFrame) -> DataFrame:
+    def _rest(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
         """All verified links between members of a posting list in different components."""
-        rows = lists.join(parts.select("doc", "part"), "doc")
-        mixed = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
-        rows = rows.join(mixed.select("gram"), "gram", "left_semi").join(members.select("doc", "bits"), "doc")
+        rows = lists.select("gram", "doc", "size", "place").join(parts.select("doc", "part", "bits").hint("merge"), "doc")
+        # lists of one component are settled; both sides of the join keep this partitioning
+        whole = Window.partitionBy("gram")
+        rows = rows.withColumns({"low": F.min("part").over(whole), "high": F.max("part").over(whole)}).filter("low < high")
         left = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("doc", "size", "place", "part", "bits")])
         right = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc", "size", "place", "part", "bits")])
         c = F.col
@@ -323,8 +323,7 @@ class NgramJoin:
             & self._may_link(c("size_a"), c("size_b"), c("place_a"), c("place_b"))
             & self._bits_allow(c("size_a"), c("size_b"), c("bits_a"), c("bits_b")),
         )
-        pairs = met.select(c("doc_a").alias("a"), c("doc_b").alias("b")).distinct()
-        return self._verify(pairs, members)
+        return self._verify(met.select(c("doc_a").alias("a"), c("doc_b").alias("b")).distinct())
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
@@ -332,12 +331,15 @@ class NgramJoin:
             self.scan()
         filled = self.sets.filter("size > 0")
         classes = stage(filled.groupBy("mark").agg(F.min("doc").alias("doc"), F.max("size").alias("size")), "ngram-classes")
-        lists = self.postings(classes)
-        members = self.members(lists)
-        parts = stage(members.select("doc", F.col("doc").alias("part"), "shared").distinct(), "ngram-parts")
-        for step in (0, 1, 2):
-            links = self._rest(lists, parts, members) if step == 2 else self._star(lists, parts, members, step > 0)
-            parts = merge_parts(parts, links)
+        heads = self.heads(classes)
+        lists = self.postings(heads)
+        # tables that grow with the input are merged, not broadcast, at every size
+        inside = lists.select("doc").distinct()
+        parts = heads.select("doc", "size", "bits").join(inside.hint("merge"), "doc", "left_semi")
+        parts = stage(parts.select("doc", F.col("doc").alias("part"), "size", "bits").distinct(), "ngram-parts")
+        parts = merge_parts(parts, self._star(lists, parts))
+        parts = merge_parts(parts, self._rest(lists, parts))
+        parts = parts.select("doc", "part").distinct()
         named = classes.select("mark", "doc").join(parts.select("doc", "part"), "doc", "left")
         named = named.select("mark", F.coalesce("part", "doc").alias("part"))
         out = self.sets.join(named, "mark", "left")
@@ -347,33 +349,30 @@ class NgramJoin:
 
 
 def _shared(batches):
-    """Rows of sorted batches whose ``gram`` is also in a neighbouring row."""
-    held = None
+    """Rows of sorted batches whose ``gram`` another row has too, each with the first of them."""
+    names = ["doc", "size", "place"]
+    held, told = None, False  # a row that waits, or the first of a run whose rows have left
     for batch in batches:
         batch = pa.RecordBatch.from_arrays(batch.columns, names=batch.schema.names)
         if held is not None:
             batch = pa.concat_batches([held, batch])
-        if batch.num_rows < 2:
-            held = batch
+        n = batch.num_rows
+        if n < 2:
+            held = batch if n else None
             continue
         gram = batch["gram"].to_numpy()
         same = gram[1:] == gram[:-1]
-        keep = np.append(same, False)
-        keep[1:] |= same
-        # the last row waits for the next batch; its run is known from the row before it
-        last = batch.num_rows - 1
-        # a row without a document only says that its run began earlier
-        keep &= batch["doc"].is_valid().to_numpy(zero_copy_only=False)
-        if same[-1]:
-            yield batch.filter(pa.array(keep))
-            # one row of the run stays to tell the next batch that the run goes on
-            held = pa.RecordBatch.from_arrays(
-                [batch["gram"].slice(last), *[pa.nulls(1, batch.schema.field(c).type) for c in ("doc", "size", "place")]],
-                names=batch.schema.names,
-            )
-        else:
-            yield batch.slice(0, last).filter(pa.array(keep[:last]))
-            held = batch.slice(last)
+        first = np.maximum.accumulate(np.where(np.append(True, ~same), np.arange(n), 0))
+        keep = np.append(same, False) | np.append(False, same)
+        keep[0] &= not told
+        told = bool(same[-1])
+        held = batch.slice(first[-1] if told else n - 1, 1)
+        centre = batch.take(pa.array(first))
+        out = pa.RecordBatch.from_arrays(
+            [batch["gram"], *[batch[c] for c in names], *[centre[c] for c in names]],
+            names=["gram", *names, *[f"c_{c}" for c in names]],
+        )
+        yield out.filter(pa.array(keep))
 
 
 def merge_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
@@ -382,8 +381,8 @@ def merge_parts(parts: DataFrame, links: DataFrame) -> DataFrame:
     Parts connected by links get the smallest number among them.  Labels spread along links
     and jump to the label of their label, so long chains close in few rounds.
     """
-    numbers = parts.select("doc", "part")
-    ends = links.join(numbers.toDF("a", "u"), "a").join(numbers.toDF("b", "v"), "b").filter("u <> v")
+    numbers = parts.select("doc", "part").distinct()
+    ends = stage(links, "ngram-links").join(numbers.toDF("a", "u"), "a").join(numbers.toDF("b", "v"), "b").filter("u <> v")
     edges = stage(ends.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "part-edges")
     if edges.isEmpty():
         return parts
