@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -19,13 +20,32 @@ from gridlake.llm.bpe import byte_letters
 # Every character that some regular-expression engine takes for white space.
 _WHITE = "\\t-\\r \\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff"
 _JOINED_SPACE = re.compile(f"(?<=[{_WHITE}]) (?=[{_WHITE}]|\\Z)")
+_RARE_WHITE = re.compile("[" + _WHITE.replace("\\t-\\r ", "\\x0b-\\r") + "]")
 # A word with or without its space, closing marks, and perhaps the start of the next line.
 _SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*))?")
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 
 _loaded: dict = {}
 
 
+def joined_space(text: str) -> bool:
+    """Whether a space may belong to a longer run of white space."""
+    if "  " in text or "\n " in text or "\t " in text or _RARE_WHITE.search(text):
+        return _JOINED_SPACE.search(text) is not None
+    return False
+
+
+class _Words(dict):
+    """Ids by word; an unknown word is learned when it is asked for."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, word: str) -> bytes:
+        self[word] = ids = self.learn(word)
+        return ids
+
+
 class ByteLevelEncoder:
     """``encode(text)`` gives the library's ids of the whole text as little-endian uint32 bytes."""
 
@@ -47,7 +67,8 @@ class ByteLevelEncoder:
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.learn)
+        self.words[""] = b""
         self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
@@ -56,39 +77,33 @@ class ByteLevelEncoder:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if not self.by_word or (self.added and self.added.search(text)) or _JOINED_SPACE.search(text):
+        if not self.by_word or "\0" in text or (self.added and self.added.search(text)) or joined_space(text):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        words = [" " + w for w in rest]
-        if first:
-            words.insert(0, first)
-        missing = set(words).difference(self.words)
-        if missing:
-            self._learn(missing)
-        out = b"".join(map(self.words.__getitem__, words))
+        # a cut before each space, so that words keep theirs
+        out = b"".join(map(self.words.__getitem__, text.replace(" ", "\0 ").split("\0")))
         for cache in (self.words, self.pieces):
             if len(cache) > CACHED_WORDS:  # frequent words came first
                 for late in list(cache)[CACHED_WORDS // 2:]:
                     del cache[late]
         return out
 
-    def _learn(self, missing: set[str]) -> None:
-        """Ids of new words, piece by piece where the cut is plain."""
-        known, words, model, spell = self.pieces, self.words, self.library.model.tokenize, self.letters
-        for word in missing:
-            simple = _SIMPLE.fullmatch(word)
-            if simple is None:
-                words[word] = self.whole(word)
-                continue
-            ids = b""
-            for piece in simple.groups():
-                if piece:
-                    found = known.get(piece)
-                    if found is None:
-                        spelled = "".join([spell[b] for b in piece.encode()])
-                        known[piece] = found = np.array([t.id for t in model(spelled)], dtype="<u4").tobytes()
-                    ids += found
-            words[word] = ids
+    def learn(self, word: str) -> bytes:
+        """Ids of a new word, piece by piece where the cut is plain."""
+        simple = _SIMPLE.fullmatch(word)
+        if simple is None:
+            return self.whole(word)
+        ids = b""
+        for piece in simple.groups():
+            if piece:
+                found = self.pieces.get(piece)
+                if found is None:
+                    spelled = piece.replace(" ", "Ġ").replace("\n", "Ċ")
+                    if not piece.isascii():
+                        spelled = "".join([self.letters[b] for b in piece.encode()])
+                    coded = [t.id for t in self.library.model.tokenize(spelled)]
+                    self.pieces[piece] = found = struct.pack(f"<{len(coded)}I", *coded)
+                ids += found
+        return ids
 
 
 def encoder(path: str) -> ByteLevelEncoder:
