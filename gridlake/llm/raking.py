@@ -7,7 +7,7 @@ probability in proportion to the factor of their cell, calibrated to a token bud
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.session import stage
@@ -47,18 +47,21 @@ def tempered(cells: DataFrame, margin: str, power: float = 0.5) -> DataFrame:
 def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int = 16) -> DataFrame:
     """Adds ``weight``: the tokens of each cell scaled so that each margin meets its targets.
 
-    ``cells`` has the margins and ``tokens`` (above 0).  A sweep scales to every margin in turn;
-    the result of each is written, so the plan stays short and a lost executor costs one sweep.
+    ``cells`` has the margins and ``tokens`` (above 0), one row per cell.  A sweep scales to
+    every margin in turn, a sum over the cells of each value; every four sweeps are written, so
+    plans stay short and a lost executor costs little.
     """
     total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
     rows = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
-        for margin, target in targets.items():
-            now = rows.groupBy(margin).agg(F.sum("weight").alias("now")).join(target, margin)
-            scale = now.select(margin, (F.col("target") / F.col("now")).alias("scale"))
-            rows = rows.join(scale, margin).withColumn("weight", F.col("weight") * F.col("scale") * total).drop("scale")
-        rows = stage(rows, "raked-cells")
-    return rows
+    for margin, target in targets.items():
+        rows = rows.join(target.select(margin, F.col("target").alias(f"target_{margin}")), margin)
+    for sweep in range(1, sweeps + 1):
+        for margin in targets:
+            now = F.sum("weight").over(Window.partitionBy(margin))
+            rows = rows.withColumn("weight", F.col("weight") * (F.col(f"target_{margin}") / now) * total)
+        if sweep % 4 == 0 or sweep == sweeps:
+            rows = stage(rows, "raked-cells")
+    return rows.select(*cells.columns, "weight")
 
 
 def calibrate(cells: DataFrame, budget: float, rounds: int = 12) -> DataFrame:
