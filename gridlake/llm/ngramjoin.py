@@ -13,8 +13,8 @@ threshold.  The steps, each a Spark job over all rows:
 4. Links: in each posting list the set with the fewest rarer n-grams is compared with the
    others; the components found so far then leave only pairs between different components,
    and those are all tested.  A pair must pass the length, positional and signature filters
-   before it is made, is made once, and is verified exactly once, behind a suffix filter, on
-   full sets that are computed again for the documents of such pairs alone.
+   before it is made, is made once, and is verified exactly once, behind a wide signature and
+   a suffix filter, on full sets that are computed again for the documents of such pairs alone.
 
 Only connections are asked for, so pairs that are connected already need no test: work in a
 group of near copies grows with its size, not with its square.
@@ -35,7 +35,8 @@ from gridlake.session import stage
 
 # Counters of the n-gram sketch, and the slices in which it is added up.
 SKETCH, SLICES = 1 << 20, 64
-SIGNATURE = 8  # longs
+# Longs of the signature that joins carry, and cells of the one that pairs are tested by.
+SIGNATURE, WIDE = 8, 4096
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 # Cells of the bitmap that picks the documents whose sets are computed again: a prime.
@@ -112,6 +113,24 @@ def similar(x: np.ndarray, y: np.ndarray, share: Fraction) -> bool:
     return common * b >= a * (both - common)
 
 
+def similar_bytes(x: bytes, y: bytes, share: Fraction) -> bool:
+    return similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
+
+
+def wide_signature(g: np.ndarray) -> bytes:
+    """Size, and parity of the members in each of ``WIDE`` cells."""
+    cells = np.bincount((g % np.uint64(WIDE)).astype(np.int64), minlength=WIDE) & 1
+    return np.int64(len(g)).tobytes() + np.packbits(cells.astype(np.uint8)).tobytes()
+
+
+def wide_allows(x: bytes, y: bytes, share: Fraction) -> bool:
+    """Whether the cells that differ are no more than the members that may differ."""
+    a, b = share.numerator, share.denominator
+    both = int(np.frombuffer(x[:8], np.int64)[0]) + int(np.frombuffer(y[:8], np.int64)[0])
+    apart = np.bitwise_count(np.frombuffer(x[8:], np.uint64) ^ np.frombuffer(y[8:], np.uint64)).sum()
+    return int(apart) * (a + b) <= both * (b - a)
+
+
 class NgramJoin:
     """Links between texts with the given word n-grams and least similarity.
 
@@ -233,8 +252,8 @@ class NgramJoin:
         schema = "gram long, doc long, size int, place int, c_doc long, c_size int, c_place int"
         return stage(dealt.mapInArrow(_shared, schema), "ngram-postings")
 
-    def contents(self, pairs: DataFrame) -> DataFrame:
-        """(doc, content): the full sets of the documents of the pairs.
+    def described(self, pairs: DataFrame, describe) -> DataFrame:
+        """(doc, told): ``describe(set)`` of the documents of the pairs.
 
         A bitmap of fixed size picks the documents while they are read, so texts are not
         shuffled; a few more may pass, which then meet no pair.
@@ -255,11 +274,11 @@ class NgramJoin:
                 cell = batch["doc"].to_numpy(zero_copy_only=False) % CELLS
                 hit = (wanted.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
                 batch = batch.filter(pa.array(hit.astype(bool)))
-                parts = [grams(text, n).tobytes() for text in one_by_one(batch["text"])]
-                yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(parts, pa.binary())], names=["doc", "content"])
+                parts = [describe(grams(text, n)) for text in one_by_one(batch["text"])]
+                yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(parts, pa.binary())], names=["doc", "told"])
 
         named = self.docs.filter("doc IS NOT NULL")
-        return stage(named.mapInArrow(full, "doc long, content binary"), "ngram-contents")
+        return stage(named.mapInArrow(full, "doc long, told binary"), "ngram-described")
 
     # -- step 4 ---------------------------------------------------------------------
     def _may_link(self, size_a: Column, size_b: Column, place_a: Column, place_b: Column) -> Column:
@@ -277,22 +296,26 @@ class NgramJoin:
         return apart * (a + b) <= (size_a + size_b) * (b - a)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are as similar as asked; each arrives once."""
+        """The pairs (a, b) that are as similar as asked; each arrives once.
+
+        Wide signatures go first: long sets are heavy to move and seldom pass them by chance.
+        """
+        near = self._test(stage(pairs, "ngram-pairs"), wide_signature, wide_allows)
+        return self._test(stage(near, "ngram-pairs"), np.ndarray.tobytes, similar_bytes)
+
+    def _test(self, pairs: DataFrame, describe, allows) -> DataFrame:
         share = self.share
-        pairs = stage(pairs, "ngram-pairs")
-        contents = self.contents(pairs)
-        left = contents.select(F.col("doc").alias("a"), F.col("content").alias("x"))
-        right = contents.select(F.col("doc").alias("b"), F.col("content").alias("y"))
+        told = self.described(pairs, describe)
+        left = told.select(F.col("doc").alias("a"), F.col("told").alias("x"))
+        right = told.select(F.col("doc").alias("b"), F.col("told").alias("y"))
 
         def check(batches):
             for batch in batches:
-                keep = [
-                    similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
-                    for x, y in zip(one_by_one(batch["x"]), one_by_one(batch["y"]))
-                ]
+                keep = [allows(x, y, share) for x, y in zip(one_by_one(batch["x"]), one_by_one(batch["y"]))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+        met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
+        return met.mapInArrow(check, "a long, b long")
 
     def _star(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
         """Verified links between the members of posting lists and a centre of one."""
