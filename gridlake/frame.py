@@ -98,7 +98,10 @@ class Frame:
         if self.dense:
             return self
         if not self.order:
-            raise ValueError("this frame has no row order; sort it by a unique column first")
+            # rows of a query or group have the order of their values
+            plain = [f.name for f in self.schema.fields if "map<" not in f.dataType.simpleString()]
+            order = [F.col(f"`{c}`").asc_nulls_last() for c in plain]
+            return Frame(sort_index(self.df, order or [F.lit(0)]), dense=True)
         sort_columns = [c for c in self.df.columns if c.startswith("_sort")]
         if sort_columns or ROW not in self.df.columns:
             return Frame(sort_index(self.df, self.order).drop(*sort_columns), dense=True)
@@ -115,6 +118,8 @@ class Frame:
         self._require(*columns)
         return self._with(self.df.drop(*columns))
 
+    drop_columns = drop
+
     def assign(self, **columns: Column) -> "Frame":
         return self._with(self.df.withColumns(columns))
 
@@ -161,6 +166,8 @@ class Frame:
         df = self.df.withColumn(name, F.col(f"`{column}`"))
         return Frame(df, nulls.sort_keys(df, name, ascending) + self.order, dense=False)
 
+    order_by = sort
+
     def limit(self, n: int) -> "Frame":
         return self.slice(0, n)
 
@@ -184,7 +191,7 @@ class Frame:
             return self.row(index)
         if isinstance(index, str):
             return self.column(index)
-        raise TypeError("Index must be an integer (row) or string (column).")
+        raise TypeError(f"a frame is indexed by a row number or a column name, not by {type(index).__name__}")
 
     def row(self, position: int) -> dict:
         rows = self.slice(position, 1).data.collect()
@@ -273,6 +280,8 @@ class Frame:
         self._require(*keys)
         return GroupedFrame(self, keys)
 
+    group_by = groupby
+
     # -- columns from Python ---------------------------------------------------
     def map(self, column: str, func: Callable, new_column_name: str | None = None, return_type=None):
         """Apply a Python function to each value of a column.
@@ -305,12 +314,12 @@ class Frame:
         """Rows of this frame, then of the others; missing columns become null."""
         if not all(f.order for f in (self, *others)):
             return Frame(reshape.concat_rows([f.data for f in (self, *others)]), order=[])
-        # positions need not be dense, only ascending from part to part
+        # positions need not be dense, only ascending within a part
         parts = []
         for i, f in enumerate((self, *others)):
             placed = f.indexed() if len(f.order) > 1 else f
-            parts.append(placed.df.withColumn(ROW, F.col(ROW) + F.lit(i << 48)))
-        return Frame(reshape.concat_rows(parts))
+            parts.append(placed.df.withColumn("_sort_part", F.lit(i)))
+        return Frame(reshape.concat_rows(parts), [F.col("_sort_part"), F.col(ROW)])
 
     append = concat
 
@@ -332,6 +341,9 @@ class Frame:
 
         write_frame(self, output_path, format)
 
+    def to_nc(self, output_path: str) -> None:
+        self.write(output_path, "netcdf")
+
 
 class GroupedFrame:
     """Result of ``Frame.groupby``."""

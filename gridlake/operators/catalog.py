@@ -69,9 +69,12 @@ def user_files(dataset_file, user_file, role_user, role_file) -> DataFrame:
 
 def permissions(pairs, dataset_file, user_file, role_user, role_file) -> DataFrame:
     """``(username, datasetId)`` pairs with whether the user may read any of its files."""
-    granted = user_files(
-        dataset_file.select("datasetId", "path", "type", "isFile"), user_file, role_user, role_file
-    ).select("username", "datasetId").distinct().withColumn("_hit", F.lit(True))
+    # grants shrink to datasets before users come in, so no (user, file) pair is made
+    files = listable(dataset_file.select("datasetId", "path", "type", "isFile")).select("path", "datasetId")
+    direct = user_file.join(files, "path").select("username", "datasetId")
+    by_role = role_file.join(files, "path").select("role", "datasetId").distinct()
+    by_role = role_user.join(by_role, "role").select("username", "datasetId")
+    granted = direct.unionByName(by_role).distinct().withColumn("_hit", F.lit(True))
     joined = pairs.join(granted, ["username", "datasetId"], "left")
     return joined.withColumn("allowed", F.coalesce("_hit", F.lit(False))).drop("_hit")
 

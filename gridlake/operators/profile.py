@@ -18,10 +18,33 @@ WIDTHS = {
 }
 
 
+def value_bytes(column, kind: T.DataType):
+    """Bytes of one value; nulls inside nested values and null nested values have none."""
+    name = kind.simpleString()
+    if name in WIDTHS:
+        size = F.lit(WIDTHS[name])
+    elif isinstance(kind, (T.StringType, T.BinaryType)):
+        size = F.octet_length(column)
+    elif isinstance(kind, T.BooleanType):
+        size = F.lit(1)
+    elif isinstance(kind, T.DecimalType):
+        size = F.lit(16)
+    elif isinstance(kind, T.ArrayType):
+        size = F.aggregate(column, F.lit(0).cast("bigint"), lambda a, x: a + value_bytes(x, kind.elementType))
+    elif isinstance(kind, T.MapType):
+        size = value_bytes(F.map_keys(column), T.ArrayType(kind.keyType)) + value_bytes(
+            F.map_values(column), T.ArrayType(kind.valueType))
+    elif isinstance(kind, T.StructType):
+        size = reduce(lambda a, b: a + b, [value_bytes(column[f.name], f.dataType) for f in kind.fields], F.lit(0))
+    else:
+        raise TypeError(f"no size is known for values of type {name}")
+    return F.when(column.isNull(), F.lit(0)).otherwise(size).cast("bigint")
+
+
 def frame_profile(df: DataFrame) -> DataFrame:
     """One row: row count, column count and data bytes (values only, no buffers).
 
-    Booleans take one bit each, text and binary their own length, other types none.
+    Booleans take one bit each, text and binary their own length, nested values that of their parts.
     """
     per_row = 0
     varying = []
@@ -33,7 +56,10 @@ def frame_profile(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.BooleanType):
             bits += 1
         else:
-            per_row += WIDTHS.get(kind, 0)
+            if kind in WIDTHS:
+                per_row += WIDTHS[kind]
+            else:
+                varying.append(F.coalesce(F.sum(value_bytes(F.col(f"`{field.name}`"), field.dataType)), F.lit(0)))
     rows = F.count(F.lit(1))
     size = reduce(lambda a, b: a + b, varying, rows * F.lit(per_row))
     size = size + bits * F.ceil(rows / 8)

@@ -22,10 +22,26 @@ def infer_return_type(df: DataFrame, column: str, func: Callable) -> T.DataType:
     return from_arrow_type(inferred, prefer_timestamp_ntz=True)
 
 
+def checked(func: Callable, result: T.DataType) -> Callable:
+    """``func``, raising where a value would change when it is put into the inferred type."""
+    classes = {"bigint": (int,), "double": (float, int), "string": (str,), "boolean": (bool,)}
+    allowed = classes.get(result.simpleString())
+    if allowed is None:
+        return func
+
+    def call(value):
+        found = func(value)
+        if found is not None and (not isinstance(found, allowed) or (isinstance(found, bool) and bool not in allowed)):
+            raise TypeError(f"{found!r} does not fit the type found from the first rows; pass return_type")
+        return found
+
+    return call
+
+
 def map_values(df: DataFrame, column: str, func: Callable, new_name: str | None, return_type) -> DataFrame:
     """One call per value (``None`` for null); adds ``new_name`` or replaces the column."""
     result = return_type or infer_return_type(df, column, func)
-    mapped = F.udf(func, returnType=result, useArrow=True)(F.col(f"`{column}`"))
+    mapped = F.udf(func if return_type else checked(func, result), returnType=result, useArrow=True)(F.col(f"`{column}`"))
     if new_name:
         return df.withColumn(new_name, mapped)
     others = [F.col(f"`{c}`") for c in df.columns if c != column]

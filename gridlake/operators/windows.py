@@ -30,6 +30,15 @@ def _plain(df: DataFrame, keys: list[str], max_group: int | None) -> bool:
     return largest_group(df, keys) <= (MAX_GROUP_ROWS if max_group is None else max_group)
 
 
+def _meet(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null, as windows and groups have it; keys come once."""
+    other = right.select(*[F.col(f"`{c}`").alias(f"_meet_{c}" if c in keys else c) for c in right.columns])
+    same = F.lit(True)
+    for c in keys:
+        same = same & left[c].eqNullSafe(other[f"_meet_{c}"])
+    return left.join(other, same, how).drop(*[f"_meet_{c}" for c in keys])
+
+
 def number_chunks(df: DataFrame, keys: list[str], order: list[str], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Rows with their position in (keys, order) sequence and the chunk they fall into."""
     indexed = sort_index(df, [F.col(c).asc() for c in [*keys, *order]])
@@ -62,10 +71,8 @@ def ranking(df, keys, order, peers, tiles=4, max_group=None, chunk_rows=CHUNK_RO
         F.min(ROW).alias("_peer"), F.max(ROW).alias("_peer_last")
     )
     tied = densify(tied.withColumn("_peer_no", F.col("_peer")), "_peer_no")
-    spans = _group_spans(indexed, keys).join(
-        tied.groupBy(*keys).agg(F.min("_peer_no").alias("_first_peer")), keys
-    )
-    marked = indexed.join(tied, [*keys, *peers]).join(spans, keys)
+    spans = _meet(_group_spans(indexed, keys), tied.groupBy(*keys).agg(F.min("_peer_no").alias("_first_peer")), keys)
+    marked = _meet(_meet(indexed, tied, [*keys, *peers]), spans, keys)
     position = F.col(ROW) - F.col("_first")
     n = F.col("_n")
     wide, large = F.expr(f"_n div {tiles}"), F.expr(f"_n % {tiles}")
@@ -92,7 +99,7 @@ def row_numbers(df, keys, order, name="row_number", max_group=None, chunk_rows=C
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     indexed = number_chunks(df, keys, order, chunk_rows)
     first = indexed.groupBy(*keys).agg(F.min(ROW).alias("_first"))
-    numbered = indexed.join(first, keys)
+    numbered = _meet(indexed, first, keys)
     return numbered.select(*df.columns, (F.col(ROW) - F.col("_first") + 1).alias(name))
 
 
@@ -131,7 +138,7 @@ def edge_values(df, keys, order, column, nth: int = 2) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     numbered = df.select(*keys, *order, F.col(column).alias("_nth")).withColumn("_rn", F.row_number().over(w))
     picked = numbered.where(F.col("_rn") <= nth).where(F.col("_rn") == nth)
-    return edges.join(picked.select(*keys, F.col("_nth").alias("nth_value")), keys, "left")
+    return _meet(edges, picked.select(*keys, F.col("_nth").alias("nth_value")), keys, "left")
 
 
 def carry_last(df, keys, order, column, name, max_group=None, chunk_rows=CHUNK_ROWS) -> DataFrame:
@@ -147,7 +154,7 @@ def carry_last(df, keys, order, column, name, max_group=None, chunk_rows=CHUNK_R
     carried = ends.select(*keys, "_chunk", F.last("_end", ignorenulls=True).over(before).alias("_carry"))
     inside = Window.partitionBy("_chunk", *keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
     out = chunked.withColumn(name, F.last(column, ignorenulls=True).over(inside))
-    out = out.join(carried, ["_chunk", *keys], "left")
+    out = _meet(out, carried, ["_chunk", *keys], "left")
     return out.select(*df.columns, F.coalesce(name, "_carry").alias(name))
 
 
@@ -165,13 +172,14 @@ def running_sums(df, keys, order, sums: dict[str, Column], max_group=None, chunk
     # one row per chunk: the window below is over chunk summaries, not rows
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = parts.select(*keys, "_chunk", *[
-        F.coalesce(F.sum(f"_p_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in sums
+        F.sum(f"_p_{c}").over(before).alias(f"_b_{c}") for c in sums
     ])
     inside = Window.partitionBy("_chunk", *keys).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
     out = chunked.withColumns({f"_s_{c}": F.sum(c).over(inside) for c in sums})
-    out = out.join(bases, ["_chunk", *keys])
+    out = _meet(out, bases, ["_chunk", *keys])
+    # null as long as no value has come, as in a window
     return out.select(*df.columns, *[
-        (F.col(f"_b_{c}") + F.coalesce(F.col(f"_s_{c}"), F.lit(0))).alias(c) for c in sums
+        F.coalesce(F.col(f"_b_{c}") + F.col(f"_s_{c}"), f"_b_{c}", f"_s_{c}").alias(c) for c in sums
     ])
 
 
@@ -213,10 +221,12 @@ def range_frame(df, keys, order: str, seconds: int, aggregates: dict) -> DataFra
     marked = df.withColumn("_us", micros).withColumn("_bucket", bucket)
     late = F.pmod(F.col("_us"), F.lit(wide * 1_000_000)) >= (wide - seconds) * 1_000_000
     homes = F.array_compact(F.array(F.col("_bucket"), F.when(late, F.col("_bucket") + 1)))
+    # rows without a time are a bucket of their own
+    homes = F.when(F.col("_bucket").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(homes)
     spread = marked.withColumn("_home", F.explode(homes))
     w = Window.partitionBy(*keys, "_home").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
     out = spread.withColumns({name: f(w) for name, f in aggregates.items()})
-    return out.where(F.col("_home") == F.col("_bucket")).select(*df.columns, *aggregates)
+    return out.where(F.col("_home").eqNullSafe(F.col("_bucket"))).select(*df.columns, *aggregates)
 
 
 def groups_frame(df, keys, peers, before: int, after: int, column: str, max_group=None,
@@ -233,7 +243,7 @@ def groups_frame(df, keys, peers, before: int, after: int, column: str, max_grou
         "groups_sum": lambda w: F.sum("_sum").over(w),
         "groups_count": lambda w: F.sum("_count").over(w),
     }, max_group, chunk_rows)
-    return df.join(framed.drop("_sum", "_count"), [*keys, *peers])
+    return _meet(df, framed.drop("_sum", "_count"), [*keys, *peers])
 
 
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:

@@ -49,7 +49,8 @@ def cat_user_files(spark, sf_dir):
 def cat_permission(spark, sf_dir):
     files = dataset_file(spark, sf_dir)
     # every user asks for every dataset of the files granted to users of the same role
-    asked = role_user(spark, sf_dir).join(role_file(spark, sf_dir), "role").join(files, "path")
+    asked = role_file(spark, sf_dir).join(files, "path").select("role", "datasetId").distinct()
+    asked = role_user(spark, sf_dir).join(asked, "role")
     direct = user_file(spark, sf_dir).join(files, "path").select("username", "datasetId")
     pairs = asked.select("username", "datasetId").unionByName(direct).distinct()
     swapped = pairs.withColumn("username", F.concat(F.lit("x"), "username"))

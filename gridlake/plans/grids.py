@@ -58,7 +58,8 @@ def array_chunk_plan(spark, sf_dir):
 
 def var_meta_report(spark, sf_dir):
     meta = _var_meta(spark, sf_dir).withColumn("shape", F.array_join("shape", "x"))
-    return arrays.attribute_report(meta, [f"v{i}" for i in range(10)], ["shape", "dtype", "fill"])
+    names = sorted(r["var"] for r in meta.select("var").distinct().collect())  # one per label
+    return arrays.attribute_report(meta, names, ["shape", "dtype", "fill"])
 
 
 def array_pad(spark, sf_dir):

@@ -17,7 +17,7 @@ def slice_rows(spark, sf_dir):
 
 
 def slice_tail(spark, sf_dir):
-    return frame(spark, sf_dir, "events").slice(50).limit(10_000_000).select("event_id", "value").data
+    return frame(spark, sf_dir, "events").slice(50).select("event_id", "value").data
 
 
 def sort_rank(spark, sf_dir):

@@ -87,6 +87,9 @@ def read_arrow(spark: SparkSession, path: str) -> Frame:
             for row in batch.to_pylist():
                 with open_input(row["path"]) as source:
                     rows = pa.ipc.open_file(source).get_batch(row["batch_no"])
+                if sorted(rows.schema.names) != sorted(schema.names):
+                    raise ValueError(f"{row['path']} has other columns than the first file of the folder")
+                rows = rows.select(schema.names)
                 start = (row["file_no"] << 44) + (row["batch_no"] << 24)
                 position = pa.array(range(start, start + rows.num_rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([*rows.columns, position], [*schema.names, ROW])
