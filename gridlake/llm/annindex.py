@@ -24,7 +24,9 @@ from gridlake.session import stage
 # Bounds of the fit: sampled vectors, vectors per leaf of the sample, branches per node.
 SAMPLE, LEAF, BRANCHES = 20_000, 100, 8
 # Vectors of a block, and queries that meet a block at once.
-BLOCK, ASKED = 4096, 512
+BLOCK, ASKED = 1024, 256
+# Parts that the rows of a leaf are dealt out to.
+PARTS = 2
 CALIBRATION, RECALL = 200, 0.97
 _SLACK = 1e-9
 
@@ -115,12 +117,12 @@ def _cosine(query: np.ndarray, rows: np.ndarray) -> np.ndarray:
 def bundles(rows: DataFrame, name: str, most: int) -> DataFrame:
     """(leaf, names, matrix): rows (leaf, name, v) of a leaf in bundles of at most ``most``.
 
-    A leaf is dealt out over sixteen partitions, so a crowded one is not one task's work.
+    A leaf is dealt out to ``PARTS`` partitions and into bundles, which tasks share.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = rows.schema[name].dataType.simpleString()
     arrow = pa.list_(pa.int64()) if kind.startswith("array") else pa.int64()
-    salted = rows.select("leaf", name, "v", F.pmod(F.xxhash64(name), F.lit(16)).cast("int").alias("salt"))
+    salted = rows.select("leaf", name, "v", F.pmod(F.xxhash64(name), F.lit(PARTS)).cast("int").alias("salt"))
 
     def bundle(batches):
         held, key = [], None
@@ -230,11 +232,13 @@ class VectorIndex:
         k = self.k
         met = self._visiting(queries, leaves)
         asked = bundles(met, "q", ASKED).toDF("leaf", "q", "asked")
-        pairs = asked.join(self.blocks, "leaf").select("q", "asked", "ids", "matrix")
+        pairs = asked.join(self.blocks.hint("merge"), "leaf").select("q", "asked", "ids", "matrix")
 
         def score(batches):
             for batch in batches:
-                for q, asked, ids, matrix in zip(*(batch[c].to_pylist() for c in ("q", "asked", "ids", "matrix"))):
+                # a row at a time: blocks are large
+                for at in range(batch.num_rows):
+                    q, asked, ids, matrix = (batch[c][at].as_py() for c in ("q", "asked", "ids", "matrix"))
                     query = np.frombuffer(asked, "<f8").reshape(len(q), -1)
                     rows = np.frombuffer(matrix, "<f8").reshape(len(ids), -1)
                     near = unit(query) @ unit(rows).T
