@@ -8,7 +8,7 @@ whole variable: work is grouped by fixed-size chunks of positions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Chunk target in bytes, least rows per chunk, sample lengths, band counts.
@@ -39,6 +39,16 @@ def row_counts(var_meta: DataFrame, *keys: str) -> DataFrame:
     return var_meta.groupBy(*keys).agg(F.max(cells_of_shape(F.col("shape"))).alias("total_rows"))
 
 
+def one_after_another(cells: DataFrame, counts: DataFrame) -> DataFrame:
+    """Cells of several files with positions that run on from file to file, by file name.
+
+    ``counts`` has ``file, total_rows``, so the window is as small as the list of files.
+    """
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("file", F.coalesce(F.sum("total_rows").over(before), F.lit(0)).alias("_base"))
+    return cells.join(bases, "file").withColumn("pos", F.col("pos") + F.col("_base")).drop("_base")
+
+
 def chunk_rows(shape: Column, item_bytes: int = 8, target_bytes: int = CHUNK_BYTES) -> Column:
     """Slices along the first axis that make up one chunk."""
     fitting = F.floor(F.lit(target_bytes) / (inner_cells(shape) * item_bytes))

@@ -215,8 +215,9 @@ def _read_plan(plan: DataFrame) -> DataFrame:
 
 
 def count_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of the flattened file, from its header."""
-    return arrays.row_counts(var_meta(spark, path)).select("total_rows")
+    """Rows of the flattened files, from their headers."""
+    counts = arrays.row_counts(var_meta(spark, path), "file")
+    return counts.agg(F.coalesce(F.sum("total_rows"), F.lit(0)).alias("total_rows"))
 
 
 def sample_frame(spark: SparkSession, path: str) -> Frame:
@@ -250,9 +251,14 @@ def sample_frame(spark: SparkSession, path: str) -> Frame:
 
 
 def open_cells(spark: SparkSession, path: str, variables: list[str] | None = None) -> Frame:
-    """One file as a frame: a column per variable, a row per position, short ones null."""
-    names = variables or sorted(r[0] for r in var_meta(spark, path).select("var").distinct().collect())
-    wide = arrays.columns_wide(read_cells(spark, path, names), [], "var", names)
+    """Files as a frame: a column per variable, a row per position, short ones null.
+
+    The rows of a folder's files follow one another by file name.
+    """
+    meta = var_meta(spark, path)
+    names = variables or sorted(r[0] for r in meta.select("var").distinct().collect())
+    cells = arrays.one_after_another(read_cells(spark, path, names), arrays.row_counts(meta, "file"))
+    wide = arrays.columns_wide(cells, [], "var", names)
     return Frame(wide.withColumnRenamed("pos", ROW), dense=True)
 
 

@@ -120,8 +120,12 @@ def page_meta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels of the largest band of the file, from its directories."""
-    return page_meta(spark, path).agg(F.max(F.col("height") * F.col("width")).alias("total_rows"))
+    """Pixels of the largest band of each file, added up, from their directories."""
+    return _file_rows(page_meta(spark, path)).agg(F.coalesce(F.sum("total_rows"), F.lit(0)).alias("total_rows"))
+
+
+def _file_rows(pages: DataFrame) -> DataFrame:
+    return pages.groupBy("file").agg(F.max(F.col("height") * F.col("width")).alias("total_rows"))
 
 
 def sample_frame(spark: SparkSession, path: str) -> Frame:
@@ -169,10 +173,14 @@ def _read_plan(plan: DataFrame) -> DataFrame:
 
 
 def open_cells(spark: SparkSession, path: str) -> Frame:
-    """One file as a frame: a ``pageN_bandM`` column per band, a row per pixel, short ones null."""
-    pages = page_meta(spark, path).select("page", "bands").distinct().orderBy("page").collect()
+    """Files as a frame: a ``pageN_bandM`` column per band, a row per pixel, short ones null.
+
+    The pixels of a folder's files follow one another by file name.
+    """
+    meta = page_meta(spark, path)
+    pages = meta.groupBy("page").agg(F.max("bands").alias("bands")).orderBy("page").collect()
     names = [f"page{p['page']}_band{b + 1}" for p in pages for b in range(p["bands"])]
-    named = read_cells(spark, path).withColumn(
+    named = arrays.one_after_another(read_cells(spark, path), _file_rows(meta)).withColumn(
         "column", F.concat(F.lit("page"), F.col("page").cast("string"), F.lit("_band"), F.col("band").cast("string"))
     )
     wide = arrays.columns_wide(named, [], "column", names)

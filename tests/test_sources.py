@@ -247,6 +247,23 @@ def test_frame_written_as_netcdf(spark, folder):
     assert cells.agg(F.round(F.sum("value"), 2)).first()[0] == round(frame.sum("s_acctbal"), 2)
 
 
+def test_netcdf_folder_keeps_every_row(spark, folder):
+    df = spark.range(0, 1000, 1, 4).select(F.col("id").cast("double").alias("v"))
+    netcdf.write_records(df, f"{folder}/rows.nc")
+    assert netcdf.var_meta(spark, f"{folder}/rows.nc").select("file").distinct().count() >= 4
+    again = netcdf.open_cells(spark, f"{folder}/rows.nc")
+    assert netcdf.count_rows(spark, f"{folder}/rows.nc").first()[0] == 1000
+    assert [r["v"] for r in again.ordered.select("v").collect()] == [float(i) for i in range(1000)]
+
+
+def test_tiff_folder_keeps_every_pixel(spark, folder):
+    for i in range(3):
+        tiff_file(f"{folder}/p{i}.tif", [np.full((2, 3), i, dtype="u1")])
+    again = tiff.open_cells(spark, folder)
+    assert tiff.count_rows(spark, folder).first()[0] == 18
+    assert [r[0] for r in again.ordered.select("page1_band1").collect()] == [0.0] * 6 + [1.0] * 6 + [2.0] * 6
+
+
 # -- TIFF ------------------------------------------------------------------------
 def tiff_file(path, pages, order="<", planar=1, rows_per_strip=None):
     """Uncompressed pages, strips first and directory after them."""
