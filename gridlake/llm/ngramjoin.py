@@ -37,6 +37,8 @@ from gridlake.session import stage
 SKETCH, SLICES = 1 << 20, 64
 # Longs of the signature that joins carry, and cells of the one that pairs are tested by.
 SIGNATURE, WIDE = 8, 4096
+# Longs that the signature is folded to where it moves with every posting.
+FOLDED = 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 # Cells of the bitmap that picks the documents whose sets are computed again: a prime.
@@ -289,9 +291,9 @@ class NgramJoin:
         most = 1 + F.least(size_a - place_a - 1, size_b - place_b - 1) + F.least(place_a, place_b)
         return lengths & (most * (a + b) >= (size_a + size_b) * a)
 
-    def _bits_allow(self, size_a: Column, size_b: Column, bits_a: Column, bits_b: Column) -> Column:
+    def _bits_allow(self, size_a: Column, size_b: Column, bits_a: list[Column], bits_b: list[Column]) -> Column:
         a, b = self.share.numerator, self.share.denominator
-        apart = sum((F.bit_count(bits_a[i].bitwiseXOR(bits_b[i])) for i in range(SIGNATURE)), F.lit(0))
+        apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b)), F.lit(0))
         # differing members <= sizes - 2 * overlap, with the overlap at least share / (1 + share) of the sizes
         return apart * (a + b) <= (size_a + size_b) * (b - a)
 
@@ -322,10 +324,7 @@ class NgramJoin:
         met = lists.filter("doc <> c_doc")
         met = met.filter(self._may_link(F.col("size"), F.col("c_size"), F.col("place"), F.col("c_place")))
         pairs = met.groupBy(F.col("doc").alias("a"), F.col("c_doc").alias("b")).agg(F.count(F.lit(1)).alias("met"))
-        marks = parts.select("doc", "size", "bits")
-        for end in ("a", "b"):
-            pairs = pairs.join(marks.toDF(end, f"size_{end}", f"bits_{end}").hint("merge"), end)
-        pairs = pairs.filter(self._bits_allow(F.col("size_a"), F.col("size_b"), F.col("bits_a"), F.col("bits_b")))
+        pairs = self._by_signature(pairs, parts)
         # one centre for each, the one it meets most; the next step has what this leaves open
         best = pairs.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("m"))
         best = best.select("a", (-F.col("m.b")).alias("b"))
@@ -333,20 +332,34 @@ class NgramJoin:
 
     def _rest(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
         """All verified links between members of a posting list in different components."""
-        rows = lists.select("gram", "doc", "size", "place").join(parts.select("doc", "part", "bits").hint("merge"), "doc")
+        short = parts.select("doc", "part", *[_folded("bits", i).alias(f"fold{i}") for i in range(FOLDED)])
+        rows = lists.select("gram", "doc", "size", "place").join(short.hint("merge"), "doc")
         # lists of one component are settled; both sides of the join keep this partitioning
         whole = Window.partitionBy("gram")
         rows = rows.withColumns({"low": F.min("part").over(whole), "high": F.max("part").over(whole)}).filter("low < high")
-        left = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("doc", "size", "place", "part", "bits")])
-        right = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("doc", "size", "place", "part", "bits")])
+        moved = ("doc", "size", "place", "part", *[f"fold{i}" for i in range(FOLDED)])
+        left = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in moved])
+        right = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in moved])
         c = F.col
+        folds = [[c(f"fold{i}_{end}") for i in range(FOLDED)] for end in "ab"]
         met = left.join(
             right,
             (left["gram"] == right["gram"]) & (c("doc_a") < c("doc_b")) & (c("part_a") != c("part_b"))
             & self._may_link(c("size_a"), c("size_b"), c("place_a"), c("place_b"))
-            & self._bits_allow(c("size_a"), c("size_b"), c("bits_a"), c("bits_b")),
+            & self._bits_allow(c("size_a"), c("size_b"), *folds),
         )
-        return self._verify(met.select(c("doc_a").alias("a"), c("doc_b").alias("b")).distinct())
+        # whole signatures move for the few pairs that this leaves, not for every posting
+        pairs = met.select(c("doc_a").alias("a"), c("doc_b").alias("b")).distinct()
+        return self._verify(self._by_signature(pairs, parts))
+
+    def _by_signature(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose signatures differ in no more cells than their sets may."""
+        marks = parts.select("doc", "size", "bits")
+        for end in ("a", "b"):
+            pairs = pairs.join(marks.toDF(end, f"size_{end}", f"bits_{end}").hint("merge"), end)
+        longs = [[F.col(f"bits_{end}")[i] for i in range(SIGNATURE)] for end in "ab"]
+        allowed = self._bits_allow(F.col("size_a"), F.col("size_b"), *longs)
+        return pairs.filter(allowed).drop("size_a", "size_b", "bits_a", "bits_b")
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
@@ -371,6 +384,15 @@ class NgramJoin:
         )
 
 
+def _folded(bits: str, at: int) -> Column:
+    """One long of a signature of fewer cells: parities of cells that fall together add up."""
+    longs = [F.col(bits)[i] for i in range(at, SIGNATURE, FOLDED)]
+    out = longs[0]
+    for more in longs[1:]:
+        out = out.bitwiseXOR(more)
+    return out
+
+
 def _shared(batches):
     """Rows of sorted batches whose ``gram`` another row has too, each with the first of them."""
     names = ["doc", "size", "place"]
