@@ -11,7 +11,8 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
+import sys
+from array import array
 
 import numpy as np
 
@@ -23,7 +24,7 @@ _JOINED_SPACE = re.compile(f"(?<=[{_WHITE}]) (?=[{_WHITE}]|\\Z)")
 _RARE_WHITE = re.compile("[" + _WHITE.replace("\\t-\\r ", "\\x0b-\\r") + "]")
 # A word with or without its space, closing marks, and perhaps the start of the next line.
 _SIMPLE = re.compile("( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*)(?:(\n)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]*))?")
-CACHED_WORDS = 700_000
+CACHED_WORDS = 1_200_000
 
 _loaded: dict = {}
 
@@ -66,10 +67,9 @@ class ByteLevelEncoder:
         )
         added = [t["content"] for t in spec.get("added_tokens", [])]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
-        self.letters = byte_letters()
+        self.letters = {b: letter for b, letter in enumerate(byte_letters())}
         self.words = _Words(self.learn)
         self.words[""] = b""
-        self.pieces: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4").tobytes()
@@ -81,29 +81,29 @@ class ByteLevelEncoder:
             return self.whole(text)
         # a cut before each space, so that words keep theirs
         out = b"".join(map(self.words.__getitem__, text.replace(" ", "\0 ").split("\0")))
-        for cache in (self.words, self.pieces):
-            if len(cache) > CACHED_WORDS:  # frequent words came first
-                for late in list(cache)[CACHED_WORDS // 2:]:
-                    del cache[late]
+        if len(self.words) > CACHED_WORDS:  # frequent words came first
+            for late in list(self.words)[CACHED_WORDS // 2:]:
+                del self.words[late]
         return out
 
     def learn(self, word: str) -> bytes:
-        """Ids of a new word, piece by piece where the cut is plain."""
+        """Ids of a new word, piece by piece where the cut is plain; a piece is a word too."""
+        if word.isascii() and word[0] == " " and word[1:].isalpha():
+            return self.piece("Ġ" + word[1:])
         simple = _SIMPLE.fullmatch(word)
         if simple is None:
             return self.whole(word)
-        ids = b""
-        for piece in simple.groups():
-            if piece:
-                found = self.pieces.get(piece)
-                if found is None:
-                    spelled = piece.replace(" ", "Ġ").replace("\n", "Ċ")
-                    if not piece.isascii():
-                        spelled = "".join([self.letters[b] for b in piece.encode()])
-                    coded = [t.id for t in self.library.model.tokenize(spelled)]
-                    self.pieces[piece] = found = struct.pack(f"<{len(coded)}I", *coded)
-                ids += found
-        return ids
+        pieces = [piece for piece in simple.groups() if piece]
+        if len(pieces) > 1:
+            return b"".join([self.words[piece] for piece in pieces])
+        return self.piece(word.encode().decode("latin-1").translate(self.letters))
+
+    def piece(self, spelled: str) -> bytes:
+        """Ids of one piece, spelled with a letter for each byte."""
+        ids = array("I", [t.id for t in self.library.model.tokenize(spelled)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
 
 def encoder(path: str) -> ByteLevelEncoder:
