@@ -26,6 +26,7 @@ ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
           "small span strike strong sub sup time tt u var wbr br").split()
+METADATA = set("base basefont bgsound head link meta noscript script style template title".split())  # all a head may hold
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
 # Words of class names and ids that mark what is not the article.
 MARKS = ("ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
@@ -160,6 +161,11 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
                 ))
         parts, link_words = [], 0
 
+    def end_head() -> None:
+        """A head without end tag stops where anything else than its metadata begins."""
+        if stack and stack[-1][0] == "head":
+            count(*stack.pop(), -1)
+
     at = 0
     while at < len(page):
         found = _LEX.match(page, at)
@@ -168,6 +174,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         at = found.end()
         text = found["text"] or found["cdata"]
         if text is not None:
+            if depth["hidden"] and not text.isspace():
+                end_head()
             if not depth["hidden"]:
                 parts.append(text)
                 if links:
@@ -176,6 +184,8 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
         if found["tag"] is None:
             continue
         tag, ends = found["tag"].lower(), bool(found["end"])
+        if tag not in METADATA and (not ends or tag in ("body", "html", "br")):
+            end_head()
         if tag == "a":
             links = 0 if ends else 1
             continue

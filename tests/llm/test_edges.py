@@ -116,6 +116,27 @@ def test_pages(spark):
     assert html.extract_text(pages.unionAll(pages)).count() == 8
 
 
+_TITLE = "Seven boats in the old harbour"
+_FIRST, _SECOND = (" ".join(f"{w} the boat {i} lay still in the harbour," for i in range(6)) for w in ("First", "Later"))
+_MENU = "<ul><li><a href=/>Home</a><li><a href=/n>Latest news</a><li><a href=/s>Sport</a><li><a href=/w>Weather</a></ul>"
+_TEXT = f"{_TITLE}\n{_FIRST}\n{_SECOND}"
+_BODY = f"<h1>{_TITLE}</h1><p>{_FIRST}</p><p>{_SECOND}</p>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<html><head><meta charset=utf-8><title>no</title><style>p{{}}</style><body><article>{_BODY}</article></body></html>",
+    f"<head>\n<link rel=x>\n<script>no()</script>\n<article>{_BODY}</article>",
+    f"<head><title>no</title><noscript>no</noscript><template><p>no</p></template><h1>{_TITLE}</h1><p>{_FIRST}<p>{_SECOND}",
+])
+def test_page_without_end_of_head(page):
+    assert html.main_text(page) == _TEXT
+
+
+def test_text_ends_the_head():
+    assert html.main_text(f"<head><title>no</title> {_FIRST} <b>and</b> more<p>{_SECOND}") == f"{_FIRST} and more\n{_SECOND}"
+    assert html.main_text(f"<head><title>no</title><b>{_FIRST}</b><p>{_SECOND}") == f"{_FIRST}\n{_SECOND}"
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     hot = [1.0, 2.0, 0.5, -1.0]
