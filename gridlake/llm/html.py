@@ -45,12 +45,16 @@ LABELLED = [
     (2, 0.00, 1, 0.00, 2, 0.00, 1, 0, 0, 0, 1), (5, 1.00, 90, 0.00, 88, 0.00, 1, 0, 0, 0, 1),
     (300, 0.01, 9, 0.00, 11, 0.00, 1, 0, 0, 0, 1), (22, 0.10, 2, 1.00, 18, 0.00, 1, 0, 0, 0, 1),
     (40, 0.00, 12, 0.00, 9, 0.10, 1, 0, 0, 0, 1), (7, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 0, 1),
-    (1, 1.00, 30, 0.00, 45, 0.00, 1, 0, 0, 0, 1), (18, 0.90, 25, 0.50, 31, 0.40, 1, 0, 0, 0, 1),
+    (1, 1.00, 30, 0.00, 45, 0.00, 1, 0, 0, 0, 1), (18, 0.90, 25, 0.50, 31, 0.40, 1, 0, 0, 0, 0),
     (2, 0.00, 1, 1.00, 4, 0.00, 1, 0, 0, 0, 1), (30, 0.00, 2, 1.00, 1, 0.00, 1, 0, 0, 0, 1),
     (5, 0.00, 2, 1.00, 3, 0.00, 1, 0, 0, 1, 1), (4, 0.00, 1, 1.00, 200, 0.00, 1, 0, 0, 0, 1),
-    (3, 0.00, 3, 1.00, 2, 1.00, 1, 0, 0, 0, 1), (1, 0.00, 2, 0.90, 1, 0.80, 1, 0, 0, 0, 1),
-    (4, 0.50, 6, 0.70, 5, 1.00, 1, 0, 0, 0, 1), (2, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0, 0, 1),
-    (8, 0.70, 3, 0.90, 4, 1.00, 1, 0, 0, 0, 1), (15, 0.60, 8, 0.80, 2, 1.00, 1, 0, 0, 0, 1),
+    (3, 0.00, 3, 1.00, 2, 1.00, 1, 0, 0, 0, 0), (1, 0.00, 2, 0.90, 1, 0.80, 1, 0, 0, 0, 0),
+    (4, 0.50, 6, 0.70, 5, 1.00, 1, 0, 0, 0, 0), (2, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0, 0, 0),
+    (8, 0.70, 3, 0.90, 4, 1.00, 1, 0, 0, 0, 0), (15, 0.60, 8, 0.80, 2, 1.00, 1, 0, 0, 0, 0),
+    (30, 0.50, 5, 0.90, 7, 0.90, 1, 0, 0, 0, 0), (4, 1.00, 60, 0.00, 3, 1.00, 1, 0, 0, 0, 0),
+    (3, 1.00, 4, 1.00, 70, 0.00, 1, 0, 0, 0, 0), (9, 1.00, 0, 0.00, 6, 1.00, 1, 0, 0, 0, 0),
+    (7, 1.00, 8, 1.00, 0, 0.00, 1, 0, 0, 0, 0), (5, 1.00, 80, 0.00, 9, 0.00, 1, 0, 0, 1, 0),
+    (6, 1.00, 2, 1.00, 110, 0.00, 1, 0, 0, 1, 1), (6, 1.00, 75, 0.00, 90, 0.00, 1, 0, 0, 1, 1),
     (10, 0.00, 3, 1.00, 2, 1.00, 1, 0, 0, 0, 1), (6, 0.00, 2, 1.00, 4, 0.00, 1, 0, 0, 1, 1),
     (85, 0.02, 70, 0.01, 0, 0.00, 1, 0, 0, 0, 1), (11, 0.00, 90, 0.00, 15, 0.10, 1, 0, 0, 1, 1),
     (6, 0.00, 5, 1.00, 80, 0.00, 1, 1, 0, 1, 0), (12, 0.10, 40, 0.00, 3, 1.00, 1, 1, 0, 0, 0),
@@ -71,6 +75,39 @@ LABELLED = [
     (10, 0.00, 3, 1.00, 2, 1.00, 0, 0, 0, 0, 0), (3, 0.00, 4, 0.00, 2, 0.00, 0, 0, 0, 1, 0),
 ]
 
+# Labelled blocks that are the same in and out of main: words, links, those before and after, heading, label.
+EITHER = [
+    (70, 0.00, 4, 1.00, 3, 1.00, 0, 1), (70, 0.00, 0, 0.00, 0, 0.00, 0, 1), (50, 0.05, 80, 0.00, 3, 1.00, 0, 1),
+    (120, 0.00, 2, 1.00, 5, 0.00, 0, 1), (45, 0.00, 6, 0.00, 6, 0.00, 0, 1), (200, 0.10, 3, 1.00, 2, 1.00, 0, 1),
+    (80, 0.30, 60, 0.00, 50, 0.10, 0, 1), (40, 0.25, 50, 0.30, 4, 1.00, 0, 1), (35, 0.00, 1, 0.00, 1, 1.00, 0, 1),
+    (18, 0.00, 60, 0.00, 4, 1.00, 0, 1), (15, 0.00, 2, 1.00, 70, 0.00, 0, 1), (20, 0.20, 45, 0.10, 30, 0.00, 0, 1),
+    (25, 0.00, 40, 0.00, 0, 0.00, 0, 1), (60, 0.00, 8, 1.00, 0, 0.00, 0, 1), (3, 0.00, 60, 0.00, 70, 0.00, 0, 1),
+    (6, 0.00, 2, 1.00, 90, 0.00, 1, 1), (4, 0.00, 70, 0.00, 60, 0.00, 1, 1), (9, 0.00, 0, 0.00, 50, 0.00, 1, 1),
+    (7, 1.00, 2, 1.00, 100, 0.00, 1, 1), (5, 1.00, 70, 0.00, 80, 0.00, 0, 1), (30, 0.40, 70, 0.00, 60, 0.00, 0, 1),
+    (1, 1.00, 1, 1.00, 1, 1.00, 0, 0), (3, 1.00, 60, 0.00, 2, 1.00, 0, 0), (2, 1.00, 2, 1.00, 60, 0.00, 0, 0),
+    (2, 1.00, 0, 0.00, 2, 1.00, 0, 0), (2, 1.00, 2, 1.00, 0, 0.00, 0, 0), (3, 1.00, 3, 1.00, 5, 0.00, 0, 0),
+    (1, 1.00, 5, 0.00, 1, 1.00, 0, 0), (6, 1.00, 8, 1.00, 7, 1.00, 0, 0), (9, 0.80, 60, 0.00, 9, 0.80, 0, 0),
+    (9, 0.80, 9, 0.80, 60, 0.00, 0, 0), (12, 0.90, 12, 0.90, 0, 0.00, 0, 0), (25, 0.80, 20, 0.90, 22, 0.90, 0, 0),
+    (5, 1.00, 5, 1.00, 12, 0.00, 1, 0), (4, 1.00, 50, 0.00, 4, 1.00, 1, 0), (14, 1.00, 40, 0.00, 0, 0.00, 0, 0),
+    (12, 1.00, 0, 0.00, 80, 0.00, 0, 0), (40, 0.90, 4, 1.00, 6, 1.00, 0, 0), (2, 0.00, 3, 1.00, 3, 1.00, 1, 0),
+    (8, 0.00, 60, 0.00, 70, 0.00, 0, 1), (6, 0.00, 50, 0.00, 40, 0.00, 0, 1), (3, 1.00, 40, 0.00, 45, 0.00, 0, 1),
+    (3, 1.00, 70, 0.00, 2, 1.00, 0, 0), (4, 1.00, 72, 0.00, 0, 0.00, 0, 0), (8, 1.00, 120, 0.00, 3, 1.00, 0, 0),
+    (3, 1.00, 2, 1.00, 120, 0.00, 0, 0), (2, 1.00, 3, 1.00, 100, 0.00, 0, 0), (1, 1.00, 1, 1.00, 90, 0.00, 0, 0),
+    (5, 1.00, 90, 0.00, 4, 1.00, 0, 0), (1, 1.00, 95, 0.00, 1, 1.00, 0, 0), (6, 1.00, 6, 1.00, 130, 0.00, 0, 0),
+]
+# Short lines, which count in main only: words, those before and after, heading.
+SHORT = [
+    (2, 2, 2, 0), (2, 2, 3, 0), (3, 3, 1, 0), (1, 2, 1, 0), (2, 9, 2, 0), (3, 6, 3, 1), (1, 4, 2, 1), (2, 3, 0, 0), (3, 2, 12, 0),
+    (6, 3, 4, 0), (8, 2, 3, 0),
+]
+for _row in EITHER:
+    for _main in (0, 1):
+        LABELLED.append((*_row[:6], _main, 0, 0, *_row[6:]))
+        LABELLED += [(*_row[:6], _main, 1, 0, _row[6], 0), (*_row[:6], _main, 0, 1, _row[6], 0)]
+for _words, _before, _after, _heading in SHORT:
+    LABELLED += [(_words, 0.00, _before, 0.00, _after, 0.00, _main, 0, 0, _heading, _main) for _main in (0, 1)]
+LABELLED += [(w, 0.00, before, 0.00, 2, 0.00, 1, 0, 0, 0, 1) for w, before in ((2, 60), (3, 25), (1, 45), (3, 100), (2, 280))]
+
 
 class Tree:
     """A binary decision tree grown by Gini impurity, kept as node arrays."""
@@ -209,7 +246,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             if tag in ("p", "li", *HEADINGS) and stack and stack[-1][0] in ("p", *HEADINGS, *(["li"] if tag == "li" else [])):
                 name, marked = stack.pop()  # these end where the next begins
                 count(name, marked, -1)
-            marked = _marked(found["rest"]) and tag not in ("html", "body", *MAIN)
+            marked = _marked(found["rest"]) and tag not in ("html", "body", "main")
             stack.append((tag, marked))
             count(tag, marked, 1)
     close_block()
@@ -228,10 +265,7 @@ def main_text(page: str) -> str:
     rows[1:, 2], rows[1:, 3] = words[:-1], density[:-1]
     rows[:-1, 4], rows[:-1, 5] = words[1:], density[1:]
     rows[:, 6:] = [b[3:] for b in found]
-    # a page with an article has its text there
     chosen = block_tree().predict(rows) > 0.5
-    if rows[:, 6].any():
-        chosen &= rows[:, 6] > 0
     return "\n".join(b[0] for b, keep in zip(found, chosen) if keep)
 
 

@@ -137,6 +137,22 @@ def test_text_ends_the_head():
     assert html.main_text(f"<head><title>no</title><b>{_FIRST}</b><p>{_SECOND}") == f"{_FIRST}\n{_SECOND}"
 
 
+_CARD = "<article><h3><a href=/c>Other harbour stories this week</a></h3><p><a href=/c>Read on</a></p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div>{_MENU}</div><div>{_BODY}</div>{_CARD}</body>",
+    f"<body>{_BODY}<article class=comment><p>A reader thinks that these boats were never seven at all.</p></article></body>",
+    f"<body>{_BODY}<aside><article><p>{_FIRST}</p></article></aside></body>",
+    f"<main>{_MENU}<article>{_BODY}</article><div><a href=/a>All of our boats at half price</a></div>{_MENU}</main>",
+    f"<article>{_BODY}<article class='comment odd'><p>{_FIRST}</p></article></article>",
+    f"<main>{_BODY}</main><section><article class=comment><p>{_SECOND}</p></article></section>",
+    f"<body>{_MENU}{_BODY}</body>",
+])
+def test_words_and_links_decide_in_and_out_of_main(page):
+    assert html.main_text(page) == _TEXT
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     hot = [1.0, 2.0, 0.5, -1.0]
