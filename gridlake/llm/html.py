@@ -34,6 +34,11 @@ MARKS = ("ad ads advert adverts advertisement sponsor sponsored promo promotion
          "cookies consent gdpr popup modal alert newsletter subscribe signup login share sharing social related recommended "
          "pagination pager copyright legal skip toolbar search").split()
 
+# A name that begins or ends so tells what a page or its layout has or lacks, or how a post is filed: no mark.
+BEGINS = set("with without no not has have hide category tag type format status".split())
+ENDS = {"page", "layout"}
+LAYOUT_WORDS = 25  # a marked element with fewer words outside links is no layout
+
 FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_aside",
             "marked", "heading")
 
@@ -103,7 +108,9 @@ SHORT = [
 for _row in EITHER:
     for _main in (0, 1):
         LABELLED.append((*_row[:6], _main, 0, 0, *_row[6:]))
-        LABELLED += [(*_row[:6], _main, 1, 0, _row[6], 0), (*_row[:6], _main, 0, 1, _row[6], 0)]
+        LABELLED.append((*_row[:6], _main, 1, 0, _row[6], 0))
+        # a mark around nearly all the text of a page is a layout
+        LABELLED += [(*_row[:6], _main, 0, marked, _row[6], _row[7] * (marked <= 0.2)) for marked in (0.1, 0.2, 0.4, 1)]
 for _words, _before, _after, _heading in SHORT:
     LABELLED += [(_words, 0.00, _before, 0.00, _after, 0.00, _main, 0, 0, _heading, _main) for _main in (0, 1)]
 LABELLED += [(w, 0.00, before, 0.00, 2, 0.00, 1, 0, 0, 0, 1) for w, before in ((2, 60), (3, 25), (1, 45), (3, 100), (2, 280))]
@@ -168,32 +175,56 @@ _SPACES = re.compile(r"\s+")
 
 
 def _marked(rest: str) -> bool:
-    return any(word in _MARKED for _, value in _ATTRIBUTE.findall(rest) for word in _WORD.findall(value.lower()))
+    for _, value in _ATTRIBUTE.findall(rest):
+        for name in value.lower().split():
+            words = _WORD.findall(name)
+            if not _MARKED.isdisjoint(words) and words[0] not in BEGINS and words[-1] not in ENDS:
+                return True
+    return False
 
 
 _MARKED, _INLINE, _VOID, _HIDDEN = set(MARKS), set(INLINE), set(VOID), set(HIDDEN)
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
-    """(text, words, words in links, in main, in aside, marked, heading) of each text block."""
+def blocks(page: str) -> list[tuple[str, int, int, bool, bool, float, bool]]:
+    """(text, words, words in links, in main, in aside, marked, heading) of each text block.
+
+    ``marked`` is the share of the page's text outside the innermost marked element, or 0: near
+    0 where the element holds nearly all of it, as a layout does.  If there is text in a main
+    element, only that counts.
+    """
     out, parts, link_words, links = [], [], 0, 0
     stack: list[tuple[str, bool]] = []  # open block elements and whether marked
-    depth = {"main": 0, "aside": 0, "marked": 0, "heading": 0, "hidden": 0}
+    marks: list[int] = []  # open marked elements by number; -1 for a main element, which ends the marks around it
+    holds: list[list[int]] = []  # words outside links in each marked element: all, in a main element
+    page_holds = [0, 0]
+    depth = {"main": 0, "aside": 0, "heading": 0, "hidden": 0}
 
     def count(tag: str, marked: bool, step: int) -> None:
         depth["main"] += step * (tag in MAIN)
         depth["aside"] += step * (tag in ASIDE)
         depth["heading"] += step * (tag in HEADINGS)
         depth["hidden"] += step * (tag in _HIDDEN)
-        depth["marked"] += step * marked
+        if step < 0 and (marked or tag == "main"):
+            marks.pop()
+        elif marked:
+            marks.append(len(holds))
+            holds.append([0, 0])
+        elif tag == "main":
+            marks.append(-1)
 
     def close_block() -> None:
         nonlocal parts, link_words
         if parts:
             text = _SPACES.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
+                words = text.count(" ") + 1
+                if not depth["aside"]:
+                    for held in (page_holds, *(holds[m] for m in marks if m >= 0)):
+                        held[0] += max(0, words - link_words)
+                        held[1] += max(0, words - link_words) * (-1 in marks)
                 out.append((
-                    text, text.count(" ") + 1, link_words, depth["main"] > 0, depth["aside"] > 0, depth["marked"] > 0,
+                    text, words, link_words, depth["main"] > 0, depth["aside"] > 0, marks[-1] if marks else -1,
                     depth["heading"] > 0,
                 ))
         parts, link_words = [], 0
@@ -250,7 +281,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool, bool]]:
             stack.append((tag, marked))
             count(tag, marked, 1)
     close_block()
-    return out
+    inside = int(page_holds[1] > 0)
+    outside = [1 - h[inside] / page_holds[inside] if h[inside] >= LAYOUT_WORDS else 1.0 for h in holds]
+    return [(*b[:5], outside[b[5]] if b[5] >= 0 else 0.0, b[6]) for b in out]
 
 
 def main_text(page: str) -> str:

@@ -153,6 +153,20 @@ def test_words_and_links_decide_in_and_out_of_main(page):
     assert html.main_text(page) == _TEXT
 
 
+@pytest.mark.parametrize("page", [
+    f"<body><div class='with-sidebar'>{_BODY}<div class=sidebar><p>{_FIRST}</p></div></div></body>",
+    f"<body id='search-page'><div id='search-page'><article>{_BODY}</article></div></body>",
+    f"<div class='layout no-comments'><div><h1>{_TITLE}</h1></div><p>{_FIRST}</p><p>{_SECOND}</p></div>",
+    f"<div class='social'><article class='banner'>{_BODY}</article></div><footer>{_FIRST}</footer>",
+    f"<div class='widget'><div>{_BODY}</div><div class='share'>Tell all of your friends about this story of ours</div></div>",
+    f"<div class='toolbar'><main>{_BODY}</main></div><div class='cookie-notice'><p>{_FIRST * 9}</p></div>",
+    f"<article class='post category-social'>{_BODY}</article><div id=comments><div class=comment><p>{_FIRST}</p></div></div>",
+    f"<main>{_BODY}</main><section id=comments><p>{_FIRST * 9}</p><article><p>{_SECOND * 9}</p></article></section>",
+])
+def test_marks_of_a_layout(page):
+    assert html.main_text(page) == _TEXT
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     hot = [1.0, 2.0, 0.5, -1.0]
