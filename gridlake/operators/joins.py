@@ -1,13 +1,15 @@
 """Joins Spark has no operator for: as-of, containing interval, range aggregates.
 
-All of them order both sides together instead of pairing rows, so their cost does
-not depend on how many pairs would match.
+As-of joins and range aggregates order both sides together instead of pairing rows, so
+their cost does not depend on how many pairs would match; interval joins meet in buckets
+of time.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 from gridlake.operators import windows
 
@@ -57,15 +59,73 @@ def asof_join(left, right, keys, left_on, right_on, values, max_group=None, chun
     return rows.select(*keys, "_left.*", *[F.col(f"_match.{v}").alias(v) for v in values])
 
 
+def _place(column: str, kind) -> Column:
+    """Whole numbers that never fall where the values rise; one number for types without any."""
+    value, name = F.col(column), kind.typeName()
+    if name == "timestamp":
+        number = F.unix_micros(value)
+    elif name == "timestamp_ntz":
+        number = F.unix_micros(value.cast("timestamp"))
+    elif name == "date":
+        number = F.unix_date(value).cast("long")
+    elif name in ("byte", "short", "integer", "long"):
+        number = value.cast("long")
+    elif name in ("float", "double", "decimal"):
+        scaled = value.cast("double") * F.lit(float(1 << 20))
+        inner = F.least(F.greatest(scaled, F.lit(-2.0 ** 61)), F.lit(2.0 ** 61))
+        number = F.when(F.isnan(scaled), F.lit(1 << 61)).otherwise(F.floor(inner)).cast("long")
+    else:
+        number = F.lit(0).cast("long")
+    return F.least(F.greatest(number, F.lit(-(1 << 61))), F.lit(1 << 61))
+
+
 def containing_interval(points, intervals, keys, at, start, end, values, max_group=None,
                         chunk_rows=windows.CHUNK_ROWS) -> DataFrame:
-    """Points joined to the interval ``[start, end)`` of their key that contains them.
+    """Points joined to every interval ``[start, end)`` of their key that contains them.
 
-    The intervals of one key must not overlap: then only the latest one that started
-    can contain a point.
+    Intervals may overlap and repeat; each gives a row of its own.  An interval has a level,
+    the hexadecimal digits of its length, and lies in few buckets as wide as its level; a point
+    looks into one bucket of each level there is, then the exact bounds decide.  Buckets with
+    more than ``max_group`` points are split and their intervals repeated per part of
+    ``chunk_rows`` points at least.
     """
-    found = asof_join(points, intervals, keys, at, start, [start, end, *values], max_group, chunk_rows)
-    return found.where(F.col(at) < F.col(end))
+    biggest = windows.MAX_GROUP_ROWS if max_group is None else max_group
+    kinds = {c: df.schema[c].dataType for df, c in ((points, at), (intervals, start), (intervals, end))}
+    if len({k.typeName() for k in kinds.values()}) > 1:  # numbers of different types share no scale
+        whole = {"byte", "short", "integer", "long"}
+        if not all(k.typeName() in whole for k in kinds.values()):
+            kinds = dict.fromkeys(kinds, NullType())
+    spans = intervals.dropna(subset=[*keys, start, end]).where(F.col(start) < F.col(end)).select(
+        *keys, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([start, end, *values])]).alias("_right"),
+        _place(start, kinds[start]).alias("_from"), _place(end, kinds[end]).alias("_to"),
+    )
+    # 15 digits at most: a longer interval covers a few more buckets
+    digits = F.least(F.lit(15), F.length(F.hex(F.col("_to") - F.col("_from"))))
+    spans = spans.withColumn("_level", digits).select(
+        *keys, "_right", "_level",
+        F.explode(F.expr("sequence(shiftright(_from, 4 * _level), shiftright(_to, 4 * _level))")).alias("_bucket"),
+    )
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())  # 15 at most
+    rest = [c for c in points.columns if c not in keys]
+    looks = points.dropna(subset=[*keys, at]).select(
+        *keys, F.struct(*rest).alias("_left"), _place(at, kinds[at]).alias("_place"),
+        F.monotonically_increasing_id().alias("_tie"),
+        F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("_level"),
+    ).withColumn("_bucket", F.expr("shiftright(_place, 4 * _level)"))
+    group = [*keys, "_level", "_bucket"]
+    if windows.largest_group(looks, group) > biggest:
+        parts = F.ceil(F.col("count") / F.lit(max(biggest, chunk_rows))).cast("long")
+        hot = looks.groupBy(*group).count().where(F.col("count") > biggest).select(*group, parts.alias("_parts"))
+        looks = looks.join(hot, group, "left").withColumn("_part", F.col("_tie") % F.coalesce("_parts", F.lit(1)))
+        spans = spans.join(hot, group, "left").withColumn(
+            "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
+        )
+        group = [*group, "_part"]
+    met = looks.drop("_parts").join(spans.drop("_parts"), group)
+    inside = (F.col(f"_left.{at}") >= F.col("_right.c0")) & (F.col(f"_left.{at}") < F.col("_right.c1"))
+    return met.where(inside).select(
+        *keys, "_left.*", *[F.col(f"_right.c{i}").alias(c) for i, c in enumerate([start, end, *values])]
+    )
 
 
 def range_aggregate(probes, points, probe_on: str, point_on: str, value: Column,

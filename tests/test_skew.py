@@ -110,6 +110,34 @@ def test_containing_interval(spark):
     assert sorted((r["t"], r["n"]) for r in got.collect()) == [(t, t // 10) for t in range(200) if t % 10 < 6]
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_group": 4, "chunk_rows": 9}])
+@pytest.mark.parametrize("kind", ["int", "bigint", "double", "timestamp", "timestamp_ntz", "date", "decimal(12,3)", "string"])
+def test_overlapping_intervals(spark, kind, limits):
+    rng = random.Random(3)
+    intervals = [("a", 0, 10, -1), ("a", 1, 3, -2), ("a", 1, 3, -2), (None, 0, 99, -3), ("a", None, 9, -4), ("a", 9, 2, -5)]
+    for n in range(60):
+        low = rng.randrange(-50, 4000)
+        intervals.append((rng.choice("ab"), low, low + rng.choice([0, 1, 2, 15, 16, 17, 300, 5000]), n))
+    points = [("a", 5, 0), (None, 5, 1), ("a", None, 2)] + [(rng.choice("aaab"), rng.randrange(-60, 4200), i) for i in range(3, 200)]
+
+    def typed(rows, names, *columns):
+        shift = {"string": "lpad(cast({0} + 100 as string), 5, '0')", "date": "date_add(date'2020-01-01', {0})",
+                 "timestamp": "timestamp_seconds({0} * 60)",
+                 "timestamp_ntz": "cast(timestamp_seconds({0} * 60) as timestamp_ntz)"}.get(kind, f"cast({{0}} as {kind})")
+        return spark.createDataFrame(rows, names).withColumns({c: F.expr(shift.format(c)) for c in columns})
+
+    got = joins.containing_interval(
+        typed(points, "k string, t int, i int", "t"), typed(intervals, "k string, lo int, hi int, n int", "lo", "hi"),
+        ["k"], "t", "lo", "hi", ["n"], **limits,
+    )
+    assert got.columns == ["k", "t", "i", "lo", "hi", "n"]
+    want = Counter(
+        (i, n) for k, t, i in points for key, low, high, n in intervals
+        if k == key and None not in (k, t, low) and low <= t < high
+    )
+    assert want[0, -1] == 1 and Counter((r["i"], r["n"]) for r in got.collect()) == want
+
+
 def test_range_aggregate(spark):
     rng = random.Random(11)
     probes = [(i, rng.randrange(50)) for i in range(60)]
