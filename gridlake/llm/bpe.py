@@ -8,13 +8,14 @@ a run, its last token; tokens that the paths from all boundaries of the stretch
 stable and leave at once.  A token may follow another exactly if encoding the two together
 gives the two.
 
-Runs that are short (all words of ordinary text) are merged directly and remembered in a
-bounded cache; both ways give the same ids.
+Texts pass in windows.  Every run goes through the transducer; words and runs of at most
+``LONGEST`` characters are remembered in bounded caches, longer ones are not kept.
 """
 
 from __future__ import annotations
 
 import codecs
+import functools
 import hashlib
 import json
 import unicodedata
@@ -33,7 +34,7 @@ _GAP = regex.compile(f"[{_SPACE}]+")
 _SEPARATORS = regex.compile("[\\x1c-\\x1f]")
 WORD_END = "</w>"
 
-DIRECT = 64
+LONGEST = 64
 WINDOW = 4096
 CACHED_WORDS = 400_000
 PAIRS = 1 << 18
@@ -51,13 +52,15 @@ def byte_letters() -> list[str]:
 
 
 class Cache(dict):
-    """Values by key, made when first asked for; ``trim`` keeps it bounded."""
+    """Values by key, made when first asked for, kept for short keys; ``trim`` bounds their number."""
 
     def __init__(self, make):
         self.make = make
 
     def __missing__(self, key):
-        self[key] = value = self.make(key)
+        value = self.make(key)
+        if len(key) <= LONGEST:
+            self[key] = value
         return value
 
     def trim(self) -> None:
@@ -201,13 +204,8 @@ class Encoder:
         return symbols
 
     def _run(self, piece: str) -> tuple[int, ...]:
-        symbols = self._spelled(piece)
-        if len(symbols) <= DIRECT:
-            tokens = self.merges.merge(symbols)
-        else:
-            coder = RunEncoder(self.merges)
-            tokens = [*coder.feed(symbols), *coder.finish()]
-        return tuple(map(self.merges.ids.__getitem__, tokens))
+        coder = RunEncoder(self.merges)
+        return tuple(map(self.merges.ids.__getitem__, chain(coder.feed(self._spelled(piece)), coder.finish())))
 
     def _word(self, word: str) -> tuple[int, ...]:
         """Ids of a text without ordinary white space around it."""
@@ -224,7 +222,11 @@ class Encoder:
             self.runs.trim()
 
     def encode(self, text: str) -> Iterator[list[int]]:
-        """Ids of the whole text, a stretch of words at a time; added tokens are found in the raw text."""
+        """Ids of the whole text, a stretch of words at a time, streamed in windows."""
+        return self.blocks(text[at:at + WINDOW] for at in range(0, len(text), WINDOW))
+
+    def _window(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text that is held; added tokens are found in the raw text."""
         if self.added is None or not self.added.search(text):
             yield from self._plain(text)
             return
@@ -236,11 +238,16 @@ class Encoder:
         yield from self._plain(text[at:])
 
     def stream(self, parts: Iterable[str]) -> Iterator[int]:
-        """Ids of a text that arrives in parts, with ``WINDOW`` characters held at most.
+        """Ids of a text that arrives in parts, one by one."""
+        return chain.from_iterable(self.blocks(parts))
+
+    def blocks(self, parts: Iterable[str]) -> Iterator[list[int]]:
+        """Ids of a text that arrives in parts, with a part and ``WINDOW`` characters held at most.
 
         What follows the last white space waits, and of a longer stretch without any, its
         last run of one kind of character, which a ``RunEncoder`` takes over.  An added token
-        or a contraction is awaited before its first character is given up.
+        or a contraction is awaited before its first character is given up, and a letter until
+        all of its marks are there.
         """
         held, open_run = "", None
         margin = max([4, *map(len, self.merges.added)])
@@ -251,25 +258,31 @@ class Encoder:
                 if open_run is None:
                     gaps = [m.end() for m in _GAP.finditer(held, 0, cut)]
                     if gaps:
-                        yield from self._flat(held[:gaps[-1]])
+                        yield from self._window(held[:gaps[-1]])
                         held = held[gaps[-1]:]
                         continue
                     open_run = _LongStretch(self)
-                taken = open_run.take(held, cut)
-                yield from taken[0]
-                held = held[taken[1]:]
-                if taken[2]:
+                ids, used, over = open_run.take(held, cut)
+                yield ids
+                held = held[used:]
+                if over:
                     open_run = None
+                elif not used:
+                    break
         if open_run is not None:
-            ids, used, _ = open_run.take(held, len(held))
-            yield from ids
-            yield from open_run.close()
+            ids, used, _ = open_run.take(held, len(held), True)
+            yield ids + open_run.close()
             held = held[used:]
-        yield from self._flat(held)
+        yield from self._window(held)
+
 
-    def _flat(self, text: str) -> Iterator[int]:
-        for ids in self.encode(text):
-            yield from ids
+@functools.cache
+def _joining() -> frozenset[str]:
+    """Characters that are no marks but may compose with the one before, as Hangul vowels do."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x80, 0x20000))
+    seconds = {chr(int(p[1], 16)) for p in pairs if len(p) == 2 and p[0][0] != "<"}
+    jamo = map(chr, chain(range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
+    return frozenset(c for c in chain(seconds, jamo) if not unicodedata.combining(c))
 
 
 class _LongStretch:
@@ -282,8 +295,11 @@ class _LongStretch:
     def _kind(char: str) -> str:
         return "L" if regex.match(r"\p{L}", char) else "N" if regex.match(r"\p{N}", char) else "S"
 
-    def take(self, text: str, limit: int) -> tuple[list[int], int, bool]:
-        """Ids that became stable, characters used, whether white space ended the stretch."""
+    def take(self, text: str, limit: int, final: bool = False) -> tuple[list[int], int, bool]:
+        """Ids that became stable, characters used, whether white space ended the stretch.
+
+        ``final`` says that no more text follows.
+        """
         out, at = [], 0
         while at < limit:
             if _GAP.match(text, at):
@@ -297,8 +313,10 @@ class _LongStretch:
                 continue
             # a letter with its combining marks is normalised together
             end = at + 1
-            while end < len(text) and unicodedata.combining(text[end]):
+            while end < len(text) and not text[end].isascii() and (unicodedata.combining(text[end]) or text[end] in _joining()):
                 end += 1
+            if end == len(text) and not final:
+                break
             char = self.owner.normal(text[at:end])
             if char == "'" and self.kind != "S":
                 mark = _PIECES.match(self.owner.normal(text[at:at + 3]))
@@ -313,8 +331,10 @@ class _LongStretch:
                     out.extend(self.close())
                     self.run, self.kind = RunEncoder(self.owner.merges), kind
                 # the last character of a run carries the word end, so one always waits
-                out.extend(self._ids(self.run.feed(self.owner._spelled(self.waiting, False))) if self.waiting else [])
-                self.waiting = c
+                if len(self.waiting) >= LONGEST:
+                    out.extend(self._ids(self.run.feed(self.owner._spelled(self.waiting, False))))
+                    self.waiting = ""
+                self.waiting += c
             at = end
         return out, at, False
 

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import unicodedata
 
 import brute
 import numpy as np
@@ -92,6 +93,28 @@ def test_streaming_encoder_equals_library():
         assert list(coder.stream(text[i:i + 700] for i in range(0, len(text), 700))) == want
 
 
+def test_registered_encoder_streams(spark, monkeypatch):
+    merges, coder = bpe.tools(tokenizer(WORDS))
+    whole = []  # symbols merged at once: two tokens at most, as all other merging is the transducer's
+    merge = bpe.MergeList.merge
+    monkeypatch.setattr(bpe.MergeList, "merge", lambda self, symbols: whole.append(len(symbols)) or merge(self, symbols))
+    rnd = random.Random(11)
+    monkeypatch.setattr(coder, "words", bpe.Cache(coder._word))
+    monkeypatch.setattr(coder, "runs", bpe.Cache(coder._run))
+    letters = "aeinrsthABCxyz0189+/=,.'é日本ΣßÅ"
+    hangul = unicodedata.normalize("NFD", "".join(chr(rnd.randrange(0xAC00, 0xD7A4)) for _ in range(2500)))
+    texts = [
+        " ".join("".join(rnd.choice(letters) for _ in range(rnd.choice([3, 90, 600, 5000]))) for _ in range(40)),
+        "".join(rnd.choice(letters) for _ in range(9000)), hangul, "e" + "\u0301\u0323" * 3000 + "x" * 5000,
+        "x" * 4090 + "<|endoftext|>" + "y'll" * 1200, "ordinary words, unremarkable sentences " * 400 + "incomprehensibilities" * 5,
+    ]
+    library = brute.tokenizer(WORDS)
+    for text in texts:
+        assert [i for ids in coder.encode(text) for i in ids] == library.encode(text, add_special_tokens=False).ids
+    assert max(map(len, [*coder.words, *coder.runs])) <= 64
+    assert max(whole) <= 2 * merges.lookahead and len(whole) > 0
+
+
 def test_round_trip_rows(spark, odd):
     got = sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.round_trip(odd, tokenizer(WORDS)).collect())
     assert got == sorted(brute.round_trip(r.text) for r in odd.collect())
