@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import annindex, bitpack, bpe, chat, html, lengths, merkle, ngramjoin, quality, raking, toxicity
+from gridlake.llm import annindex, bitpack, bpe, chat, collocations, html, lengths, merkle, ngramjoin, quality, raking, toxicity
 
 NGRAM, SIMILARITY = 4, "17/20"
 MIX = {"budget": 0.5, "seed": "mix", "sweeps": 16, "power": 0.5}
@@ -80,6 +80,10 @@ def merkle_manifest(spark, sf_dir) -> DataFrame:
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
 
 
+def phrase_mining(spark, sf_dir) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def _mix_sql() -> str:
     topics = " ".join(f"WHEN contains(text, '{needle}') THEN '{name}'" for name, needle in raking.TOPICS)
     sql = f"""WITH RECURSIVE docs AS (
@@ -160,4 +164,5 @@ QUERIES = {
     "op9_source_mix": (source_mix, _mix_sql()),
     "op10_ngram_join": (near_copies, NEAR_SQL),
     "op12_merkle_manifest": (merkle_manifest, merkle.MANIFEST_SQL),
+    "op13_collocations": (phrase_mining, collocations.COLLOCATIONS_SQL),
 }
