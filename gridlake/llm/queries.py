@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridlake.llm import annindex, bitpack, bpe, chat, collocations, html, lengths, merkle, ngramjoin, quality, raking, toxicity
+from gridlake.llm import (
+    annindex, bitpack, bpe, chat, collocations, disclosure, html, lengths, merkle, ngramjoin, quality, raking, toxicity,
+)
 
 NGRAM, SIMILARITY = 4, "17/20"
 MIX = {"budget": 0.5, "seed": "mix", "sweeps": 16, "power": 0.5}
@@ -75,6 +77,11 @@ def near_copies(spark, sf_dir) -> DataFrame:
     return ngramjoin.NgramJoin(table(spark, sf_dir, "documents"), NGRAM, SIMILARITY).components()
 
 
+def personal_data(spark, sf_dir) -> DataFrame:
+    """Spans of the patterns, and of the terms that disclose what they match, in every text."""
+    return disclosure.span_digests(table(spark, sf_dir, "documents"))
+
+
 def merkle_manifest(spark, sf_dir) -> DataFrame:
     """Manifest by language, then every row's proof against a tampered copy of a third of the texts."""
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
@@ -163,6 +170,7 @@ QUERIES = {
     "op8_quality_rules": (quality_rules, None),
     "op9_source_mix": (source_mix, _mix_sql()),
     "op10_ngram_join": (near_copies, NEAR_SQL),
+    "op11_disclosure": (personal_data, None),
     "op12_merkle_manifest": (merkle_manifest, merkle.MANIFEST_SQL),
     "op13_collocations": (phrase_mining, collocations.COLLOCATIONS_SQL),
 }
