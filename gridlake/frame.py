@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from gridlake.functions import nulls
 from gridlake.functions.expressions import predicate
 from gridlake.operators import joins, profile, reshape, udf
+from gridlake.operators.pruning import ScanFiles
 from gridlake.operators.rowindex import ROW, densify, sort_index
 
+SHORT = 1000  # slices up to this length stop reading when they are full
 SMALL_LIMIT = 100_000  # above this, limits use row positions instead of one merging task
 
 
@@ -24,12 +26,16 @@ class Frame:
     ``df`` holds the visible columns plus hidden ones (names starting with ``_row`` or
     ``_sort``).  ``order`` lists the sort keys that define "first row, second row";
     an empty list means no order is known.  ``dense`` is true while ``_row`` counts
-    0, 1, 2 ... in exactly that order.
+    0, 1, 2 ... in exactly that order.  ``scan`` are the files of a scan and ``steps`` what was
+    done to its rows since, one by one, so that a slice can open the files it needs alone.
     """
 
-    def __init__(self, df: DataFrame, order: list[Column] | None = None, dense: bool = False):
+    def __init__(
+        self, df: DataFrame, order: list[Column] | None = None, dense: bool = False, scan: ScanFiles | None = None, steps: tuple = (),
+    ):
         self.df = df
         self.dense = dense
+        self.scan, self.steps = scan, steps
         if order is None:
             order = [F.col(ROW)] if ROW in df.columns else []
         self.order = order
@@ -84,6 +90,27 @@ class Frame:
     def _with(self, df: DataFrame, dense: bool | None = None) -> "Frame":
         return Frame(df, self.order, self.dense if dense is None else dense)
 
+    def _by_row(self, step: Callable[[DataFrame], DataFrame], dense: bool | None = None) -> "Frame":
+        """As ``_with``, for a step that looks at each row alone."""
+        return Frame(step(self.df), self.order, self.dense if dense is None else dense, self.scan, (*self.steps, step))
+
+    def _narrowed(self, offset: int, length: int | None) -> "Frame":
+        """This frame over the files alone that hold the given positions, where that is fewer."""
+        if self.scan is None:
+            return self
+        if self.dense:
+            df = None
+            if length is not None:
+                df = self.scan.head(offset + length)
+            df = df if df is not None else self.scan.covering(offset, length)
+        else:
+            df = None if length is None or offset + length > SMALL_LIMIT else self.scan.leading(self.steps, offset + length)
+        if df is None:
+            return self
+        for step in self.steps:
+            df = step(df)
+        return Frame(df, self.order, self.dense)
+
     def _hidden_columns(self) -> list[Column]:
         return [F.col(c) for c in self.df.columns if self._hidden(c)]
 
@@ -112,11 +139,12 @@ class Frame:
         self._require(*columns)
         if len(set(columns)) < len(columns):
             raise ValueError("select needs distinct column names")
-        return self._with(self.df.select(*[F.col(f"`{c}`") for c in columns], *self._hidden_columns()))
+        kept = [*[F.col(f"`{c}`") for c in columns], *self._hidden_columns()]
+        return self._by_row(lambda df: df.select(*kept))
 
     def drop(self, *columns: str) -> "Frame":
         self._require(*columns)
-        return self._with(self.df.drop(*columns))
+        return self._by_row(lambda df: df.drop(*columns))
 
     drop_columns = drop
 
@@ -127,9 +155,8 @@ class Frame:
         """Cast columns; with ``errors='coerce'`` values that do not fit become null."""
         self._require(*types)
         cast = "cast" if errors == "raise" else "try_cast"
-        return self._with(
-            self.df.withColumns({c: getattr(F.col(f"`{c}`"), cast)(t) for c, t in types.items()})
-        )
+        changed = {c: getattr(F.col(f"`{c}`"), cast)(t) for c, t in types.items()}
+        return self._by_row(lambda df: df.withColumns(changed))
 
     def append_column(self, name: str, column: Column | "Frame") -> "Frame":
         """Append a computed column, or the one column of a frame with the same row order."""
@@ -142,13 +169,14 @@ class Frame:
 
     def flatten(self) -> "Frame":
         """Replace every struct column by its fields, named ``parent.child``."""
-        return self._with(reshape.flatten_structs(self.df))
+        return self._by_row(reshape.flatten_structs)
 
     # -- filters ---------------------------------------------------------------
     def filter(self, condition: str | Column | "Frame") -> "Frame":
         """Keep rows by an expression text, a boolean column or a positional mask frame."""
         if isinstance(condition, str):
-            return self._with(self.df.where(predicate(self.data, condition)), dense=False)
+            kept = predicate(self.data, condition)
+            return self._by_row(lambda df: df.where(kept), dense=False)
         if isinstance(condition, Column):
             return self._with(self.df.where(condition), dense=False)
         left, mask = self.indexed(), condition.indexed()
@@ -174,12 +202,16 @@ class Frame:
     def slice(self, offset: int = 0, length: int | None = None) -> "Frame":
         if offset < 0 or (length is not None and length < 0):
             raise IndexError("offset and length must not be negative")
+        narrow = self._narrowed(offset, length)
+        if narrow is not self:
+            return narrow.slice(offset, length)
         if self.dense:
             inside = F.col(ROW) >= offset
             if length is not None:
                 inside &= F.col(ROW) < offset + length
             moved = self.df.where(inside).withColumn(ROW, F.col(ROW) - offset)
-            return Frame(moved, dense=True)
+            # there are no more; a limit lets tasks stop reading once they have them
+            return Frame(moved.limit(length) if length is not None and length <= SHORT else moved, dense=True)
         if length is not None and (offset + length <= SMALL_LIMIT or not self.order):
             df = self.df.orderBy(*self.order) if self.order else self.df
             return self._with(df.offset(offset).limit(length) if offset else df.limit(length))

@@ -99,6 +99,13 @@ def sample_summary(frame, rows: int = 10, total: DataFrame | None = None) -> Dat
 def preview_rows(frame, head_rows: int = 5, tail_rows: int = 5) -> DataFrame:
     """Head and tail rows with their position; the tail only when rows remain after the head."""
     dense = frame.indexed()
+    if dense.scan is not None:
+        # both ends by position: files in between are not opened
+        n = dense.df.agg(F.count(F.lit(1))).first()[0]
+        low = max(n - tail_rows, min(head_rows, n))
+        head, tail = dense.slice(0, head_rows), dense.slice(low)
+        ends = head.df.unionByName(tail.df.withColumn(ROW, F.col(ROW) + low))
+        return ends.withColumn("_total", F.lit(n).cast("bigint"))
     total = dense.df.agg(F.count(F.lit(1)).alias("_total"))
     marked = dense.df.withColumn("_total", total.scalar())
     return marked.where((F.col(ROW) < head_rows) | (F.col(ROW) >= F.col("_total") - tail_rows))

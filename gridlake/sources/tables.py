@@ -10,6 +10,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 
 from gridlake.frame import Frame
 from gridlake.functions.nulls import is_float
+from gridlake.operators.pruning import ScanFiles
 from gridlake.operators.rowindex import ROW, line_index, scan_index
 from gridlake.sources.files import list_files, open_input, spread
 
@@ -24,7 +25,35 @@ TIME_OPTIONS = {
 
 def read_parquet(spark: SparkSession, path: str) -> Frame:
     """A Parquet scan in file order; the row positions cost no shuffle of the rows."""
-    return Frame(scan_index(spark.read.parquet(path)), dense=True)
+    whole = spark.read.parquet(path)
+
+    def read(files: list[str] | None):
+        return whole if files is None else _below(spark.read.schema(whole.schema), path, files).parquet(*files)
+
+    return Frame(scan_index(whole), dense=True, scan=ScanFiles(read, scan_index))
+
+
+def _below(reader, path: str, files: list[str]):
+    """Files of a folder keep the columns that the names of its subfolders give."""
+    inner = all(f.rstrip("/") != path.rstrip("/") and not f.endswith(path) for f in files)
+    return reader.option("basePath", path) if inner and not any(c in path for c in "*?[{,") else reader
+
+
+def _by_line(df):
+    return line_index(df, F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
+
+
+def _text_frame(spark: SparkSession, path: str, reader, kind: str, finish=lambda df: df) -> Frame:
+    """A text scan in the order of files and lines; later reads of some files keep its types."""
+    whole = getattr(reader, kind)(path)
+
+    def read(files: list[str] | None):
+        if files is None:
+            return whole
+        return getattr(_below(reader.schema(whole.schema), path, files), kind)(files)
+
+    scan = ScanFiles(read, _by_line, finish, lines=True)
+    return Frame(scan.number(whole), dense=True, scan=scan)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> Frame:
@@ -36,9 +65,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     """
     reader = spark.read.options(**CSV_OPTIONS)
     reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    raw = reader.csv(path)
-    numbered = line_index(raw, F.col("_metadata.file_path"), F.col("_metadata.file_block_start"))
-    return Frame(numbered.withColumns({f.name: _cell(f) for f in raw.schema.fields}), dense=True)
+    return _text_frame(
+        spark, path, reader, "csv", lambda df: df.withColumns({f.name: _cell(f) for f in df.schema.fields if f.name != ROW})
+    )
 
 
 def _cell(field: T.StructField):
@@ -56,10 +85,7 @@ def _cell(field: T.StructField):
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> Frame:
     reader = spark.read.schema(schema) if schema else spark.read
-    raw = reader.json(path)
-    return Frame(
-        line_index(raw, F.col("_metadata.file_path"), F.col("_metadata.file_block_start")), dense=True
-    )
+    return _text_frame(spark, path, reader, "json")
 
 
 def read_arrow(spark: SparkSession, path: str) -> Frame:
