@@ -15,10 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridlake.functions.text import epoch_micros
+from gridlake.operators import ranges
 from gridlake.operators.rowindex import ROW, densify, sort_index
+from gridlake.session import stage
 
 MAX_GROUP_ROWS = 4_000_000
 CHUNK_ROWS = 250_000
+LONG_FRAME = 2_000  # rows that Spark may add up anew for each row
+DENSE_ROWS = 50_000  # rows in a time bucket of a RANGE frame, for the same reason
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -123,6 +127,35 @@ def neighbours(df, keys, order, column, steps: dict[str, int], max_group=None, c
     return out.drop(ROW, "_chunk")
 
 
+def known_neighbours(df, keys, order, column, steps: dict[str, int], max_group=None, chunk_rows=CHUNK_ROWS) -> DataFrame:
+    """The k-th known value of ``column`` before (negative) or behind each row of the group: lag and
+    lead that ignore nulls.
+
+    Cut groups number their known values; each row then asks for a number, so a run of nulls may be
+    longer than any chunk.
+    """
+    if not all(steps.values()):
+        raise ValueError("a neighbour is at least one known value away")
+    if _plain(df, keys, max_group):
+        w = Window.partitionBy(*keys).orderBy(*order)
+        wanted = {n: f"{'lead' if k > 0 else 'lag'}(`{column}`, {abs(k)}) IGNORE NULLS" for n, k in steps.items()}
+        return df.withColumns({n: F.expr(text).over(w) for n, text in wanted.items()})
+    # the number of known values up to each row, in the order of all groups
+    known = F.col(f"`{column}`").isNotNull()
+    counted = running_sums(df, [], [*keys, *order], {"_known": F.when(known, 1).otherwise(0).cast("long")}, chunk_rows=chunk_rows)
+    counted = stage(counted, "known-values")
+    values = counted.where(known).select(
+        (F.col("_known") - 1).alias("_no"), F.col(f"`{column}`").alias("_value"), *[F.col(k).alias(f"_same_{k}") for k in keys]
+    )
+    out = counted.withColumn("_behind", F.col("_known") - F.when(known, 1).otherwise(0))
+    for name, k in steps.items():
+        asked = F.col("_known") + (k - 1) if k > 0 else F.col("_behind") + k
+        found = out.withColumn("_ask", asked).join(values, F.col("_ask") == F.col("_no"), "left")
+        same = ranges.same_all([(F.col(c), F.col(f"_same_{c}")) for c in keys]) & F.col("_no").isNotNull()
+        out = found.withColumn(name, F.when(same, F.col("_value"))).drop("_ask", "_no", "_value", *[f"_same_{c}" for c in keys])
+    return out.select(*df.columns, *steps)
+
+
 def edge_values(df, keys, order, column, nth: int = 2) -> DataFrame:
     """Per group: first, last and n-th value of ``column`` and its last non-null value.
 
@@ -183,19 +216,36 @@ def running_sums(df, keys, order, sums: dict[str, Column], max_group=None, chunk
     ])
 
 
+def _function(spec):
+    return spec if callable(spec) else lambda w: ranges.over(spec, w)
+
+
 def rows_frame(df, keys, order, before: int, after: int, aggregates: dict, max_group=None,
                chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Aggregates over the ``before`` rows before and ``after`` rows behind each row.
 
-    ``aggregates`` maps names to functions of a window, for instance
-    ``{"avg3": lambda w: F.avg("value").over(w)}``.  Cut groups copy the rows next to a
-    chunk border into the neighbouring chunk, so every frame is complete in its chunk.
+    ``aggregates`` maps names to (function, column), function being count, sum, avg, min or max, for
+    instance ``{"avg3": ("avg", "value")}``, or to functions of a window.  Spark adds up every frame
+    anew, so frames longer than ``LONG_FRAME`` rows are joined from partial results instead, whatever
+    their length.  Shorter ones in cut groups copy the rows next to a chunk border into the
+    neighbouring chunk, so that every frame is complete in its chunk; functions of a window have that
+    way alone.
     """
+    named = not any(map(callable, aggregates.values()))
+    if named and before + after + 1 > min(LONG_FRAME, chunk_rows):
+        indexed = number_chunks(df, keys, order, chunk_rows).drop("_chunk")
+        spans = _group_spans(indexed, keys)
+        framed = _meet(indexed, spans, keys).withColumns({
+            "_lo": F.greatest("_first", F.col(ROW) - before),
+            "_hi": F.least(F.col("_first") + F.col("_n") - 1, F.col(ROW) + after),
+        })
+        return ranges.range_totals(framed, aggregates, "_lo", "_hi").select(*df.columns, *aggregates)
+    functions = {name: _function(spec) for name, spec in aggregates.items()}
     if _plain(df, keys, max_group):
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-before, after)
-        return df.withColumns({name: f(w) for name, f in aggregates.items()})
+        return df.withColumns({name: f(w) for name, f in functions.items()})
     if chunk_rows < max(before, after):
-        raise ValueError("the frame must fit into one chunk")
+        raise ValueError("functions of a window need a frame that fits into one chunk; name the aggregates instead")
     chunked = number_chunks(df, keys, order, chunk_rows)
     place = F.col(ROW) % chunk_rows
     homes = F.array_compact(F.array(
@@ -205,30 +255,61 @@ def rows_frame(df, keys, order, before: int, after: int, aggregates: dict, max_g
     ))
     spread = chunked.withColumn("_home", F.explode(homes))
     w = Window.partitionBy("_home", *keys).orderBy(ROW).rowsBetween(-before, after)
-    out = spread.withColumns({name: f(w) for name, f in aggregates.items()})
+    out = spread.withColumns({name: f(w) for name, f in functions.items()})
     return out.where(F.col("_home") == F.col("_chunk")).select(*df.columns, *aggregates)
 
 
-def range_frame(df, keys, order: str, seconds: int, aggregates: dict) -> DataFrame:
+def range_frame(df, keys, order: str, seconds: int, aggregates: dict, max_bucket=None) -> DataFrame:
     """Aggregates over the last ``seconds`` before each row, by a timestamp column.
 
-    Groups are cut into time buckets four frames wide; rows within one frame of a
-    bucket's end are copied to the next bucket.  One shuffle, a quarter more rows.
+    ``aggregates`` as for ``rows_frame``.  Groups are cut into time buckets four frames wide; rows
+    within one frame of a bucket's end are copied to the next bucket.  One shuffle, a quarter more
+    rows.  Where a bucket holds more than ``max_bucket`` rows, named aggregates are joined from
+    partial results, see ``dense_range_frame``.
     """
     wide = 4 * seconds
     micros = epoch_micros(F.col(order))
     bucket = F.floor(micros / (wide * 1_000_000)).cast("bigint")
     marked = df.withColumn("_us", micros).withColumn("_bucket", bucket)
+    if not any(map(callable, aggregates.values())):
+        if largest_group(marked, [*keys, "_bucket"]) > (DENSE_ROWS if max_bucket is None else max_bucket):
+            return dense_range_frame(df, keys, order, seconds, aggregates)
     late = F.pmod(F.col("_us"), F.lit(wide * 1_000_000)) >= (wide - seconds) * 1_000_000
     homes = F.array_compact(F.array(F.col("_bucket"), F.when(late, F.col("_bucket") + 1)))
     # rows without a time are a bucket of their own
     homes = F.when(F.col("_bucket").isNull(), F.array(F.lit(None).cast("bigint"))).otherwise(homes)
     spread = marked.withColumn("_home", F.explode(homes))
     w = Window.partitionBy(*keys, "_home").orderBy("_us").rangeBetween(-seconds * 1_000_000, 0)
-    out = spread.withColumns({name: f(w) for name, f in aggregates.items()})
+    out = spread.withColumns({name: _function(spec)(w) for name, spec in aggregates.items()})
     return out.where(F.col("_home").eqNullSafe(F.col("_bucket"))).select(*df.columns, *aggregates)
 
 
+def dense_range_frame(df, keys, order: str, seconds: int, aggregates: dict, bits: int = ranges.BITS,
+                      chunk_rows=CHUNK_ROWS) -> DataFrame:
+    """``range_frame`` for any number of rows in a frame.
+
+    Rows of one key and time share their frame, so they are added up first.  Frame ends are found by
+    putting the times and the times a frame earlier into one order and counting; the frames, now
+    ranges of positions, are joined from two partial results each.
+    """
+    parts = ranges.Parts(df, aggregates)
+    timed = df.withColumn("_us", epoch_micros(F.col(order)))
+    group = [*keys, "_us"]
+    ties = stage(timed.select(*group, *[c.alias(p) for p, c in parts.leaves.items()]).groupBy(*group).agg(*parts.merged()), "ties")
+    both = ties.withColumns({"_at": F.col("_us"), "_kind": F.lit(1)}).unionByName(
+        ties.select(*group, (F.col("_us") - seconds * 1_000_000).alias("_at"), F.lit(0).alias("_kind")), allowMissingColumns=True
+    )
+    counted = running_sums(both, [], [*keys, "_at", "_kind"], {"_seen": F.col("_kind").cast("long")}, chunk_rows=chunk_rows)
+    counted = stage(counted, "frame-ends")
+    starts = counted.where("_kind = 0").select(*group, F.col("_seen").alias("_lo"))
+    placed = counted.where("_kind = 1").select(*group, *parts.kinds, (F.col("_seen") - 1).alias(ROW))
+    framed = stage(_meet(placed, starts, group).withColumn("_hi", F.col(ROW)), "frames")
+    totals = ranges.range_parts(framed, parts, "_lo", "_hi", bits).select(
+        *group, *[c.alias(name) for name, c in parts.results().items()]
+    )
+    return _meet(timed, totals, group).select(*df.columns, *aggregates)
+
+
 def groups_frame(df, keys, peers, before: int, after: int, column: str, max_group=None,
                  chunk_rows=CHUNK_ROWS) -> DataFrame:
     """Sum and count over whole peer groups around each row's own (a GROUPS frame).
@@ -240,8 +321,7 @@ def groups_frame(df, keys, peers, before: int, after: int, column: str, max_grou
         F.sum(column).alias("_sum"), F.count(column).alias("_count")
     )
     framed = rows_frame(ties, keys, peers, before, after, {
-        "groups_sum": lambda w: F.sum("_sum").over(w),
-        "groups_count": lambda w: F.sum("_count").over(w),
+        "groups_sum": ("sum", "_sum"), "groups_count": ("sum", "_count"),
     }, max_group, chunk_rows)
     return _meet(df, framed.drop("_sum", "_count"), [*keys, *peers])
 
@@ -250,32 +330,3 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int) -
     """The first ``n`` rows of each group; Spark keeps only ``n`` per task before it shuffles."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n)
-
-
-def exact_quantiles(df, keys, value, points: dict[str, float], max_group=None, chunk_rows=CHUNK_ROWS) -> DataFrame:
-    """Interpolated quantiles per group, exact for groups of any size.
-
-    Spark's ``percentile`` keeps all distinct values of a group in one buffer, which is
-    fine for groups within ``max_group``.  Beyond it the sorted positions around each
-    quantile are looked up instead.
-    """
-    known = df.where(F.col(value).isNotNull())
-    if _plain(known, keys, max_group):
-        # one buffer for all points
-        all_points = F.percentile(value, F.array(*[F.lit(float(q)) for q in points.values()]))
-        found = known.groupBy(*keys).agg(all_points.alias("_all"))
-        return found.select(*keys, *[F.col("_all")[i].alias(name) for i, name in enumerate(points)])
-    indexed = number_chunks(known.select(*keys, value), keys, [value], chunk_rows)
-    spans = _group_spans(indexed, keys)
-    wanted = spans.withColumn("_q", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("name"), (F.lit(q) * (F.col("_n") - 1)).alias("at"))
-        for name, q in points.items()
-    ])))
-    low, share = F.floor("_q.at"), F.col("_q.at") - F.floor("_q.at")
-    needed = wanted.select(*keys, F.col("_q.name").alias("_name"), F.explode(F.array(
-        F.struct((F.col("_first") + low).alias("row"), (1 - share).alias("weight")),
-        F.struct((F.col("_first") + F.ceil("_q.at")).alias("row"), share.alias("weight")),
-    )).alias("_need"))
-    needed = needed.select(*keys, "_name", F.col("_need.row").alias(ROW), F.col("_need.weight").alias("_w"))
-    found = needed.join(indexed.select(ROW, value), ROW)
-    return found.groupBy(*keys).pivot("_name", list(points)).agg(F.sum(F.col(value) * F.col("_w")))

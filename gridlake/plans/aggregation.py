@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridlake.functions import nulls
-from gridlake.operators import reports, windows
+from gridlake.operators import quantiles, reports
 from gridlake.plans.inputs import BENCH_RUNS_SQL, GAPS_SQL, bench_runs, frame, gap_frame, table
 
 
@@ -107,8 +107,8 @@ _SETS = "GROUPING SETS ((l_returnflag, l_linestatus), (year(l_shipdate)), (l_ret
 def sql_quantiles(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
     points = {"q10": 0.1, "median": 0.5, "q90": 0.9}
-    quantiles = windows.exact_quantiles(line, ["l_returnflag"], "l_extendedprice", points)
-    return quantiles.select("l_returnflag", *[F.round(p, 4).alias(p) for p in points])
+    found = quantiles.exact_quantiles(line, ["l_returnflag"], "l_extendedprice", points)
+    return found.select("l_returnflag", *[F.round(p, 4).alias(p) for p in points])
 
 
 def sql_mode_skew(spark, sf_dir):

@@ -37,10 +37,34 @@ def win_ignore_nulls(spark, sf_dir):
 def win_rows(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
     framed = windows.rows_frame(events, ["user_id"], ["ts", "event_id"], 3, 1, {
-        "moving_sum": lambda w: F.round(F.sum("value").over(w), 2),
-        "moving_max": lambda w: F.max("value").over(w),
+        "moving_sum": ("sum", "value"), "moving_max": ("max", "value"),
     })
-    return framed.drop("ts")
+    return framed.drop("ts").withColumn("moving_sum", F.round("moving_sum", 2))
+
+
+def win_rows_long(spark, sf_dir):
+    """Frames over most of a table: the 3000 line items before each in order of price."""
+    line = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    framed = windows.rows_frame(line, ["l_returnflag"], ["l_extendedprice", "l_orderkey", "l_linenumber"], 3000, 0, {
+        "n": ("count", None), "quantity": ("sum", "l_quantity"), "least": ("min", "l_quantity"), "lowest": ("min", "l_extendedprice"),
+    })
+    return framed.select("l_orderkey", "l_linenumber", "n", F.round("quantity", 2).alias("quantity"), "least", "lowest")
+
+
+def win_range_dense(spark, sf_dir):
+    """Frames that hold a third of the table, whatever the density of times."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderdate").cast("timestamp_ntz").alias("at"), "o_totalprice")
+    framed = windows.dense_range_frame(orders, ["o_orderstatus"], "at", 700 * 86400, {
+        "n": ("count", None), "total": ("sum", "o_totalprice"), "least": ("min", "o_totalprice"), "most": ("max", "o_totalprice"),
+    })
+    return framed.select("o_orderkey", "n", F.round("total", 2).alias("total"), "least", "most")
+
+
+def win_known_neighbours(spark, sf_dir):
+    events = gap_frame(spark, sf_dir).data.select("user_id", "event_id", "note")
+    return windows.known_neighbours(
+        events, ["user_id"], ["event_id"], "note", {"last_note": -1, "second_last": -2, "next_note": 1}
+    )
 
 
 def win_running(spark, sf_dir):
@@ -52,10 +76,9 @@ def win_running(spark, sf_dir):
 def win_range(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_type", "event_id", "ts", "value")
     framed = windows.range_frame(events, ["event_type"], "ts", 6 * 3600, {
-        "recent_sum": lambda w: F.round(F.sum("value").over(w), 2),
-        "recent_n": lambda w: F.count(F.lit(1)).over(w),
+        "recent_sum": ("sum", "value"), "recent_n": ("count", None),
     })
-    return framed.drop("ts")
+    return framed.drop("ts").withColumn("recent_sum", F.round("recent_sum", 2))
 
 
 def win_groups(spark, sf_dir):
@@ -77,6 +100,18 @@ def sql_time_bucket(spark, sf_dir):
 
 
 QUERIES = {
+    "win_rows_long": (win_rows_long, """SELECT l_orderkey, l_linenumber, count(*) OVER w AS n,
+      round(sum(l_quantity) OVER w, 2) AS quantity, min(l_quantity) OVER w AS least, min(l_extendedprice) OVER w AS lowest
+      FROM lineitem WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice, l_orderkey, l_linenumber
+        ROWS BETWEEN 3000 PRECEDING AND CURRENT ROW)"""),
+    "win_range_dense": (win_range_dense, """SELECT o_orderkey, count(*) OVER w AS n, round(sum(o_totalprice) OVER w, 2) AS total,
+      min(o_totalprice) OVER w AS least, max(o_totalprice) OVER w AS most
+      FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate::TIMESTAMP
+        RANGE BETWEEN INTERVAL 700 DAYS PRECEDING AND CURRENT ROW)"""),
+    "win_known_neighbours": (win_known_neighbours, f"""SELECT user_id, event_id, note,
+      lag(note IGNORE NULLS) OVER w AS last_note, lag(note, 2 IGNORE NULLS) OVER w AS second_last,
+      lead(note IGNORE NULLS) OVER w AS next_note
+      FROM {GAPS_SQL} WINDOW w AS (PARTITION BY user_id ORDER BY event_id)"""),
     "win_ranking": (win_ranking, """SELECT p_partkey, p_brand, p_size,
       row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) AS row_number,
       rank() OVER (PARTITION BY p_brand ORDER BY p_size) AS rank,

@@ -67,13 +67,6 @@ def test_groups_frame(points):
     same(windows.groups_frame(*args), windows.groups_frame(*args, max_group=2, chunk_rows=6))
 
 
-def test_exact_quantiles(points):
-    args = (points, ["k"], "v", {"q0": 0.0, "q25": 0.25, "mid": 0.5, "q100": 1.0})
-    plain, cut = windows.exact_quantiles(*args), windows.exact_quantiles(*args, max_group=3, chunk_rows=9)
-    names = ["q0", "q25", "mid", "q100"]
-    same(rounded(plain, *names), rounded(cut, *names))
-
-
 def test_range_frame(spark):
     rng = random.Random(3)
     rows = [("hot" if i % 3 else "cold", rng.randrange(5000), i) for i in range(300)]
