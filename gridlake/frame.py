@@ -15,6 +15,7 @@ from gridlake.functions.expressions import predicate
 from gridlake.operators import joins, profile, reshape, udf
 from gridlake.operators.pruning import ScanFiles
 from gridlake.operators.rowindex import ROW, densify, sort_index
+from gridlake.session import stage
 
 SHORT = 1000  # slices up to this length stop reading when they are full
 SMALL_LIMIT = 100_000  # above this, limits use row positions instead of one merging task
@@ -36,6 +37,7 @@ class Frame:
         self.df = df
         self.dense = dense
         self.scan, self.steps = scan, steps
+        self.unsettled = False
         if order is None:
             order = [F.col(ROW)] if ROW in df.columns else []
         self.order = order
@@ -57,6 +59,7 @@ class Frame:
     @property
     def ordered(self) -> DataFrame:
         """The visible columns, sorted into row order."""
+        self._settle()
         df = self.df.orderBy(*self.order) if self.order else self.df
         return df.select(*[F.col(f"`{c}`") for c in self.column_names])
 
@@ -122,6 +125,7 @@ class Frame:
     # -- row positions ---------------------------------------------------------
     def indexed(self) -> "Frame":
         """The same rows with a dense ``_row`` column."""
+        self._settle()
         if self.dense:
             return self
         if not self.order:
@@ -202,6 +206,7 @@ class Frame:
     def slice(self, offset: int = 0, length: int | None = None) -> "Frame":
         if offset < 0 or (length is not None and length < 0):
             raise IndexError("offset and length must not be negative")
+        self._settle()
         narrow = self._narrowed(offset, length)
         if narrow is not self:
             return narrow.slice(offset, length)
@@ -333,9 +338,20 @@ class Frame:
     # -- SQL and combination ---------------------------------------------------
     def sql(self, text: str) -> "Frame":
         """Run SQL over this frame under the name ``dataframe``; the result is a new frame."""
-        from gridlake.operators.sqlaction import run_sql
-
-        return Frame(run_sql(self.data, text), order=[])
+        from gridlake.operators.sqlaction import is_ordered, run_sql
+
+        found = run_sql(self.data, text)
+        if not is_ordered(found):
+            return Frame(found, order=[])
+        # the rows have an order of their own; it is fixed when a position is first asked for
+        placed = Frame(found.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), [F.col(ROW)])
+        placed.unsettled = True
+        return placed
+
+    def _settle(self) -> None:
+        """Stage the rows of an ordered query, so that ties have one place in all later calls."""
+        if self.unsettled:
+            self.df, self.unsettled = stage(self.df, "sql-order"), False
 
     def merge(self, other: "Frame", on: str | list[str], how: str = "inner") -> "Frame":
         return Frame(joins.merge(self.data, other.data, on, how), order=[])

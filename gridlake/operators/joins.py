@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NullType
+from pyspark.sql.types import DoubleType, NumericType
 
 from gridlake.operators import windows
 
@@ -60,7 +60,7 @@ def asof_join(left, right, keys, left_on, right_on, values, max_group=None, chun
 
 
 def _place(column: str, kind) -> Column:
-    """Whole numbers that never fall where the values rise; one number for types without any."""
+    """Whole numbers that never fall where the values rise."""
     value, name = F.col(column), kind.typeName()
     if name == "timestamp":
         number = F.unix_micros(value)
@@ -74,8 +74,11 @@ def _place(column: str, kind) -> Column:
         scaled = value.cast("double") * F.lit(float(1 << 20))
         inner = F.least(F.greatest(scaled, F.lit(-2.0 ** 61)), F.lit(2.0 ** 61))
         number = F.when(F.isnan(scaled), F.lit(1 << 61)).otherwise(F.floor(inner)).cast("long")
+    elif name == "string":  # the first seven bytes
+        head = F.substring(F.hex(F.encode(value, "UTF-8")), 1, 14)
+        number = F.conv(F.rpad(head, 14, "0"), 16, 10).cast("long")
     else:
-        number = F.lit(0).cast("long")
+        raise TypeError(f"interval bounds need an order by numbers, {column} is {name}")
     return F.least(F.greatest(number, F.lit(-(1 << 61))), F.lit(1 << 61))
 
 
@@ -86,15 +89,21 @@ def containing_interval(points, intervals, keys, at, start, end, values, max_gro
     Intervals may overlap and repeat; each gives a row of its own.  An interval has a level,
     the hexadecimal digits of its length, and lies in few buckets as wide as its level; a point
     looks into one bucket of each level there is, then the exact bounds decide.  Buckets with
-    more than ``max_group`` points are split and their intervals repeated per part of
-    ``chunk_rows`` points at least.
+    more than ``max_group`` points or intervals are split on that side into parts of ``chunk_rows``
+    rows at least, and the other side's rows are repeated per part.  Bounds are numbers, times or
+    texts of one type; a column that both sides have is refused.
     """
     biggest = windows.MAX_GROUP_ROWS if max_group is None else max_group
     kinds = {c: df.schema[c].dataType for df, c in ((points, at), (intervals, start), (intervals, end))}
-    if len({k.typeName() for k in kinds.values()}) > 1:  # numbers of different types share no scale
+    if len({k.typeName() for k in kinds.values()}) > 1:
         whole = {"byte", "short", "integer", "long"}
-        if not all(k.typeName() in whole for k in kinds.values()):
-            kinds = dict.fromkeys(kinds, NullType())
+        if not all(isinstance(k, NumericType) for k in kinds.values()):
+            raise TypeError("points and interval bounds need one type, got " + ", ".join(sorted({k.typeName() for k in kinds.values()})))
+        if not all(k.typeName() in whole for k in kinds.values()):  # they share the scale of doubles
+            kinds = dict.fromkeys(kinds, DoubleType())
+    clash = {c.lower() for c in points.columns} & {c.lower() for c in (start, end, *values)}
+    if clash:
+        raise ValueError(f"points and intervals both have {', '.join(sorted(clash))}; rename one side")
     spans = intervals.dropna(subset=[*keys, start, end]).where(F.col(start) < F.col(end)).select(
         *keys, F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([start, end, *values])]).alias("_right"),
         _place(start, kinds[start]).alias("_from"), _place(end, kinds[end]).alias("_to"),
@@ -113,21 +122,53 @@ def containing_interval(points, intervals, keys, at, start, end, values, max_gro
         F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("_level"),
     ).withColumn("_bucket", F.expr("shiftright(_place, 4 * _level)"))
     group = [*keys, "_level", "_bucket"]
-    if windows.largest_group(looks, group) > biggest:
-        parts = F.ceil(F.col("count") / F.lit(max(biggest, chunk_rows))).cast("long")
-        hot = looks.groupBy(*group).count().where(F.col("count") > biggest).select(*group, parts.alias("_parts"))
-        looks = looks.join(hot, group, "left").withColumn("_part", F.col("_tie") % F.coalesce("_parts", F.lit(1)))
-        spans = spans.join(hot, group, "left").withColumn(
-            "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
-        )
-        group = [*group, "_part"]
-    met = looks.drop("_parts").join(spans.drop("_parts"), group)
+    looks, spans, group = _split(looks, spans, group, F.col("_tie"), biggest, chunk_rows, "_part")
+    spans, looks, group = _split(spans, looks, group, F.xxhash64("_right"), biggest, chunk_rows, "_other_part")
+    met = looks.join(spans, group)
     inside = (F.col(f"_left.{at}") >= F.col("_right.c0")) & (F.col(f"_left.{at}") < F.col("_right.c1"))
     return met.where(inside).select(
         *keys, "_left.*", *[F.col(f"_right.c{i}").alias(c) for i, c in enumerate([start, end, *values])]
     )
 
 
+def _split(many, few, group, salt: Column, biggest: int, chunk_rows: int, name: str):
+    """Groups of more than ``biggest`` rows of ``many`` in parts, those of ``few`` repeated per part."""
+    if windows.largest_group(many, group) <= biggest:
+        return many, few, group
+    parts = F.ceil(F.col("count") / F.lit(max(biggest, chunk_rows))).cast("long")
+    hot = many.groupBy(*group).count().where(F.col("count") > biggest).select(*group, parts.alias("_parts"))
+    many = many.join(hot, group, "left").withColumn(name, F.pmod(salt, F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    repeated = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))
+    few = few.join(hot, group, "left").withColumn(name, repeated).drop("_parts")
+    return many, few, [*group, name]
+
+
+def overlapping_intervals(left, right, keys, left_on: tuple[str, str], right_on: tuple[str, str], max_group=None,
+                          chunk_rows=windows.CHUNK_ROWS) -> DataFrame:
+    """Pairs of rows of one key whose intervals ``[start, end)`` share a point.
+
+    The later start of a pair lies in the other interval, so pairs are found by ``containing_interval``
+    from either side: right starts in left intervals, left starts behind the right ones.  Each pair
+    comes once, repeated rows repeat it; null keys, null bounds and empty intervals match nothing.
+    """
+    (ls, le), (rs, re) = left_on, right_on
+    clash = {c.lower() for c in left.columns if c not in keys} & {c.lower() for c in right.columns if c not in keys}
+    if clash:
+        raise ValueError(f"both sides have {', '.join(sorted(clash))}; rename one side")
+
+    def known(df, start, end, row):
+        df = df.dropna(subset=[*keys, start, end]).where(F.col(start) < F.col(end))
+        return df.select(*keys, F.col(start).alias(f"{row}_from"), F.col(end).alias(f"{row}_to"),
+                         F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in keys]).alias(row))
+
+    a, b = known(left, ls, le, "_a"), known(right, rs, re, "_b")
+    later = containing_interval(b.drop("_b_to"), a, keys, "_b_from", "_a_from", "_a_to", ["_a"], max_group, chunk_rows)
+    earlier = containing_interval(a.drop("_a_to"), b, keys, "_a_from", "_b_from", "_b_to", ["_b"], max_group, chunk_rows)
+    kept = [*keys, "_a", "_b"]
+    pairs = later.select(*kept).unionByName(earlier.where(F.col("_a_from") > F.col("_b_from")).select(*kept))
+    return pairs.select(*keys, "_a.*", "_b.*")
+
+
 def range_aggregate(probes, points, probe_on: str, point_on: str, value: Column,
                     chunk_rows=windows.CHUNK_ROWS) -> DataFrame:
     """For each probe row: count and sum over all points with ``point_on <= probe_on``.

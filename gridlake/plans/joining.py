@@ -77,15 +77,25 @@ def join_asof(spark, sf_dir):
     return joins.asof_join(purchases, views, ["user_id"], "ts", "view_ts", ["view_ts", "view_id", "view_value"])
 
 
+def join_overlap(spark, sf_dir):
+    """Three hours from each sign-up of a user that overlap the two hours around a purchase."""
+    events = table(spark, sf_dir, "events")
+    sessions = events.where("event_type = 'signup'").select(
+        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("opened"), F.expr("ts + INTERVAL '3' HOUR").alias("closed")
+    )
+    around = events.where("event_type = 'purchase'").select(
+        "user_id", F.col("event_id").alias("purchase_id"), F.expr("ts - INTERVAL '2' HOUR").alias("from_ts"),
+        F.expr("ts + INTERVAL '2' HOUR").alias("to_ts"),
+    )
+    return joins.overlapping_intervals(sessions, around, ["user_id"], ("opened", "closed"), ("from_ts", "to_ts"))
+
+
 def join_interval(spark, sf_dir):
-    """Events inside the three hours after the user's latest sign-up, if it still holds."""
+    """Events inside the three hours after each of the user's sign-ups."""
     events = table(spark, sf_dir, "events")
     signups = events.where("event_type = 'signup'").select("user_id", "ts", "event_id")
-    following = windows.neighbours(signups, ["user_id"], ["ts", "event_id"], "ts", {"next_ts": 1})
-    episodes = following.select(
-        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("starts"),
-        # cut at the next sign-up, so that the intervals of a user do not overlap
-        F.least(F.expr("ts + INTERVAL '3' HOUR"), "next_ts").alias("ends"),
+    episodes = signups.select(
+        "user_id", F.col("event_id").alias("signup_id"), F.col("ts").alias("starts"), F.expr("ts + INTERVAL '3' HOUR").alias("ends"),
     )
     others = events.where("event_type <> 'signup'").select("user_id", "event_id", "ts")
     return joins.containing_interval(others, episodes, ["user_id"], "ts", "starts", "ends", ["signup_id"])
@@ -111,6 +121,10 @@ def bench_compare(spark, sf_dir):
 
 
 QUERIES = {
+    "join_overlap": (join_overlap, """SELECT s.user_id, s.event_id AS signup_id, s.ts AS opened, s.ts + INTERVAL 3 HOUR AS closed,
+      p.event_id AS purchase_id, p.ts - INTERVAL 2 HOUR AS from_ts, p.ts + INTERVAL 2 HOUR AS to_ts
+      FROM events s JOIN events p ON p.user_id = s.user_id AND s.ts < p.ts + INTERVAL 2 HOUR AND p.ts - INTERVAL 2 HOUR < s.ts + INTERVAL 3 HOUR
+      WHERE s.event_type = 'signup' AND p.event_type = 'purchase'"""),
     "join_inner": (_merge("inner"), _merge_sql("INNER")),
     "join_left": (_merge("left"), _merge_sql("LEFT")),
     "join_right": (_merge("right"), _merge_sql("RIGHT")),
@@ -133,8 +147,7 @@ QUERIES = {
       ON p.user_id = v.user_id AND p.ts >= v.ts"""),
     "join_interval": (join_interval, """SELECT e.user_id, e.event_id, e.ts, starts, ends, signup_id
       FROM (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'signup') e
-      JOIN (SELECT user_id, event_id AS signup_id, ts AS starts, least(ts + INTERVAL 3 HOUR,
-          lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS ends
+      JOIN (SELECT user_id, event_id AS signup_id, ts AS starts, ts + INTERVAL 3 HOUR AS ends
         FROM events WHERE event_type = 'signup') s
       ON e.user_id = s.user_id AND e.ts >= starts AND e.ts < ends"""),
     "sql_lateral": (sql_lateral, """SELECT l_orderkey, l_partkey, l_suppkey,

@@ -131,6 +131,40 @@ def test_overlapping_intervals(spark, kind, limits):
     assert want[0, -1] == 1 and Counter((r["i"], r["n"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_group": 3, "chunk_rows": 4}])
+def test_pairs_of_overlapping_intervals(spark, limits):
+    rng = random.Random(8)
+    sides = []
+    for side in range(2):
+        rows = [("a", 0, 10, -1), ("a", 10, 20, -2), ("a", 5, 5, -3), (None, 0, 9, -4), ("a", None, 9, -5), ("a", 0, 10, -1), ("a", 9, 3, -6)]
+        for n in range(70):
+            low = rng.randrange(0, 300)
+            rows.append((rng.choice("aab"), low, low + rng.choice([0, 1, 2, 40, 500]), n))
+        sides.append(rows)
+    left = spark.createDataFrame(sides[0], "k string, s int, e int, i int")
+    right = spark.createDataFrame(sides[1], "k string, rs int, re int, j int")
+    got = joins.overlapping_intervals(left, right, ["k"], ("s", "e"), ("rs", "re"), **limits)
+    assert got.columns == ["k", "s", "e", "i", "rs", "re", "j"]
+    want = Counter(
+        (i, j) for k, s, e, i in sides[0] for key, rs, re, j in sides[1]
+        if k is not None and k == key and None not in (s, rs) and s < e and rs < re and s < re and rs < e
+    )
+    assert want[-1, -1] == 4 and Counter((r["i"], r["j"]) for r in got.collect()) == want
+
+
+def test_intervals_refuse_what_has_no_order(spark):
+    one = spark.createDataFrame([("a", 1, 2)], "k string, lo int, hi int")
+    for points, names in ((spark.createDataFrame([("a", "x")], "k string, t string"), ("lo", "hi")),
+                          (spark.createDataFrame([("a", 1)], "k string, lo int"), ("lo", "hi"))):
+        at = points.columns[1]
+        with pytest.raises((TypeError, ValueError)):
+            joins.containing_interval(points, one, ["k"], at, *names, [])
+    with pytest.raises(ValueError):
+        joins.overlapping_intervals(one, one, ["k"], ("lo", "hi"), ("lo", "hi"))
+    mixed = joins.containing_interval(spark.createDataFrame([("a", 1.5)], "k string, t double"), one, ["k"], "t", "lo", "hi", [])
+    assert [tuple(r) for r in mixed.collect()] == [("a", 1.5, 1, 2)]
+
+
 def test_range_aggregate(spark):
     rng = random.Random(11)
     probes = [(i, rng.randrange(50)) for i in range(60)]
