@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.pandas.types import from_arrow_type, to_arrow_type
 
 INFER_ROWS = 100
 
@@ -26,12 +26,20 @@ def checked(func: Callable, result: T.DataType) -> Callable:
     """``func``, raising where a value would change when it is put into the inferred type."""
     classes = {"bigint": (int,), "double": (float, int), "string": (str,), "boolean": (bool,)}
     allowed = classes.get(result.simpleString())
-    if allowed is None:
-        return func
+    arrow = to_arrow_type(result)
+
+    def fits(found) -> bool:
+        if allowed is not None:
+            return isinstance(found, allowed) and (bool in allowed or not isinstance(found, bool))
+        try:  # lists, structs, times: what comes back must be what was put in
+            own = pa.scalar(found)
+            return own.type == arrow or pa.scalar(found, arrow).as_py() == own.as_py()
+        except (pa.ArrowInvalid, pa.ArrowTypeError, pa.ArrowNotImplementedError):
+            return False
 
     def call(value):
         found = func(value)
-        if found is not None and (not isinstance(found, allowed) or (isinstance(found, bool) and bool not in allowed)):
+        if found is not None and not fits(found):
             raise TypeError(f"{found!r} does not fit the type found from the first rows; pass return_type")
         return found
 

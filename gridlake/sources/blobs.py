@@ -41,7 +41,8 @@ def load_blobs(files: DataFrame, root: str = "") -> DataFrame:
 def load_chunks(files: DataFrame, root: str = "", chunk_bytes: int = FETCH_BYTES) -> DataFrame:
     """``path, chunk_no, chunk_offset, chunk_length, bytes`` of every file, range by range.
 
-    Ranges are spread over all tasks, so one huge file is read by many of them.
+    Ranges are spread over all tasks, so one huge file is read by many of them.  A file that is gone
+    or shorter than its size fails the job: a transfer is whole or none.
     """
     plan = chunk_plan(files.select("path", "size"), "size", chunk_bytes).drop("size")
     schema = plan.schema.add("bytes", "binary")
@@ -53,7 +54,10 @@ def load_chunks(files: DataFrame, root: str = "", chunk_bytes: int = FETCH_BYTES
                 path, start, length = (
                     part.column(c)[0].as_py() for c in ("path", "chunk_offset", "chunk_length")
                 )
-                data = pa.array([_read(root + path, start, length)], pa.binary())
+                found = _read(root + path, start, length)
+                if found is None or len(found) != length:
+                    raise OSError(f"{root + path}: {'unreadable' if found is None else len(found)}, expected {length} bytes at {start}")
+                data = pa.array([found], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, data], [*part.schema.names, "bytes"])
 
     return spread(plan, "path", "chunk_no").mapInArrow(read, schema)

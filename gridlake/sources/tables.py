@@ -116,6 +116,8 @@ def read_arrow(spark: SparkSession, path: str) -> Frame:
                 if sorted(rows.schema.names) != sorted(schema.names):
                     raise ValueError(f"{row['path']} has other columns than the first file of the folder")
                 rows = rows.select(schema.names)
+                if row["file_no"] >= 1 << 19 or row["batch_no"] >= 1 << 20 or rows.num_rows > 1 << 24:
+                    raise ValueError(f"{row['path']}: too many files, batches or rows in a batch for row positions")
                 start = (row["file_no"] << 44) + (row["batch_no"] << 24)
                 position = pa.array(range(start, start + rows.num_rows), pa.int64())
                 yield pa.RecordBatch.from_arrays([*rows.columns, position], [*schema.names, ROW])
