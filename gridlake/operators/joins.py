@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, NumericType
 
 from gridlake.operators import windows
+from gridlake.session import stage
 
 
 def merge(left, right, on: str | list[str], how: str = "inner", max_group=None) -> DataFrame:
@@ -59,6 +60,41 @@ def asof_join(left, right, keys, left_on, right_on, values, max_group=None, chun
     return rows.select(*keys, "_left.*", *[F.col(f"_match.{v}").alias(v) for v in values])
 
 
+def lateral_latest(outer, inner, keys, outer_on, inner_on, tie, n, values, max_group=None,
+                   chunk_rows=windows.CHUNK_ROWS) -> DataFrame:
+    """For each outer row the ``n`` latest inner rows of its key at or before it, the latest first.
+
+    The correlated ``LATERAL (... WHERE inner_on <= outer_on ORDER BY inner_on DESC, tie DESC LIMIT n)``
+    without pairs: both sides are put in one order, each outer row counts the inner ones before it,
+    and asks for the last ``n`` of these numbers.  Adds ``nth`` (1 is the latest) and ``values``.  Outer
+    rows without any, and null keys or times, give no row; ``tie`` tells inner rows of one time apart.
+    """
+    clash = ({c.lower() for c in outer.columns} | {"nth"}) & {c.lower() for c in values}
+    if clash:
+        raise ValueError(f"outer and inner rows both have {', '.join(sorted(clash))}; rename one side")
+    left = outer.dropna(subset=[*keys, outer_on]).select(
+        *keys, F.col(outer_on).alias("_at"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_tie"),
+        F.struct(*[F.col(f"`{c}`") for c in outer.columns if c not in keys]).alias("_outer"),
+    )
+    right = inner.dropna(subset=[*keys, inner_on]).select(
+        *keys, F.col(inner_on).alias("_at"), F.lit(0).alias("_side"), F.col(tie).cast("long").alias("_tie"),
+        F.struct(*[F.col(f"`{c}`") for c in values]).alias("_inner"),
+    )
+    both = left.unionByName(right, allowMissingColumns=True)
+    counted = windows.running_sums(
+        both, [], [*keys, "_at", "_side", "_tie"], {"_seen": F.when(F.col("_side") == 0, 1).otherwise(0).cast("long")}, chunk_rows=chunk_rows
+    )
+    counted = stage(counted, "lateral")
+    numbered = counted.where("_side = 0").select(*[F.col(k).alias(f"_same_{k}") for k in keys], F.col("_seen").alias("_no"), "_inner")
+    asked = counted.where("_side = 1").select(
+        *keys, "_outer", "_seen", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("nth")
+    ).withColumn("_no", F.col("_seen") - F.col("nth") + 1)
+    met = asked.join(numbered, "_no")
+    for k in keys:
+        met = met.where(F.col(k) == F.col(f"_same_{k}"))
+    return met.select(*keys, "_outer.*", F.col("nth").cast("bigint").alias("nth"), "_inner.*")
+
+
 def _place(column: str, kind) -> Column:
     """Whole numbers that never fall where the values rise."""
     value, name = F.col(column), kind.typeName()

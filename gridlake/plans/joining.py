@@ -77,6 +77,16 @@ def join_asof(spark, sf_dir):
     return joins.asof_join(purchases, views, ["user_id"], "ts", "view_ts", ["view_ts", "view_id", "view_value"])
 
 
+def sql_lateral_limit(spark, sf_dir):
+    """Each purchase with the user's three latest views at or before it."""
+    events = table(spark, sf_dir, "events")
+    purchases = events.where("event_type = 'purchase'").select("user_id", "event_id", "ts")
+    views = events.where("event_type = 'view'").select(
+        "user_id", F.col("event_id").alias("view_id"), F.col("ts").alias("view_ts"), F.col("value").alias("view_value")
+    )
+    return joins.lateral_latest(purchases, views, ["user_id"], "ts", "view_ts", "view_id", 3, ["view_id", "view_ts", "view_value"])
+
+
 def join_overlap(spark, sf_dir):
     """Three hours from each sign-up of a user that overlap the two hours around a purchase."""
     events = table(spark, sf_dir, "events")
@@ -121,6 +131,11 @@ def bench_compare(spark, sf_dir):
 
 
 QUERIES = {
+    "sql_lateral_limit": (sql_lateral_limit, """SELECT p.user_id, p.event_id, p.ts, v.nth, v.view_id, v.view_ts, v.view_value
+      FROM (SELECT user_id, event_id, ts FROM events WHERE event_type = 'purchase') p, LATERAL (
+        SELECT row_number() OVER (ORDER BY e.ts DESC, e.event_id DESC) AS nth, e.event_id AS view_id, e.ts AS view_ts, e.value AS view_value
+        FROM events e WHERE e.event_type = 'view' AND e.user_id = p.user_id AND e.ts <= p.ts
+        ORDER BY e.ts DESC, e.event_id DESC LIMIT 3) v"""),
     "join_overlap": (join_overlap, """SELECT s.user_id, s.event_id AS signup_id, s.ts AS opened, s.ts + INTERVAL 3 HOUR AS closed,
       p.event_id AS purchase_id, p.ts - INTERVAL 2 HOUR AS from_ts, p.ts + INTERVAL 2 HOUR AS to_ts
       FROM events s JOIN events p ON p.user_id = s.user_id AND s.ts < p.ts + INTERVAL 2 HOUR AND p.ts - INTERVAL 2 HOUR < s.ts + INTERVAL 3 HOUR

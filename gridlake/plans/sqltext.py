@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gridlake.plans.inputs import frame
+from gridlake.operators import sampling
+from gridlake.plans.inputs import frame, table
 
 
 def sql_action(spark, sf_dir):
@@ -43,6 +44,18 @@ def sql_exists(spark, sf_dir):
       GROUP BY l_orderkey""").data
 
 
+def sample_strata(spark, sf_dir):
+    """Twenty orders of each status, by a hash of their key."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    return sampling.sample_rows(orders, 20, ["o_orderkey"], ["o_orderstatus"])
+
+
+def sample_fixed(spark, sf_dir):
+    """Exactly 1500 line items of the table."""
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return sampling.sample_rows(line, 1500, ["l_orderkey", "l_linenumber"])
+
+
 def sql_hash_sample(spark, sf_dir):
     """A repeatable tenth of the rows, chosen by a digest of the key."""
     return frame(spark, sf_dir, "events").sql("""
@@ -58,6 +71,10 @@ def sql_file_functions(spark, sf_dir):
 
 
 QUERIES = {
+    "sample_strata": (sample_strata, """SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders
+      QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('sample|=' || o_orderkey), o_orderkey) <= 20"""),
+    "sample_fixed": (sample_fixed, """SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+      ORDER BY md5('sample|=' || l_orderkey || '|=' || l_linenumber), l_orderkey, l_linenumber LIMIT 1500"""),
     "sql_action": (sql_action, """SELECT * FROM (SELECT user_id, event_type, count(*) AS n, round(sum(value), 2) AS total
       FROM events WHERE value > 5 GROUP BY user_id, event_type) WHERE n > 3 AND event_type <> 'error'"""),
     "sql_cte": (sql_cte, """WITH spend AS (SELECT o_custkey, sum(o_totalprice) AS total, count(*) AS n

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -27,17 +29,25 @@ def session(app_name: str = "gridlake", master: str | None = None, **conf) -> Sp
     return builder.getOrCreate()
 
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
     """Hand rows with long texts to Python tasks in batches of ``BATCH_BYTES``, where the session
-    names no bound of its own; Spark's default is eight times as much, several times over."""
+    names no bound of its own; Spark's default is sixteen times as much, several times over."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return the memory that a task no longer uses; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as the cluster names it.
 
