@@ -17,12 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.session import bounded_batches
+
 # Elements by role, as HTML defines them.
 HIDDEN = ("script style noscript template svg math iframe object canvas head textarea select option button audio video "
           "title").split()
 RAW = "script style textarea title iframe noscript template".split()
 MAIN = {"article", "main"}
-ASIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog"}
+ASIDE = {"nav", "header", "footer", "aside", "menu", "dialog"}
+MARKED_TAGS = {"form"}  # around a whole page it is a layout, as some site kits write it
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 INLINE = ("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
           "small span strike strong sub sup time tt u var wbr br").split()
@@ -32,7 +35,7 @@ VOID = "area base br col embed hr img input link meta param source track wbr".sp
 MARKS = ("ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
          "breadcrumbs sidebar widget footer header masthead comment comments disqus respond reply replies notice notices cookie "
          "cookies consent gdpr popup modal alert newsletter subscribe signup login share sharing social related recommended "
-         "pagination pager copyright legal skip toolbar search").split()
+         "pagination pager copyright legal skip toolbar search adbox feedback responses").split()
 
 # A name that begins or ends so tells what a page or its layout has or lacks, or how a post is filed: no mark.
 BEGINS = set("with without no not has have hide category tag type format status".split())
@@ -165,15 +168,30 @@ def block_tree() -> Tree:
 
 
 _NAME = r"[a-zA-Z][^\s/>]*"
+# quotes delimit a value only at its beginning; every part is taken whole, so a page is read once
+_VALUE = r"""\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>))"""
 _LEX = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>{_NAME})"
-    r"""(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<text>[^<]+|<)""", re.S,
+    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>{_NAME})"""
+    rf"""(?P<rest>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:{_VALUE})?+)*+)>|(?P<open></?[a-zA-Z])|(?P<text>[^<]+|<)""", re.S,
 )
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_PAIR = re.compile(r"""([^\s/>=]+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]*+))?""")
+_NO_DISPLAY = re.compile(r"\bdisplay\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
 
 
+def _unseen(rest: str) -> bool:
+    """Whether attributes hide the element."""
+    low = rest.lower()
+    if "hidden" not in low and "display" not in low:
+        return False
+    for name, value in _PAIR.findall(low):
+        if name == "hidden" and value.strip("\"'") != "until-found" or name == "style" and _NO_DISPLAY.search(value):
+            return True
+    return False
+
+
 def _marked(rest: str) -> bool:
     for _, value in _ATTRIBUTE.findall(rest):
         for name in value.lower().split():
@@ -191,24 +209,40 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, float, bool]]:
 
     ``marked`` is the share of the page's text outside the innermost marked element, or 0: near
     0 where the element holds nearly all of it, as a layout does.  If there is text in a main
-    element, only that counts.
+    element, only that counts.  A page without a main element, an aside, a mark or a block of links
+    is all main.  Time is in proportion to the page.
     """
     out, parts, link_words, links = [], [], 0, 0
-    stack: list[tuple[str, bool]] = []  # open block elements and whether marked
+    stack: list[tuple[str, int]] = []  # open block elements: 1 if marked, 2 if not shown
+    named: dict[str, int] = {}  # how many of a name are open
     marks: list[int] = []  # open marked elements by number; -1 for a main element, which ends the marks around it
+    around: list[int] = []  # open marked elements
     holds: list[list[int]] = []  # words outside links in each marked element: all, in a main element
     page_holds = [0, 0]
-    depth = {"main": 0, "aside": 0, "heading": 0, "hidden": 0}
+    depth = {"main": 0, "aside": 0, "heading": 0, "hidden": 0, "mains": 0}
+
+    def leave_mark() -> None:
+        """What the innermost marked element holds counts for the one around it."""
+        held = holds[around.pop()]
+        if around:
+            outer = holds[around[-1]]
+            outer[0] += held[0]
+            outer[1] += held[1]
 
-    def count(tag: str, marked: bool, step: int) -> None:
+    def count(tag: str, kind: int, step: int) -> None:
         depth["main"] += step * (tag in MAIN)
         depth["aside"] += step * (tag in ASIDE)
         depth["heading"] += step * (tag in HEADINGS)
-        depth["hidden"] += step * (tag in _HIDDEN)
-        if step < 0 and (marked or tag == "main"):
-            marks.pop()
-        elif marked:
+        depth["hidden"] += step * (tag in _HIDDEN or kind > 1)
+        named[tag] = named.get(tag, 0) + step
+        if tag == "main":
+            depth["mains"] += step
+        if step < 0 and (kind & 1 or tag == "main"):
+            if marks.pop() >= 0:
+                leave_mark()
+        elif kind & 1:
             marks.append(len(holds))
+            around.append(len(holds))
             holds.append([0, 0])
         elif tag == "main":
             marks.append(-1)
@@ -220,9 +254,9 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, float, bool]]:
             if text:
                 words = text.count(" ") + 1
                 if not depth["aside"]:
-                    for held in (page_holds, *(holds[m] for m in marks if m >= 0)):
+                    for held in (page_holds, *([holds[around[-1]]] if around else [])):
                         held[0] += max(0, words - link_words)
-                        held[1] += max(0, words - link_words) * (-1 in marks)
+                        held[1] += max(0, words - link_words) * (depth["mains"] > 0)
                 out.append((
                     text, words, link_words, depth["main"] > 0, depth["aside"] > 0, marks[-1] if marks else -1,
                     depth["heading"] > 0,
@@ -237,7 +271,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, float, bool]]:
     at = 0
     while at < len(page):
         found = _LEX.match(page, at)
-        if found is None:  # a tag that never ends
+        if found is None or found["open"]:  # a tag that never ends
             break
         at = found.end()
         text = found["text"] or found["cdata"]
@@ -264,10 +298,10 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, float, bool]]:
         close_block()
         links = 0
         if ends:
-            if any(t == tag for t, _ in stack):
+            if named.get(tag):
                 while stack:
-                    name, marked = stack.pop()
-                    count(name, marked, -1)
+                    name, kind = stack.pop()
+                    count(name, kind, -1)
                     if name == tag:
                         break
         elif tag in RAW and tag != "template":
@@ -275,15 +309,19 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, float, bool]]:
             at = stop.end() if stop else len(page)
         elif tag not in _VOID and not found["rest"].endswith("/"):
             if tag in ("p", "li", *HEADINGS) and stack and stack[-1][0] in ("p", *HEADINGS, *(["li"] if tag == "li" else [])):
-                name, marked = stack.pop()  # these end where the next begins
-                count(name, marked, -1)
-            marked = _marked(found["rest"]) and tag not in ("html", "body", "main")
-            stack.append((tag, marked))
-            count(tag, marked, 1)
+                name, kind = stack.pop()  # these end where the next begins
+                count(name, kind, -1)
+            kind = int((_marked(found["rest"]) or tag in MARKED_TAGS) and tag not in ("html", "body", "main"))
+            kind += 2 * (tag not in ("html", "body") and _unseen(found["rest"]))
+            stack.append((tag, kind))
+            count(tag, kind, 1)
     close_block()
+    while around:
+        leave_mark()
+    bare = not any(b[3] or b[4] or b[5] >= 0 or 2 * b[2] >= b[1] for b in out)
     inside = int(page_holds[1] > 0)
     outside = [1 - h[inside] / page_holds[inside] if h[inside] >= LAYOUT_WORDS else 1.0 for h in holds]
-    return [(*b[:5], outside[b[5]] if b[5] >= 0 else 0.0, b[6]) for b in out]
+    return [(*b[:3], b[3] or bare, b[4], outside[b[5]] if b[5] >= 0 else 0.0, b[6]) for b in out]
 
 
 def main_text(page: str) -> str:
@@ -307,8 +345,10 @@ def extract_text(
 ) -> DataFrame:
     """The kept columns with ``text`` and ``n_chars`` of every page, from its whole html.
 
-    Null and empty pages give an empty text; repeated rows stay; no page is dropped.
+    Null and empty pages give an empty text; repeated rows stay; no page is dropped.  Long and broken
+    pages take time in proportion to their length; a tag that never ends is the end of its page.
     """
+    bounded_batches(pages.sparkSession)
     rows = pages.select(*keep, F.coalesce(F.col(html_column), F.lit("")).alias("_html"))
     kept = pages.select(*keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
