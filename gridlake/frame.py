@@ -51,6 +51,10 @@ class Frame:
     def column_names(self) -> list[str]:
         return [c for c in self.df.columns if not self._hidden(c)]
 
+    def has_columns(self, *names: str) -> bool:
+        """Whether all these columns are there, in whatever order and among whatever others."""
+        return set(names) <= set(self.column_names)
+
     @property
     def data(self) -> DataFrame:
         """The visible columns as a plain DataFrame, in no particular order."""

@@ -18,14 +18,19 @@ from gridlake.session import stage
 def merge(left, right, on: str | list[str], how: str = "inner", max_group=None) -> DataFrame:
     """Equi-join on shared columns: inner, left, right, full, semi or anti.
 
-    Spark splits a hot key of the left side in inner and left joins only.  So semi and
-    anti joins see distinct right keys, and a right or full join over a huge key group
-    is an inner or left join plus the right rows without a partner.
+    Spark splits a hot key of either side in inner joins, of the left side in left joins.  So
+    semi and anti joins see distinct right keys; a left join over a huge key group of the right
+    side is an inner join plus the left rows without a partner, and a right or full join over
+    one of the left side an inner or left join plus the right rows without one.
     """
     keys = [on] if isinstance(on, str) else list(on)
     if how in ("semi", "anti", "left_semi", "left_anti"):
         return left.join(right.select(*keys).distinct(), keys, how)
     biggest = windows.MAX_GROUP_ROWS if max_group is None else max_group
+    if how == "left" and windows.largest_group(right, keys) > biggest:
+        matched = left.join(right, keys, "inner")
+        alone = left.join(right.select(*keys).distinct(), keys, "left_anti")
+        return matched.unionByName(alone, allowMissingColumns=True)
     if how not in ("right", "full") or windows.largest_group(left, keys) <= biggest:
         return left.join(right, keys, how)
     matched = left.join(right, keys, "inner" if how == "right" else "left")

@@ -131,6 +131,15 @@ def test_overlapping_intervals(spark, kind, limits):
     assert want[0, -1] == 1 and Counter((r["i"], r["n"]) for r in got.collect()) == want
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_merge_over_hot_keys_of_either_side(spark, how):
+    left = spark.createDataFrame([("hot", i) for i in range(9)] + [("a", 9), (None, 10), ("l", 11)], "k string, i int")
+    right = spark.createDataFrame([("hot", j) for j in range(8)] + [("a", 8), (None, 9), ("r", 10)], "k string, j int")
+    got = joins.merge(left, right, "k", how, max_group=3).select("k", "i", "j")
+    want = left.join(right, "k", how).select("k", "i", "j")
+    assert Counter(map(tuple, got.collect())) == Counter(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("limits", [{}, {"max_group": 3, "chunk_rows": 4}])
 def test_pairs_of_overlapping_intervals(spark, limits):
     rng = random.Random(8)

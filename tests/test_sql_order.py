@@ -63,3 +63,7 @@ def test_the_users_own_view_stays(spark, numbers):
         spark.catalog.dropTempView("dataframe")
     numbers.sql("SELECT 1 AS x FROM dataframe")
     assert not any(t.name == "dataframe" for t in spark.catalog.listTables())
+
+
+def test_column_sets(numbers):
+    assert numbers.has_columns("v", "id") and numbers.has_columns() and not numbers.has_columns("id", "w") and not numbers.has_columns(ROW)
