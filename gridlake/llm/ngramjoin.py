@@ -11,10 +11,11 @@ threshold.  The steps, each a Spark job over all rows:
    member of their first |x| - ceil(t |x|) + 1 n-grams in that order.
 3. Postings: prefix n-grams that more than one set has.
 4. Links: in each posting list the set with the fewest rarer n-grams is compared with the
-   others; the components found so far then leave only pairs between different components,
-   and those are all tested.  A pair must pass the length, positional and signature filters
-   before it is made, is made once, and is verified exactly once, behind a wide signature and
-   a suffix filter, on full sets that are computed again for the documents of such pairs alone.
+   others.  Lists whose sets are not all connected yet go on in rounds: each set is compared with
+   the first one of another component, until a round connects nothing.  What is then left are
+   pairs between different components, and those are all tested.  A pair must pass the length,
+   positional and signature filters first; it is verified once at most, behind a wide signature
+   and a suffix filter, on full sets that are computed again for the documents of such pairs alone.
 
 Only connections are asked for, so pairs that are connected already need no test: work in a
 group of near copies grows with its size, not with its square.
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridlake.session import stage
+from gridlake.session import bounded_batches, give_back, stage
 
 # Counters of the n-gram sketch, and the slices in which it is added up.
 SKETCH, SLICES = 1 << 20, 64
@@ -41,6 +42,8 @@ SIGNATURE, WIDE = 8, 4096
 FOLDED = 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+# Rounds of one partner for each set; what they leave is compared in all pairs.
+ROUNDS = 6
 # Cells of the bitmap that picks the documents whose sets are computed again: a prime.
 CELLS = 8_388_593
 
@@ -149,6 +152,7 @@ class NgramJoin:
         if not 0 < self.share <= 1:
             raise ValueError("the similarity must be above 0 and at most 1")
         self.spark = docs.sparkSession
+        bounded_batches(self.spark)
         self.docs = docs.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
         self.sets = self.counts = None
 
@@ -178,6 +182,8 @@ class NgramJoin:
                 )
             if slots:
                 sketch += np.bincount(np.concatenate(slots), minlength=SKETCH)
+            slots = []
+            give_back()
             for i in range(SLICES):
                 part = sketch[i * width:(i + 1) * width]
                 if part.any():
@@ -236,6 +242,7 @@ class NgramJoin:
                     [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, longs), pa.array(parts, longs)],
                     names=["doc", "size", "bits", "grams"],
                 )
+            give_back()
 
         rows = self.docs.mapInArrow(prefix, "doc long, size long, bits array<long>, grams array<long>")
         return stage(rows.join(classes.select("doc").hint("merge"), "doc", "left_semi"), "ngram-heads")
@@ -278,6 +285,7 @@ class NgramJoin:
                 batch = batch.filter(pa.array(hit.astype(bool)))
                 parts = [describe(grams(text, n)) for text in one_by_one(batch["text"])]
                 yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(parts, pa.binary())], names=["doc", "told"])
+            give_back()
 
         named = self.docs.filter("doc IS NOT NULL")
         return stage(named.mapInArrow(full, "doc long, told binary"), "ngram-described")
@@ -298,11 +306,11 @@ class NgramJoin:
         return apart * (a + b) <= (size_a + size_b) * (b - a)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are as similar as asked; each arrives once.
+        """The pairs (a, b) that are as similar as asked; each arrives once, in a staged table.
 
         Wide signatures go first: long sets are heavy to move and seldom pass them by chance.
         """
-        near = self._test(stage(pairs, "ngram-pairs"), wide_signature, wide_allows)
+        near = self._test(pairs, wide_signature, wide_allows)
         return self._test(stage(near, "ngram-pairs"), np.ndarray.tobytes, similar_bytes)
 
     def _test(self, pairs: DataFrame, describe, allows) -> DataFrame:
@@ -315,28 +323,53 @@ class NgramJoin:
             for batch in batches:
                 keep = [allows(x, y, share) for x, y in zip(one_by_one(batch["x"]), one_by_one(batch["y"]))]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            give_back()
 
         met = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y")
         return met.mapInArrow(check, "a long, b long")
 
-    def _star(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
-        """Verified links between the members of posting lists and a centre of one."""
+    def _star(self, lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Verified links between the members of posting lists and a centre of one, and the pairs tested."""
         met = lists.filter("doc <> c_doc")
         met = met.filter(self._may_link(F.col("size"), F.col("c_size"), F.col("place"), F.col("c_place")))
-        pairs = met.groupBy(F.col("doc").alias("a"), F.col("c_doc").alias("b")).agg(F.count(F.lit(1)).alias("met"))
+        return self._best_pairs(met.select("doc", "c_doc"), parts, None)
+
+    def _best_pairs(self, met: DataFrame, parts: DataFrame, tested: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """For each set of ``met`` (doc, c_doc) the partner it meets most and was not tested with:
+        the links among them, and the pairs themselves."""
+        ends = [F.least("doc", "c_doc").alias("a"), F.greatest("doc", "c_doc").alias("b")]
+        pairs = met.groupBy("doc", "c_doc").agg(F.count(F.lit(1)).alias("met")).select("doc", "met", *ends)
+        if tested is not None:
+            pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
         pairs = self._by_signature(pairs, parts)
-        # one centre for each, the one it meets most; the next step has what this leaves open
-        best = pairs.groupBy("a").agg(F.max(F.struct("met", (-F.col("b")).alias("b"))).alias("m"))
-        best = best.select("a", (-F.col("m.b")).alias("b"))
-        return self._verify(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    def _rest(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        best = pairs.groupBy("doc").agg(F.min(F.struct((-F.col("met")).alias("met"), "a", "b")).alias("m"))
+        chosen = stage(best.select("m.a", "m.b").distinct(), "ngram-pairs")
+        return self._verify(chosen), chosen
+
+    def _mixed(self, rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """(gram, doc, size, place, part) of the posting lists that hold more than one component."""
+        rows = rows.select("gram", "doc", "size", "place").join(parts.select("doc", "part").hint("merge"), "doc")
+        spans = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
+        return stage(rows.join(spans.select("gram").hint("merge"), "gram"), "ngram-mixed")
+
+    def _other_star(self, mixed: DataFrame, parts: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """As ``_star``, each set with the first one of another component in each of its lists."""
+        first = F.struct("place", "size", "doc")
+        heads = mixed.groupBy("gram", "part").agg(F.min(first).alias("head")).select("gram", F.struct("head", "part").alias("head"))
+        lead = heads.groupBy("gram").agg(F.min("head").alias("lead"))
+        # the best of the other components: the list's second one
+        next_ = heads.join(lead.hint("merge"), "gram").filter("head.part <> lead.part")
+        next_ = next_.groupBy("gram").agg(F.first("lead").alias("lead"), F.min("head").alias("next"))
+        rows = mixed.join(next_.hint("merge"), "gram")
+        other = F.when(F.col("lead.part") != F.col("part"), F.col("lead.head")).otherwise(F.col("next.head"))
+        met = rows.withColumn("other", other)
+        met = met.filter(self._may_link(F.col("size"), F.col("other.size"), F.col("place"), F.col("other.place")))
+        return self._best_pairs(met.select("doc", F.col("other.doc").alias("c_doc")), parts, tested)
+
+    def _rest(self, mixed: DataFrame, parts: DataFrame, tested: DataFrame) -> DataFrame:
         """All verified links between members of a posting list in different components."""
-        short = parts.select("doc", "part", *[_folded("bits", i).alias(f"fold{i}") for i in range(FOLDED)])
-        rows = lists.select("gram", "doc", "size", "place").join(short.hint("merge"), "doc")
-        # lists of one component are settled; both sides of the join keep this partitioning
-        whole = Window.partitionBy("gram")
-        rows = rows.withColumns({"low": F.min("part").over(whole), "high": F.max("part").over(whole)}).filter("low < high")
+        short = parts.select("doc", *[_folded("bits", i).alias(f"fold{i}") for i in range(FOLDED)])
+        rows = mixed.join(short.hint("merge"), "doc")
         moved = ("doc", "size", "place", "part", *[f"fold{i}" for i in range(FOLDED)])
         left = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in moved])
         right = rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in moved])
@@ -350,7 +383,8 @@ class NgramJoin:
         )
         # whole signatures move for the few pairs that this leaves, not for every posting
         pairs = met.select(c("doc_a").alias("a"), c("doc_b").alias("b")).distinct()
-        return self._verify(self._by_signature(pairs, parts))
+        pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
+        return self._verify(stage(self._by_signature(pairs, parts), "ngram-pairs"))
 
     def _by_signature(self, pairs: DataFrame, parts: DataFrame) -> DataFrame:
         """The pairs (a, b) whose signatures differ in no more cells than their sets may."""
@@ -373,8 +407,21 @@ class NgramJoin:
         inside = lists.select("doc").distinct()
         parts = heads.select("doc", "size", "bits").join(inside.hint("merge"), "doc", "left_semi")
         parts = stage(parts.select("doc", F.col("doc").alias("part"), "size", "bits").distinct(), "ngram-parts")
-        parts = merge_parts(parts, self._star(lists, parts))
-        parts = merge_parts(parts, self._rest(lists, parts))
+        links, tested = self._star(lists, parts)
+        parts = merge_parts(parts, links)
+        mixed = self._mixed(lists, parts)
+        for _ in range(ROUNDS):
+            if mixed.isEmpty():
+                break
+            links, more = self._other_star(mixed, parts, tested)
+            links = stage(links, "ngram-links")
+            tested = stage(tested.unionByName(more), "ngram-tested")
+            if links.isEmpty():
+                break
+            parts = merge_parts(parts, links)
+            mixed = self._mixed(mixed, parts)
+        if not mixed.isEmpty():
+            parts = merge_parts(parts, self._rest(mixed, parts, tested))
         parts = parts.select("doc", "part").distinct()
         named = classes.select("mark", "doc").join(parts.select("doc", "part"), "doc", "left")
         named = named.select("mark", F.coalesce("part", "doc").alias("part"))
@@ -384,6 +431,26 @@ class NgramJoin:
         )
 
 
+def keep_one(docs: DataFrame, n: int, share: Fraction | str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` but one of each component of near copies: the one with the smallest id.
+
+    Rows are told apart by themselves, not by their ids: copies with equal ids or without one leave
+    one row, with an id if any has one.  Rows without words are no copies and all stay.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row = f"_{row}"
+    rows = stage(docs.withColumn(row, F.monotonically_increasing_id()), "ngram-rows")
+    found = NgramJoin(rows, n, share, row, text_column).components().select(F.col("doc_id").alias("r"), F.col("component_id").alias("c"))
+    found = stage(found, "ngram-members")
+    several = found.filter("r <> c").select("c").distinct()
+    members = found.join(several.hint("merge"), "c", "left_semi")
+    named = members.join(rows.select(F.col(row).alias("r"), F.col(id_column).alias("i")).hint("merge"), "r")
+    best = named.groupBy("c").agg(F.min(F.struct(F.col("i").isNull().alias("none"), "i", "r")).alias("m"))
+    gone = members.join(best.select(F.col("m.r").alias("r")).hint("merge"), "r", "left_anti").select("r")
+    return rows.join(gone, rows[row] == gone["r"], "left_anti").select(*docs.columns)
+
+
 def _folded(bits: str, at: int) -> Column:
     """One long of a signature of fewer cells: parities of cells that fall together add up."""
     longs = [F.col(bits)[i] for i in range(at, SIGNATURE, FOLDED)]
