@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.session import bounded_batches
+
 # White space of Unicode, and how the vocabulary's library cuts words.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|\\p{{L}}+|\\p{{N}}|[^{_SPACE}\\p{{L}}\\p{{N}}]+")
@@ -433,6 +435,7 @@ def round_trip(
     Ids and decoded text pass in blocks and are not held whole.  Null texts count as empty;
     the id column keeps its type, equal and null ids stay rows of their own.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridlake.llm.statistics import COUNTS, LEAST_WORDS, REPEAT_PERCENT, SHARES, base_rules, document_statistics, measure
-from gridlake.session import stage
+from gridlake.session import bounded_batches, give_back, stage
 
 #: direction of the score in a statistic: more of these is never better, more of those never worse
 MONOTONE = {"symbols_per_word": -1, "dup_lines": -1, "repeat_words": -1, "marked_words": -1, "letters": 1}
@@ -102,7 +102,8 @@ class BoostedTrees:
 
 
 def train(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> BoostedTrees:
-    """Fit on at most ``sample`` labelled documents, chosen by a hash of their id.
+    """Fit on at most ``sample`` labelled documents, chosen by a hash of their id; of rows with
+    one id the smallest counts.
 
     Null labels and labels of unknown documents do not count; without both labels the model
     gives one score to all.
@@ -110,7 +111,8 @@ def train(statistics: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Boo
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
     known = known.filter("label IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics.join(chosen, "doc_id").select("label", *SHARES).orderBy(*SHARES, "label").toPandas()
+    met = statistics.join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(*SHARES)).alias("one"))
+    rows = met.select("label", "one.*").toPandas().sort_values([*SHARES, "label"])
     directions = [MONOTONE.get(c, 0) for c in SHARES]
     return BoostedTrees().fit(rows[list(SHARES)].to_numpy(), rows["label"].to_numpy() > 0, directions)
 
@@ -138,6 +140,7 @@ def judge(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample: in
 
     Null and empty texts have no words and fail the fixed rules; repeated rows stay.
     """
+    bounded_batches(docs.sparkSession)
     statistics = stage(document_statistics(docs), "quality-statistics")
     return apply(statistics, train(statistics, labels, sample), threshold).select(
         "doc_id", *COUNTS, "base_failed", "kept", "score"
@@ -150,6 +153,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, sample
     The verdict is taken row by row and not joined back, so rows with null or repeated ids keep
     their own.  Only the documents of the bounded sample are measured for training.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("known"))
     chosen = known.distinct().orderBy(F.xxhash64("known"), "known").limit(sample)
     learned = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["known"], "left_semi")
@@ -168,5 +172,6 @@ def keep_scored(docs: DataFrame, model: BoostedTrees, threshold: float = 0.5, te
                 r[0] >= LEAST_WORDS and 100 * r[4] <= REPEAT_PERCENT * r[0] and s >= threshold for r, s in zip(rows, score.tolist())
             ]
             yield batch.filter(pa.array(passed, pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(choose, docs.schema)

@@ -16,11 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridlake.session import bounded_batches, give_back
+
 DIMENSIONS = 1 << 26
 TERMS = 4096
 SAMPLE = {1: 4000, 0: 8000}
 THRESHOLD = 0.3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 120_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -138,9 +140,10 @@ def remainder(column: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> FactorizationMachine:
     """Fit on at most ``sample[label]`` documents of each label, by a hash of their id.
 
-    Held-out rows, null labels and unknown documents are not used.  The sample's ids are
+    Of rows with one id the smallest text counts.  Held-out rows, null labels and unknown documents are not used.  The sample's ids are
     broadcast (bounded by ``sample``); of the texts only hashed terms come to the driver.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").alias("label"))
     known = known.filter("label IS NOT NULL AND doc_id IS NOT NULL").filter(remainder() != 2)
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("label") > 0, 1).otherwise(0)).alias("label"))
@@ -151,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     ]
     chosen = parts[0].unionAll(parts[1])
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def hashed(batches):
         for batch in batches:
@@ -191,6 +195,7 @@ class _Lookup:
 
 def score_documents(docs: DataFrame, machine: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; null and empty texts are scored too."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(remainder() == 2, F.lit(False)).alias("held_out"), F.col("text"),
@@ -205,6 +210,7 @@ def score_documents(docs: DataFrame, machine: FactorizationMachine, threshold: f
                  pa.array((found >= threshold).astype("i4"), pa.int32())],
                 names=["doc_id", "held_out", "score", "predicted"],
             )
+        give_back()
 
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -218,5 +224,7 @@ def keep_civil(docs: DataFrame, machine: FactorizationMachine, threshold: float
             if batch.num_rows:
                 found = machine.score([lookup.features(t) for t in batch["text"].to_pylist()])
                 yield batch.filter(pa.array(found < threshold, pa.bool_()))
+        del lookup
+        give_back()
 
     return docs.mapInArrow(choose, docs.schema)
