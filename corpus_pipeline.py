@@ -8,7 +8,6 @@ and read again as the next stage's documents.  All but the last return the colum
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from gridlake.llm import bpe, ngramjoin, quality, raking, toxicity
 from gridlake.llm.queries import MIX, table, tokenizer
@@ -29,11 +28,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies."""
-    found = ngramjoin.NgramJoin(docs, SHINGLE, SIMILARITY).components()
-    # only copies are named, so the documents that stay meet a short list
-    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti").select(*docs.columns)
+    """The row with the smallest id of each group of near copies."""
+    return ngramjoin.keep_one(docs, SHINGLE, SIMILARITY)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
