@@ -1,7 +1,7 @@
 """Phrases whose words keep together, mined by counting word n-grams in HAT-tries.
 
-1. Words are counted per language.  Frequent ones get ids: the ``KNOWN`` most frequent a small
-   number, which tasks look up in a dictionary of bounded size, the others a 62-bit hash, behind a
+1. Words are counted per language.  Frequent ones get ids: the ``KNOWN`` most frequent a number of
+   21 bits, which tasks look up in a dictionary of bounded size, the others a 62-bit hash, behind a
    bitmap of fixed size.  A phrase that occurs ``least`` times has no rarer word, so texts are cut
    at those.
 2. Each task inserts, for every place of a text, the ids of up to ``longest`` words from there on
@@ -27,15 +27,23 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridlake.llm.bitmaps import bitmap, has
 from gridlake.operators.rowindex import ROW, sort_index
-from gridlake.session import stage
+from gridlake.session import bounded_batches, give_back, stage
 
 UNDETERMINED = "und"
 #: words in the dictionary of the tasks, of so many bytes each at most
 KNOWN, WORD_BYTES = 1 << 18, 64
+#: bits of the numbers of known words at most: three of them make a long
+FIELD = 21
+#: places of texts that a prefix partition is made for
+PART_PLACES = 1 << 20
+#: phrases of up to so many words may lie in several parts of a split word
+SHARED = 3
 #: bits of the map of frequent words outside the dictionary
 CELLS = 1 << 23
 #: entries a task counts before it spills, words or phrases; and ids that are sorted at once
@@ -68,10 +76,12 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 # -- words ------------------------------------------------------------------------------------
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(lang, word, n) of all words; tasks add up what they read before anything is shuffled."""
+    """(lang, word, n) of all words, and of all together with a null word; tasks add up what they
+    read before anything is shuffled."""
 
     def count(batches):
         counts: dict[str, Counter] = {}
+        totals: Counter = Counter()
 
         def leave():
             for lang, words in counts.items():
@@ -83,11 +93,17 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 )
 
         for lang, raw in _texts(batches):
-            counts.setdefault(lang, Counter()).update(raw.translate(_TO_BLANKS).split())
+            words = raw.translate(_TO_BLANKS).split()
+            totals[lang] += len(words)
+            counts.setdefault(lang, Counter()).update(words)
             if sum(map(len, counts.values())) > ENTRIES:
                 yield from leave()
                 counts.clear()
         yield from leave()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.string()), pa.array(list(totals.values()), pa.int64())],
+            names=["lang", "word", "n"],
+        )
 
     parts = _rows(docs).mapInArrow(count, "lang string, word string, n long")
     return parts.groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -111,8 +127,7 @@ class _Ids(dict):
         if self.cells is None:
             return 0
         number = xxhash.xxh64_intdigest(word, self.seed) & (_HASHED - 1)
-        cell = number % CELLS
-        return number | _HASHED if self.cells[cell >> 3] >> (cell & 7) & 1 else 0
+        return number | _HASHED if has(self.cells, number % CELLS) else 0
 
 
 def word_ids(words: DataFrame, known: int = KNOWN) -> DataFrame:
@@ -127,17 +142,27 @@ def word_ids(words: DataFrame, known: int = KNOWN) -> DataFrame:
 # -- the trie -----------------------------------------------------------------------------------
 class HatTrie:
     """Counts rows of ``width`` ids.  A node is a container, {rest of the row: count}, or a
-    ``Branch`` by the next id; rows and rests are ids of eight bytes, high byte first."""
+    ``Branch`` by the next id; rows and rests are ids of ``item`` bytes, high byte first."""
 
     class Branch(dict):
-        """{eight bytes of an id: node}"""
+        """{bytes of an id: node}"""
 
-    def __init__(self, width: int, burst: int = BURST, shallow: int = SHALLOW):
-        self.width, self.burst, self.shallow = width, burst, shallow
+    def __init__(self, width: int, item: int = 8, burst: int = BURST, shallow: int = SHALLOW):
+        self.width, self.item, self.burst, self.shallow = width, item, burst, shallow
         self.root = self.Branch()
         self.sizes: Counter = Counter()
         self.entries = 0
 
+    def add_rows(self, rows: np.ndarray, counts: np.ndarray) -> None:
+        """Distinct rows in order, with their counts."""
+        if not len(rows):
+            return
+        new = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])).tolist()
+        raw, wide, many = rows.astype(f">i{self.item}").tobytes(), self.item * self.width, counts.tolist()
+        rests = [raw[i + self.item:i + wide] for i in range(0, len(raw), wide)]
+        for low, high in zip(new, [*new[1:], len(rows)]):
+            self.add(raw[low * wide:low * wide + self.item], rests[low:high], many[low:high])
+
     def add(self, first: bytes, rests: list[bytes], counts: list[int]) -> None:
         """Rows that start with one id; ``rests`` ascend."""
         node = self.root.get(first)
@@ -148,16 +173,17 @@ class HatTrie:
         self.entries += grown
 
     def _insert(self, parent, key, node, rests, counts, depth) -> int:
+        item = self.item
         if isinstance(node, self.Branch):
             grown, low = 0, 0
             while low < len(rests):
-                step, high = rests[low][:8], low + 1
+                step, high = rests[low][:item], low + 1
                 while high < len(rests) and rests[high].startswith(step):
                     high += 1
                 child = node.get(step)
                 if child is None:
                     child = node[step] = {}
-                grown += self._insert(node, step, child, [r[8:] for r in rests[low:high]], counts[low:high], depth + 1)
+                grown += self._insert(node, step, child, [r[item:] for r in rests[low:high]], counts[low:high], depth + 1)
                 low = high
             return grown
         before, known = len(node), node.get
@@ -166,7 +192,7 @@ class HatTrie:
         if len(node) > self.burst and depth < self.shallow:
             branch = parent[key] = self.Branch()
             for rest, n in node.items():
-                branch.setdefault(rest[:8], {})[rest[8:]] = n
+                branch.setdefault(rest[:item], {})[rest[item:]] = n
         return len(node) - before
 
     def _walk(self, node, prefix: bytes):
@@ -193,7 +219,8 @@ class HatTrie:
                 rows.append(row)
                 counts.append(n)
         if rows:
-            yield np.frombuffer(b"".join(rows), ">i8").reshape(-1, self.width), np.array(counts, np.int64)
+            ids = np.frombuffer(b"".join(rows), f">i{self.item}").astype(np.int64)
+            yield ids.reshape(-1, self.width), np.array(counts, np.int64)
 
 
 def places(ids: np.ndarray, longest: int) -> np.ndarray:
@@ -208,16 +235,19 @@ def places(ids: np.ndarray, longest: int) -> np.ndarray:
     return columns[columns[:, 1] != 0]
 
 
-def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and how often each occurs."""
-    values, codes = np.unique(rows, return_inverse=True)  # codes keep the order and are small
-    codes = codes.reshape(rows.shape).astype(np.uint64)
-    bits = max(1, int(len(values) - 1).bit_length())
-    keys, packed = [], max(1, 63 // bits)
-    for low in range(0, rows.shape[1], packed):
-        key = np.zeros(len(rows), np.uint64)
-        for k in range(low, min(low + packed, rows.shape[1])):
-            key = (key << np.uint64(bits)) | codes[:, k]
+def run_order(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows, and the places in it where a distinct row begins."""
+    bits = max(1, int(rows.max(initial=0)).bit_length())
+    codes = rows
+    if bits > FIELD:  # hashed words: numbers that keep the order and are small
+        values, codes = np.unique(rows, return_inverse=True)
+        codes = codes.reshape(rows.shape)
+        bits = max(1, int(len(values) - 1).bit_length())
+    keys, each = [], max(1, 63 // bits)
+    for low in range(0, rows.shape[1], each):
+        key = np.zeros(len(rows), np.int64)
+        for k in range(low, min(low + each, rows.shape[1])):
+            key = (key << bits) | codes[:, k]
         keys.append(key)
     order = np.lexsort(keys[::-1])
     new = np.zeros(len(rows), bool)
@@ -225,48 +255,103 @@ def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for key in keys:
         key = key[order]
         new[1:] |= key[1:] != key[:-1]
-    at = np.flatnonzero(new)
-    return rows[order[at]], np.diff(np.append(at, len(rows)))
+    return order, np.flatnonzero(new)
 
 
-def count_places(docs: DataFrame, ids: DataFrame, longest: int, entries: int = ENTRIES) -> DataFrame:
-    """Sorted runs (w1 ... , n): ids of the words from each place on, counted within a task."""
+def sorted_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and how often each occurs."""
+    order, first = run_order(rows)
+    return rows[order[first]], np.diff(np.append(first, len(rows)))
+
+
+class Partitions:
+    """Prefix partitions of rows by their first word: numbers 0 to ``split`` - 1 are parts of words that
+    are too frequent for one, the next ones hold many words, negative ones rows with hashed words."""
+
+    def __init__(self, counts: list[int], places: int = PART_PLACES):
+        """``counts`` are the occurrences of the known words, by id from 1."""
+        n = np.array([0, *counts], np.int64)
+        self.times = -(-n // places)
+        hot = self.times > 1
+        self.split = int(self.times[hot].sum())
+        self.first = self.split + np.cumsum(np.where(hot, 0, n)) // places
+        self.first[hot] = np.cumsum(self.times[hot]) - self.times[hot]
+        self.many = int(self.first.max(initial=0)) + 1
+
+    @staticmethod
+    def _hash(columns) -> np.ndarray:
+        mixed = np.uint64(0)
+        for c in columns:
+            mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            mixed ^= mixed >> np.uint64(29)
+        return (mixed >> np.uint64(11)).astype(np.int64)
+
+    def of(self, rows: np.ndarray, hashed: bool) -> np.ndarray:
+        if hashed:  # phrases that hold a hashed word have two words or more
+            return -1 - self._hash(rows[:, :2].T) % self.many
+        first = rows[:, 0]
+        part = self.first[first]
+        hot = self.times[first] > 1
+        if hot.any():
+            some = rows[hot]
+            part[hot] += self._hash(some[:, :SHARED + 1].T) % self.times[some[:, 0]]
+        return part
+
+
+def pack_run(rows: np.ndarray, counts: np.ndarray) -> bytes:
+    """A sorted run in few bytes: columns, the first as differences, byte by byte, compressed."""
+    kind = "<u4" if int(rows.max(initial=0)) < 1 << 32 and int(counts.max(initial=0)) < 1 << 32 else "<u8"
+    columns = np.concatenate([rows, counts[:, None]], axis=1).T.astype(kind)
+    columns[0, 1:] = columns[0, 1:] - columns[0, :-1]
+    planes = np.ascontiguousarray(columns).view(np.uint8).reshape(-1, columns.dtype.itemsize).T
+    return kind[-1].encode() + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_run(data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
+    size = int(data[:1])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(size, -1)
+    columns = np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(width + 1, -1).astype(np.int64)
+    columns[0] = np.cumsum(columns[0])
+    return columns[:width].T, columns[width]
+
+
+def count_places(docs: DataFrame, ids: DataFrame, longest: int, entries: int = ENTRIES, part_places: int = PART_PLACES):
+    """Sorted runs (part, run): ids of the words from each place on, counted within a task; and the
+    partitions they are cut by."""
     session = docs.sparkSession
     listed: dict[str, dict[bytes, int]] = {}
-    for r in ids.filter(F.col("id") < _HASHED).select("lang", "word", "id").collect():  # KNOWN rows at most
+    counts = Counter()
+    for r in ids.filter(F.col("id") < _HASHED).select("lang", "word", "id", "n").collect():  # KNOWN rows at most
         listed.setdefault(r["lang"], {})[r["word"].encode("utf-8", "surrogatepass")] = r["id"]
-    span = 32768
-    cell = ids.filter(F.col("id") >= _HASHED).select(
-        F.pmod(F.col("id").bitwiseAND(_HASHED - 1), F.lit(CELLS)).alias("cell")
-    )
-    maps = cell.groupBy(F.floor(F.col("cell") / span).alias("at")).agg(
-        F.bitmap_construct_agg(F.pmod("cell", F.lit(span))).alias("bits")
-    )
-    cells = np.zeros(CELLS // 8, np.uint8)
-    for r in maps.collect():  # a map of fixed size
-        cells[r["at"] * span // 8:(r["at"] + 1) * span // 8] = np.frombuffer(r["bits"], np.uint8)
-    shared = session.sparkContext.broadcast((listed, cells))
-    names = [f"w{k + 1}" for k in range(longest)]
+        counts[r["id"]] = r["n"]
+    partitions = Partitions([counts[i + 1] for i in range(max(counts, default=0))], part_places)
+    cells = bitmap(ids.filter(F.col("id") >= _HASHED), F.col("id").bitwiseAND(_HASHED - 1), CELLS)
+    shared = session.sparkContext.broadcast((listed, cells, partitions))
 
     def count(batches):
-        known, cells = shared.value
+        known, cells, partitions = shared.value
         lookups: dict[str, _Ids] = {}
-        trie, waiting, size = HatTrie(longest), [], 0
+        trie, rare, waiting, size = HatTrie(longest, 4), HatTrie(longest), [], 0
 
         def insert():
-            rows, counts = sorted_rows(places(np.concatenate(waiting), longest))
-            if not len(rows):
-                return
-            new = np.flatnonzero(np.append(True, rows[1:, 0] != rows[:-1, 0])).tolist()
-            raw, wide, many = rows.astype(">i8").tobytes(), 8 * longest, counts.tolist()
-            rests = [raw[i + 8:i + wide] for i in range(0, len(raw), wide)]
-            for low, high in zip(new, [*new[1:], len(rows)]):
-                trie.add(raw[low * wide:low * wide + 8], rests[low:high], many[low:high])
+            rows = places(np.concatenate(waiting), longest)
+            far = rows >= _HASHED
+            some = far.any(axis=1)
+            if some.any():
+                rare.add_rows(*sorted_rows(rows[some]))
+                # what comes before the first hashed word is a phrase of known ones
+                rows[np.logical_or.accumulate(far, axis=1)] = 0
+                rows = rows[rows[:, 1] != 0]
+            trie.add_rows(*sorted_rows(rows))
 
         def leave(keep):
-            for rows, counts in trie.spill(keep):
-                columns = [pa.array(np.ascontiguousarray(rows[:, k], "<i8")) for k in range(longest)]
-                yield from pa.Table.from_arrays([*columns, pa.array(counts)], names=[*names, "n"]).to_batches(100_000)
+            for hashed, runs in ((False, trie.spill(keep)), (True, rare.spill(keep))):
+                for rows, n in runs:
+                    part = partitions.of(rows, hashed)
+                    order = np.argsort(part, kind="stable")
+                    cuts = np.flatnonzero(np.append(True, part[order][1:] != part[order][:-1]))
+                    runs = [pack_run(rows[o], n[o]) for o in np.split(order, cuts[1:])]
+                    yield pa.RecordBatch.from_arrays([pa.array(part[order][cuts]), pa.array(runs, pa.binary())], names=["part", "run"])
 
         for lang, raw in _texts(batches):
             lookup = lookups.get(lang)
@@ -279,73 +364,79 @@ def count_places(docs: DataFrame, ids: DataFrame, longest: int, entries: int = E
             if size > BATCH:
                 insert()
                 waiting, size = [], 0
-                if trie.entries > entries:
-                    yield from leave(entries // 2)
+                if trie.entries + rare.entries > entries:
+                    yield from leave(entries // 4)
         if waiting:
             insert()
         yield from leave(0)
 
-    return _rows(docs).mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return _rows(docs).mapInArrow(count, "part long, run binary"), partitions
 
 
 # -- merging -------------------------------------------------------------------------------------
-def _merge(longest: int, least: int):
-    """Reads sorted rows, gives (ids, n) of their prefixes of two ids and more that reach ``least``,
-    and of those at either end of the rows."""
+def prefixes(rows: np.ndarray, counts: np.ndarray, least: int, shared: int, hashed: bool):
+    """(ids, n) of the prefixes of a sorted run, of two ids and more, that reach ``least``; those of up
+    to ``shared`` ids whatever their count; of rows with hashed words, those that hold one."""
+    new = np.zeros(len(rows), bool)
+    new[:1] = True
+    for k in range(1, rows.shape[1] + 1):
+        new[1:] |= rows[1:, k - 1] != rows[:-1, k - 1]
+        if k == 1 or not len(rows):
+            continue
+        at = np.flatnonzero(new)
+        sums = np.add.reduceat(counts, at)
+        keep = rows[at, k - 1] != 0
+        if k > shared:
+            keep &= sums >= least
+        if hashed:
+            keep &= (rows[at, :k] >= _HASHED).any(axis=1)
+        yield rows[at[keep], :k], sums[keep]
+
+
+def _merge(longest: int, least: int, split: int):
+    """Reads runs in the order of their partitions, gives the phrases (ids, n) of each."""
     kind = pa.list_(pa.int64())
 
     def run(batches):
-        # of each length: the prefix being counted, its count, and whether it is the first
-        held: list = [None] * (longest + 1)
+        waiting, size, at = [], 0, None
+
+        def one():
+            rows = np.concatenate([r for r, _ in waiting])
+            order, first = run_order(rows)
+            return rows[order[first]], np.add.reduceat(np.concatenate([n for _, n in waiting])[order], first)
+
+        def leave():
+            rows, counts = one()
+            for ids, n in prefixes(rows, counts, least, SHARED if 0 <= at < split else 0, at < 0):
+                offsets = pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32())
+                lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(ids).reshape(-1)))
+                yield from pa.table({"ids": lists.cast(kind), "n": pa.array(n)}).to_batches(100_000)
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy() for c in batch.columns[:longest]], axis=1)
-            counts = batch.columns[longest].to_numpy()
-            new = np.zeros(len(rows), bool)
-            new[0] = True
-            ids, found = [], []
-            for k in range(1, longest + 1):
-                new[1:] |= rows[1:, k - 1] != rows[:-1, k - 1]
-                if k == 1:
-                    continue
-                at = np.flatnonzero(new)
-                sums = np.add.reduceat(counts, at)
-                real = rows[at, k - 1] != 0
-                at, sums = at[real], sums[real]
-                if not len(at):
-                    continue
-                heads = rows[at, :k]
-                now = held[k]
-                if now is not None and (heads[0] == now[0]).all():
-                    sums[0] += now[1]
-                    first = now[2]
-                else:
-                    if now is not None and (now[1] >= least or now[2]):
-                        ids.append(now[0].tolist())
-                        found.append(int(now[1]))
-                    first = now is None
-                held[k] = (heads[-1].copy(), sums[-1], first and len(at) == 1)
-                keep = sums >= least
-                keep[0] |= first
-                keep[-1] = False  # may go on in the next batch
-                ids += heads[keep].tolist()
-                found += sums[keep].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(found, pa.int64())], names=["ids", "n"])
-        rest = [h for h in held if h is not None]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([h[0].tolist() for h in rest], kind), pa.array([int(h[1]) for h in rest], pa.int64())], names=["ids", "n"]
-        )
+            for part, data in zip(batch["part"].to_pylist(), batch["run"]):
+                if part != at and waiting:
+                    yield from leave()
+                    waiting, size = [], 0
+                at = part
+                waiting.append(unpack_run(data.as_py(), longest))
+                size += len(waiting[-1][1])
+                if size > 2 * PART_PLACES:
+                    waiting = [one()]  # a prefix that repeats: its rows become one
+                    size = min(len(waiting[0][1]), PART_PLACES)
+        if waiting:
+            yield from leave()
+        give_back()
 
     return run
 
 
-def phrase_counts(docs: DataFrame, ids: DataFrame, least: int, longest: int, entries: int = ENTRIES) -> DataFrame:
+def phrase_counts(
+    docs: DataFrame, ids: DataFrame, least: int, longest: int, entries: int = ENTRIES, part_places: int = PART_PLACES,
+) -> DataFrame:
     """(ids, n) of the phrases of 2 to ``longest`` words that occur ``least`` times or more."""
-    names = [f"w{k + 1}" for k in range(longest)]
-    runs = stage(count_places(docs, ids, longest, entries), "phrase-runs")
-    merged = runs.repartitionByRange(*names).sortWithinPartitions(*names)
-    parts = merged.mapInArrow(_merge(longest, least), "ids array<long>, n long")
+    runs, partitions = count_places(docs, ids, longest, entries, part_places)
+    dealt = runs.repartition(2 * partitions.many, "part").sortWithinPartitions("part")
+    parts = dealt.mapInArrow(_merge(longest, least, partitions.split), "ids array<long>, n long")
     return parts.groupBy("ids").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 
@@ -359,6 +450,7 @@ def _score() -> Column:
 
 def collocations(
     docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, cover: int = 100, known: int = KNOWN, entries: int = ENTRIES,
+    part_places: int = PART_PLACES,
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language.
 
@@ -366,10 +458,11 @@ def collocations(
     is scored by floor(1000 a n / (l r)) at its weakest cut.  It is dropped if it lies in a longer
     one with at least ``cover`` per cent of its occurrences.
     """
-    words = stage(word_counts(docs), "words")
-    ids = stage(word_ids(words.filter(F.col("n") >= least), known), "word-ids")
-    totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    phrases = stage(phrase_counts(docs, ids, least, longest, entries), "phrases")
+    bounded_batches(docs.sparkSession)
+    words = stage(word_counts(docs).filter(F.col("word").isNull() | (F.col("n") >= least)), "words")
+    ids = stage(word_ids(words.filter("word IS NOT NULL"), known), "word-ids")
+    totals = words.filter("word IS NULL").select("lang", "n")
+    phrases = stage(phrase_counts(docs, ids, least, longest, entries, part_places), "phrases")
     single = ids.select(F.array("id").alias("ids"), "n")
     counts = phrases.unionByName(single)
     # a part of a phrase occurs at least as often, so the phrases one word longer speak for all

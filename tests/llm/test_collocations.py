@@ -64,6 +64,7 @@ def corpus(seed, n):
 
 @pytest.mark.parametrize("options", [
     {}, {"known": 3}, {"known": 0, "entries": 40}, {"top": 7}, {"longest": 3}, {"longest": 2, "cover": 60}, {"entries": 10},
+    {"part_places": 50}, {"part_places": 7, "known": 5, "entries": 100},
 ])
 def test_against_plain_counts(spark, options):
     docs = corpus(3, 150)
@@ -87,17 +88,16 @@ def test_scores_beyond_64_bits(spark):
     assert got == 1000 * 9 * 10 ** 12 * 10 ** 13 // ((9 * 10 ** 12 + 7) * 3 * 10 ** 12)
 
 
-def test_trie_bursts_and_spills_sorted_runs():
+@pytest.mark.parametrize("item", [4, 8])
+def test_trie_bursts_and_spills_sorted_runs(item):
     rng = np.random.default_rng(4)
     rows = rng.integers(0, 6, (4000, 5))
     rows[:, 0] = rng.integers(1, 4, 4000)
-    trie, want, runs = C.HatTrie(5, burst=10, shallow=3), Counter(map(tuple, rows.tolist())), []
+    trie, want, runs = C.HatTrie(5, item, burst=10, shallow=3), Counter(map(tuple, rows.tolist())), []
     for low in range(0, 4000, 500):
         part, counts = C.sorted_rows(rows[low:low + 500])
         assert part.tolist() == sorted(part.tolist())
-        for row, n in zip(part, counts.tolist()):
-            raw = row.astype(">i8").tobytes()
-            trie.add(raw[:8], [raw[8:]], [n])
+        trie.add_rows(part, counts)
         if trie.entries > 800:
             runs += trie.spill(400)
             assert trie.entries <= 400
@@ -112,28 +112,50 @@ def test_trie_bursts_and_spills_sorted_runs():
     assert got == want
 
 
-@pytest.mark.parametrize("size", [1, 3, 7, 1000])
-def test_merge_counts_prefixes_across_batches_and_ranges(size):
-    """Whatever the cuts, the sums over all ranges are the counts of all phrases that are frequent."""
-    rng = np.random.default_rng(size)
+@pytest.mark.parametrize("split", [0, 10 ** 9])
+def test_runs_of_a_partition_give_all_prefixes(split):
+    """Whatever the runs and batches, the sums over all parts are the counts of all frequent phrases."""
+    rng = np.random.default_rng(split % 7)
     rows = rng.integers(0, 3, (300, 4))
     rows[:, :2] += 1
     for k in (2, 3):
         rows[rows[:, k - 1] == 0, k:] = 0
-    rows, counts = C.sorted_rows(rows)
     want = Counter()
-    for row, n in zip(rows.tolist(), counts.tolist()):
+    for row in rows.tolist():
         for k in range(2, 5):
             if row[k - 1]:
-                want[tuple(row[:k])] += n
-    for ranges in (1, 2, 5):
-        got = Counter()
-        for part in np.array_split(np.arange(len(rows)), ranges):
-            batches = [
-                pa.RecordBatch.from_arrays([*[pa.array(rows[p, k]) for k in range(4)], pa.array(counts[p])], names=list("abcdn"))
-                for p in np.array_split(part, range(size, len(part), size))
-            ]
-            for out in C._merge(4, 9)(batches):
-                for ids, n in zip(out["ids"].to_pylist(), out["n"].to_pylist()):
-                    got[tuple(ids)] += n
-        assert {p: n for p, n in got.items() if n >= 9} == {p: n for p, n in want.items() if n >= 9}
+                want[tuple(row[:k])] += 1
+    part = rows[:, 0] if not split else C.Partitions._hash(rows.T) % 5
+    runs = [(int(p), C.pack_run(*C.sorted_rows(rows[low:low + 40][part[low:low + 40] == p])))
+            for low in range(0, 300, 40) for p in np.unique(part[low:low + 40])]
+    runs.sort(key=lambda r: r[0])
+    batches = [pa.table({"part": [p for p, _ in runs[i:i + 3]], "run": [r for _, r in runs[i:i + 3]]}).to_batches()[0] for i in range(0, len(runs), 3)]
+    got = Counter()
+    for out in C._merge(4, 9 if not split else 1, split)(batches):
+        for ids, n in zip(out["ids"].to_pylist(), out["n"].to_pylist()):
+            got[tuple(ids)] += n
+    assert {p: n for p, n in got.items() if n >= 9} == {p: n for p, n in want.items() if n >= 9}
+
+
+def test_partitions_keep_prefixes_together():
+    rng = np.random.default_rng(3)
+    counts = sorted(rng.integers(1, 60, 40).tolist(), reverse=True)
+    deal = C.Partitions([500, 130, *counts], 100)
+    rows = rng.integers(1, 43, (3000, 5))
+    part = deal.of(rows, False)
+    assert part.min() >= 0 and part.max() < deal.many and len(set(part[rows[:, 0] == 1].tolist())) == 5
+    for row, p in zip(rows[:200], part):
+        assert (deal.first[row[0]] <= p < deal.first[row[0]] + max(1, deal.times[row[0]])) and (p < deal.split) == (row[0] <= 2)
+    assert (part[rows[:, 0] > 2] >= deal.split).all()
+    far = deal.of(rows | C._HASHED, True)
+    assert far.max() < 0
+    assert C.Partitions([]).many == 1
+
+
+@pytest.mark.parametrize("high", [5, 1 << 31, 1 << 62])
+def test_packed_runs(high):
+    rng = np.random.default_rng(high % 11)
+    rows, counts = C.sorted_rows(rng.integers(0, high, (500, 5)))
+    counts = counts * rng.choice([1, 300, 1 << 33 if high > 5 else 2], len(counts))
+    back, n = C.unpack_run(C.pack_run(rows, counts), 5)
+    assert (back == rows).all() and (n == counts).all()
