@@ -17,7 +17,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,96 @@ def range_totals(
     return out.select(*kept, *[c.alias(name) for name, c in parts.results().items()])
 
 
+_STEPS = {"count": np.add, "sum": np.add, "min": np.fmin, "max": np.maximum}
+
+
+def _nothing(operation: str, whole: bool):
+    if whole:
+        return np.int64({"min": _LARGEST, "max": _SMALLEST}.get(operation, 0))
+    return np.float64({"min": np.nan, "max": -np.inf}.get(operation, 0.0))
+
+
+def _leaf(column: pa.ChunkedArray, operation: str) -> np.ndarray:
+    """Parts as numbers; as Python's whole numbers where 64 bits might not hold a sum."""
+    leaf = column.to_numpy()
+    if operation == "sum" and leaf.dtype == np.int64 and np.abs(leaf.astype(np.float64)).sum() >= 2.0 ** 62:
+        return leaf.astype(object)
+    return leaf
+
+
+def _stored(found: np.ndarray, whole: bool) -> pa.Array:
+    """Raises where a sum is beyond 64 bits."""
+    return pa.array(found.astype(np.int64 if whole else np.float64))
+
+
+def _with_parts(schema: T.StructType, parts: Parts) -> T.StructType:
+    out = T.StructType([*schema.fields])
+    for p, (_, whole) in parts.kinds.items():
+        out = out.add(p, T.LongType() if whole else T.DoubleType())
+    return out
+
+
+def time_frames(timed: DataFrame, parts: Parts, keys: list[str], kept: list[str], micros: int, cuts: int) -> DataFrame:
+    """Frames of the last ``micros`` before each row and the rows of its own time.
+
+    ``timed`` has times ``_us`` (not null), which are cut into buckets, ``cuts`` to a frame, and parts.
+    A row goes to its own bucket and to the one in which frames leave it behind, so a task holds one
+    bucket of one key and the rows one frame earlier; of the buckets between, the parts are enough.
+    Returns ``kept`` and the parts of the frame.
+    """
+    kinds = parts.kinds
+    width = micros // cuts
+    if width * cuts != micros:
+        raise ValueError("a frame is a whole number of buckets")
+    placed = timed.withColumn("_bucket", time_bucket(F.col("_us"), width))
+    inner = {c: f"_c{i}" for i, c in enumerate(kept)}  # given columns may be called like ours
+    given = [F.col(f"`{c}`").alias(n) for c, n in inner.items()]
+    group = [F.col(f"`{k}`").alias(f"_g{i}") for i, k in enumerate(keys)]
+    by = [*[f"_g{i}" for i in range(len(keys))], "_home"]
+    rows = placed.select(*group, *given, "_us", *kinds, F.col("_bucket").alias("_home"))
+    role = F.explode(F.array(F.lit(0), F.lit(1))).alias("_role")
+    rows = rows.select("*", role).withColumns({n: F.when(F.col("_role") == 0, F.col(n)) for n in inner.values()})
+    rows = rows.withColumn("_home", F.col("_home") + F.col("_role") * cuts)
+    if cuts > 1:
+        sums = placed.groupBy(*group, F.col("_bucket").alias("_home")).agg(*parts.merged())
+        # every bucket that may need them: those with rows
+        w = Window.partitionBy(*by[:-1]).orderBy("_home").rangeBetween(-(cuts - 1), -1)
+        merge = {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max}
+        middle = sums.withColumns({p: merge[operation](p).over(w) for p, (operation, _) in kinds.items()})
+        middle = middle.filter(F.col(next(iter(kinds))).isNotNull()).withColumn("_role", F.lit(2))
+        rows = rows.unionByName(middle, allowMissingColumns=True)
+
+    def solve(rows: pa.Table) -> pa.Table:
+        role, us = rows["_role"].to_numpy(), rows["_us"].fill_null(0).to_numpy()
+        own, gone, between = (np.flatnonzero(role == r) for r in range(3))
+        own, gone = own[np.argsort(us[own], kind="stable")], gone[np.argsort(us[gone], kind="stable")]
+        out = rows.select(list(inner.values())).take(pa.array(own))
+        since = np.searchsorted(us[gone], us[own] - micros, "left")
+        until = np.searchsorted(us[own], us[own], "right") - 1
+        for name, (operation, whole) in kinds.items():
+            step, leaf = _STEPS[operation], _leaf(rows[name], operation)
+            ahead = np.append(step.accumulate(leaf[gone][::-1])[::-1], _nothing(operation, whole))
+            found = ahead[since]
+            for i in between:
+                found = step(found, leaf[i])
+            found = step(found, step.accumulate(leaf[own])[until]) if len(own) else found
+            out = out.append_column(name, _stored(found, whole))
+        return out
+
+    schema = _with_parts(rows.select(*inner.values()).schema, parts)
+    done = rows.groupBy(*by).applyInArrow(solve, schema)
+    return done.select(*[F.col(n).alias(c) for c, n in inner.items()], *kinds)
+
+
+def time_bucket(us: Column, width: int) -> Column:
+    """The number of the bucket, in whole numbers."""
+    return F.call_function("div", us - F.pmod(us, F.lit(width)), F.lit(width))
+
+
+def fixed_width(kind: T.DataType) -> bool:
+    return isinstance(kind, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType))
+
+
 def over(spec: tuple[str, str | None], window) -> Column:
     """The same aggregate as a window function."""
     function, column = spec

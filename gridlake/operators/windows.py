@@ -22,7 +22,9 @@ from gridlake.session import stage
 MAX_GROUP_ROWS = 4_000_000
 CHUNK_ROWS = 250_000
 LONG_FRAME = 2_000  # rows that Spark may add up anew for each row
-DENSE_ROWS = 50_000  # rows in a time bucket of a RANGE frame, for the same reason
+DENSE_ROWS = 2_000  # rows in a time bucket of a RANGE frame, four frames wide, for the same reason
+MOST_CUTS = 64  # buckets to a RANGE frame; a power of two divides the microseconds of a second
+THIN_ROWS = 50  # rows a bucket on average that are worth a call of Python
 
 
 def largest_group(df: DataFrame, keys: list[str]) -> int:
@@ -246,17 +248,26 @@ def rows_frame(df, keys, order, before: int, after: int, aggregates: dict, max_g
         return df.withColumns({name: f(w) for name, f in functions.items()})
     if chunk_rows < max(before, after):
         raise ValueError("functions of a window need a frame that fits into one chunk; name the aggregates instead")
-    chunked = number_chunks(df, keys, order, chunk_rows)
+    spread = _spread(number_chunks(df, keys, order, chunk_rows), before, after, chunk_rows)
+    w = Window.partitionBy("_home", *keys).orderBy(ROW).rowsBetween(-before, after)
+    out = spread.withColumns({name: f(w) for name, f in functions.items()})
+    return out.where(F.col("_home") == F.col("_chunk")).select(*df.columns, *aggregates)
+
+
+def _spread(chunked: DataFrame, before: int, after: int, chunk_rows: int) -> DataFrame:
+    """Rows with each chunk (``_home``) that needs them."""
     place = F.col(ROW) % chunk_rows
     homes = F.array_compact(F.array(
         F.col("_chunk"),
         F.when(place >= chunk_rows - before, F.col("_chunk") + 1),
         F.when(place < after, F.col("_chunk") - 1),
     ))
-    spread = chunked.withColumn("_home", F.explode(homes))
-    w = Window.partitionBy("_home", *keys).orderBy(ROW).rowsBetween(-before, after)
-    out = spread.withColumns({name: f(w) for name, f in functions.items()})
-    return out.where(F.col("_home") == F.col("_chunk")).select(*df.columns, *aggregates)
+    return chunked.withColumn("_home", F.explode(homes))
+
+
+def _light(df: DataFrame, keys: list[str]) -> list[str]:
+    """The columns that Python tasks may hold a chunk of: keys, and values of a fixed width."""
+    return [c for c in df.columns if c in keys or ranges.fixed_width(df.schema[c].dataType)]
 
 
 def range_frame(df, keys, order: str, seconds: int, aggregates: dict, max_bucket=None) -> DataFrame:
@@ -264,15 +275,27 @@ def range_frame(df, keys, order: str, seconds: int, aggregates: dict, max_bucket
 
     ``aggregates`` as for ``rows_frame``.  Groups are cut into time buckets four frames wide; rows
     within one frame of a bucket's end are copied to the next bucket.  One shuffle, a quarter more
-    rows.  Where a bucket holds more than ``max_bucket`` rows, named aggregates are joined from
-    partial results, see ``dense_range_frame``.
+    rows.  Spark adds up every frame anew, so where a bucket holds more than ``max_bucket`` rows,
+    named aggregates are joined from partial results: of buckets as narrow as the times are dense,
+    or of ranges of positions (``dense_range_frame``) where no bucket is narrow enough, or most
+    buckets are nearly empty.
     """
     wide = 4 * seconds
     micros = epoch_micros(F.col(order))
     bucket = F.floor(micros / (wide * 1_000_000)).cast("bigint")
     marked = df.withColumn("_us", micros).withColumn("_bucket", bucket)
     if not any(map(callable, aggregates.values())):
-        if largest_group(marked, [*keys, "_bucket"]) > (DENSE_ROWS if max_bucket is None else max_bucket):
+        largest = largest_group(marked, [*keys, "_bucket"])
+        if largest > (DENSE_ROWS if max_bucket is None else max_bucket):
+            cuts = 1
+            while cuts < MOST_CUTS and largest > 4 * cuts * CHUNK_ROWS // 2:
+                cuts *= 2
+            narrow = marked.withColumn("_bucket", ranges.time_bucket(F.col("_us"), seconds * 1_000_000 // cuts))
+            sizes = narrow.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("n"))
+            seen = sizes.agg(F.max("n").alias("most"), F.sum("n").alias("rows"), F.count(F.lit(1)).alias("buckets")).first()
+            even = seen["most"] <= CHUNK_ROWS and seen["rows"] >= THIN_ROWS * seen["buckets"]
+            if even and len(_light(df, keys)) == len(df.columns):
+                return _bucketed_range_frame(df, keys, order, seconds, aggregates, cuts)
             return dense_range_frame(df, keys, order, seconds, aggregates)
     late = F.pmod(F.col("_us"), F.lit(wide * 1_000_000)) >= (wide - seconds) * 1_000_000
     homes = F.array_compact(F.array(F.col("_bucket"), F.when(late, F.col("_bucket") + 1)))
@@ -284,6 +307,18 @@ def range_frame(df, keys, order: str, seconds: int, aggregates: dict, max_bucket
     return out.where(F.col("_home").eqNullSafe(F.col("_bucket"))).select(*df.columns, *aggregates)
 
 
+def _bucketed_range_frame(df, keys, order: str, seconds: int, aggregates: dict, cuts: int) -> DataFrame:
+    """``range_frame`` by partial results of buckets, ``cuts`` to a frame."""
+    parts = ranges.Parts(df, aggregates)
+    timed = df.withColumn("_us", epoch_micros(F.col(order))).withColumns(parts.leaves)
+    out = ranges.time_frames(timed.where("_us IS NOT NULL"), parts, keys, df.columns, seconds * 1_000_000, cuts)
+    # rows without a time are the frame of each other
+    none = timed.where("_us IS NULL")
+    totals = none.groupBy(*keys).agg(*parts.merged())
+    out = out.unionByName(_meet(none.select(*[F.col(f"`{c}`") for c in df.columns]), totals, keys).select(*out.columns))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(name) for name, c in parts.results().items()])
+
+
 def dense_range_frame(df, keys, order: str, seconds: int, aggregates: dict, bits: int = ranges.BITS,
                       chunk_rows=CHUNK_ROWS) -> DataFrame:
     """``range_frame`` for any number of rows in a frame.
