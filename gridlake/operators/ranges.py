@@ -211,6 +211,31 @@ def _stored(found: np.ndarray, whole: bool) -> pa.Array:
     return pa.array(found.astype(np.int64 if whole else np.float64))
 
 
+def _between(leaf: np.ndarray, lo: np.ndarray, hi: np.ndarray, operation: str, whole: bool) -> np.ndarray:
+    """``leaf`` from place ``lo`` to ``hi`` for each pair of them; nothing where ``hi < lo``."""
+    out = np.full(len(lo), _nothing(operation, whole), leaf.dtype)
+    some = lo <= hi
+    if whole and operation in ("count", "sum"):
+        before = np.concatenate([[0], np.cumsum(leaf)])
+        out[some] = before[hi[some] + 1] - before[lo[some]]
+        return out
+    # as positions above: halves that meet at the middle of a block, level by level
+    level = np.where(some, np.frexp((lo ^ hi).astype(np.float64))[1] - 1, -2)
+    out[level == -1] = leaf[lo[level == -1]]
+    top = int(level.max(initial=-1))
+    size = 1 << max((len(leaf) - 1).bit_length(), top + 1)
+    padded = np.concatenate([leaf, np.full(size - len(leaf), _nothing(operation, whole))])
+    step = _STEPS[operation]
+    for k in range(top + 1):
+        here = np.flatnonzero(level == k)
+        if len(here):
+            runs = padded.reshape(-1, 1 << k)
+            ahead = step.accumulate(runs[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+            behind = step.accumulate(runs, axis=1).reshape(-1)
+            out[here] = step(ahead[lo[here]], behind[hi[here]])
+    return out
+
+
 def _with_parts(schema: T.StructType, parts: Parts) -> T.StructType:
     out = T.StructType([*schema.fields])
     for p, (_, whole) in parts.kinds.items():
@@ -218,6 +243,37 @@ def _with_parts(schema: T.StructType, parts: Parts) -> T.StructType:
     return out
 
 
+def row_frames(homes: DataFrame, parts: Parts, kept: list[str], before: int, after: int) -> DataFrame:
+    """Frames of ``before`` to ``after`` rows around each row, where a chunk has all rows it needs.
+
+    ``homes`` has positions, parts, ``_home`` (the chunk that gets the row, its own one or, near a
+    border, the next), ``_chunk`` (its own one) and ``_starts``, true on the first row of a group.
+    Returns ``kept`` and the parts of the frame, once for each row.
+    """
+    kinds = parts.kinds
+    names = [*dict.fromkeys([ROW, "_starts", "_own", *kept, *kinds])]
+
+    def solve(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pa.array(np.argsort(rows[ROW].to_numpy(), kind="stable")))
+        at = np.arange(rows.num_rows)
+        starts = rows["_starts"].to_numpy().astype(bool)
+        starts[0] = True
+        first = np.maximum.accumulate(np.where(starts, at, 0))
+        ends = np.append(starts[1:], True)
+        last = np.minimum.accumulate(np.where(ends, at, rows.num_rows)[::-1])[::-1]
+        own = rows["_own"].to_numpy().astype(bool)
+        lo, hi = np.maximum(first, at - before)[own], np.minimum(last, at + after)[own]
+        out = rows.select(kept).filter(pa.array(own))
+        for name, (operation, whole) in kinds.items():
+            found = _between(_leaf(rows[name], operation), lo, hi, operation, whole)
+            out = out.append_column(name, _stored(found, whole))
+        return out
+
+    rows = homes.withColumn("_own", F.col("_home") == F.col("_chunk")).select("_home", *names)
+    schema = _with_parts(homes.select(*kept).schema, parts)
+    return rows.groupBy("_home").applyInArrow(solve, schema)
+
+
 def time_frames(timed: DataFrame, parts: Parts, keys: list[str], kept: list[str], micros: int, cuts: int) -> DataFrame:
     """Frames of the last ``micros`` before each row and the rows of its own time.
 

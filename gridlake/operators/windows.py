@@ -227,13 +227,15 @@ def rows_frame(df, keys, order, before: int, after: int, aggregates: dict, max_g
     """Aggregates over the ``before`` rows before and ``after`` rows behind each row.
 
     ``aggregates`` maps names to (function, column), function being count, sum, avg, min or max, for
-    instance ``{"avg3": ("avg", "value")}``, or to functions of a window.  Spark adds up every frame
-    anew, so frames longer than ``LONG_FRAME`` rows are joined from partial results instead, whatever
-    their length.  Shorter ones in cut groups copy the rows next to a chunk border into the
-    neighbouring chunk, so that every frame is complete in its chunk; functions of a window have that
-    way alone.
+    instance ``{"avg3": ("avg", "value")}``, or to functions of a window.  Cut groups copy the rows
+    next to a chunk border into the neighbouring chunk, so that every frame is complete in its chunk;
+    functions of a window have that way alone.  Spark adds up every frame anew, so frames longer than
+    ``LONG_FRAME`` rows are joined from partial results instead: in their chunk, or over several
+    chunks if they do not fit into one.
     """
     named = not any(map(callable, aggregates.values()))
+    if named and LONG_FRAME < before + after + 1 and max(before, after) <= chunk_rows:
+        return _chunked_rows_frame(df, keys, order, before, after, aggregates, chunk_rows)
     if named and before + after + 1 > min(LONG_FRAME, chunk_rows):
         indexed = number_chunks(df, keys, order, chunk_rows).drop("_chunk")
         spans = _group_spans(indexed, keys)
@@ -270,6 +272,22 @@ def _light(df: DataFrame, keys: list[str]) -> list[str]:
     return [c for c in df.columns if c in keys or ranges.fixed_width(df.schema[c].dataType)]
 
 
+def _chunked_rows_frame(df, keys, order, before, after, aggregates, chunk_rows) -> DataFrame:
+    """``rows_frame`` by partial results inside chunks.  Wide columns are joined by position."""
+    parts = ranges.Parts(df, aggregates)
+    light = _light(df, keys)
+    chunked = number_chunks(df, keys, order, chunk_rows)
+    spread = _spread(chunked.select(ROW, "_chunk", *light, *[c.alias(p) for p, c in parts.leaves.items()]), before, after, chunk_rows)
+    w = Window.partitionBy("_home").orderBy(ROW)
+    same = ranges.same_all([(F.col(f"`{c}`"), F.lag(f"`{c}`").over(w)) for c in keys])
+    kept = light if len(light) == len(df.columns) else [ROW, *light]
+    out = ranges.row_frames(spread.withColumn("_starts", ~same), parts, kept, before, after)
+    if ROW in kept:
+        heavy = [F.col(f"`{c}`") for c in df.columns if c not in light]
+        out = out.join(chunked.select(ROW, *heavy).hint("merge"), ROW)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], *[c.alias(name) for name, c in parts.results().items()])
+
+
 def range_frame(df, keys, order: str, seconds: int, aggregates: dict, max_bucket=None) -> DataFrame:
     """Aggregates over the last ``seconds`` before each row, by a timestamp column.
 

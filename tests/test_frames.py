@@ -63,3 +63,39 @@ def test_dense_times_are_not_added_up_row_by_row(spark):
     assert [(r["n"], r["whole"]) for r in got.filter("id IN (0, 9, 19999)").sort("id").collect()] == [
         (at + 1, sum(i % 7 for i in range(at + 1))) for at in (0, 9, 19_999)
     ]
+
+
+@pytest.mark.parametrize("before,after", [(120, 0), (0, 130), (90, 90), (30, -4), (-2, 40)])
+@pytest.mark.parametrize("wide", [False, True])
+def test_long_rows_frames_stay_in_their_chunk(points, monkeypatch, before, after, wide):
+    """One shuffle of the rows by chunk, no questions about positions."""
+    monkeypatch.setattr(windows, "LONG_FRAME", 20)
+    monkeypatch.setattr(ranges, "range_totals", None)
+    w = Window.partitionBy("k").orderBy("i").rowsBetween(-before, after)
+    plain = points.withColumns({n: ranges.over(spec, w) for n, spec in ALL.items()})
+    rows = points if wide else points.select("k", "i", "v", "ts")
+    framed = windows.rows_frame(rows, ["k"], ["i"], before, after, ALL, chunk_rows=131)
+    assert framed.columns == [*rows.columns, *ALL]
+    same(framed, plain, "k", "i")
+
+
+def test_sums_beyond_64_bits_raise(spark):
+    big = 1 << 62
+    df = spark.createDataFrame([(1, i, v) for i, v in enumerate([big, -big, big, 5, big])], "k int, i long, v long")
+    ordered = ranges._between(ranges._leaf(_column(df), "sum"), *_ends([(0, 2), (1, 4), (3, 3)]), "sum", True)
+    assert ranges._stored(ordered, True).to_pylist() == [big, big + 5, 5]
+    over = ranges._between(ranges._leaf(_column(df), "sum"), *_ends([(2, 4)]), "sum", True)
+    with pytest.raises(OverflowError):
+        ranges._stored(over, True)
+
+
+def _column(df):
+    import pyarrow as pa
+
+    return pa.chunked_array([pa.array([r["v"] for r in df.sort("i").collect()], pa.int64())])
+
+
+def _ends(pairs):
+    import numpy as np
+
+    return [np.array(x, dtype=np.int64) for x in zip(*pairs)]
