@@ -7,9 +7,12 @@ threshold.  The steps, each a Spark job over all rows:
    of copies of any size is one member of the join.  On the way every task counts n-grams
    into a sketch of fixed size, and the sketches are added up.
 2. Prefixes: n-grams are ordered by their count in the sketch (rare first, then by hash; any
-   order that is the same everywhere gives right results).  Sets as similar as asked share a
-   member of their first |x| - ceil(t |x|) + 1 n-grams in that order.
-3. Postings: prefix n-grams that more than one set has.
+   order that is the same everywhere gives right results).  Sets as similar as asked share ``k``
+   of their first |x| - ceil(t |x|) + k n-grams in that order, whatever ``k`` up to ceil(t |x|).
+3. Postings: n-grams of prefixes for a long ``k`` that more than one set has.  Sets that share
+   fewer of theirs with all others together than a similar one would share alone link with
+   nothing and leave: chance phrases, of which more corpora have more, do not make pairs.  What
+   stays is listed by the prefixes for ``k`` = 1.
 4. Links: in each posting list the set with the fewest rarer n-grams is compared with the
    others.  Lists whose sets are not all connected yet go on in rounds: each set is compared with
    the first one of another component, until a round connects nothing.  What is then left are
@@ -42,6 +45,8 @@ SIGNATURE, WIDE = 8, 4096
 FOLDED = 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+# Times that sets with too few shared n-grams leave; each time the others share less.
+SIEVES = 3
 # Rounds of one partner for each set; what they leave is compared in all pairs.
 ROUNDS = 6
 # Cells of the bitmap that picks the documents whose sets are computed again: a prime.
@@ -85,6 +90,12 @@ def ceil_share(size: np.ndarray, share: Fraction) -> np.ndarray:
     return -(-size * share.numerator // share.denominator)
 
 
+def asked(size: np.ndarray, share: Fraction) -> np.ndarray:
+    """How many n-grams of their longer prefixes a set and one at most as small must share; grows with the size."""
+    least = ceil_share(size, share)
+    return np.minimum(size - least + 1, least)
+
+
 def signature(g: np.ndarray) -> list[int]:
     """Parity of the members in each of 64 * SIGNATURE cells: sets that differ in d members
     differ in at most d cells."""
@@ -220,7 +231,7 @@ class NgramJoin:
 
     # -- step 2 ---------------------------------------------------------------------
     def heads(self, classes: DataFrame) -> DataFrame:
-        """(doc, size, bits, grams) of one set of each class: its signature and its prefix."""
+        """(doc, size, bits, grams) of one set of each class: its signature and its longer prefix."""
         n, share, counts = self.n, self.share, self.counts
 
         def prefix(batches):
@@ -230,7 +241,7 @@ class NgramJoin:
                     g = grams(text, n)
                     if not len(g):
                         continue
-                    keep = len(g) - int(ceil_share(np.int64(len(g)), share)) + 1
+                    keep = len(g) - int(ceil_share(np.int64(len(g)), share)) + int(asked(np.int64(len(g)), share))
                     # counts, then hashes: the sort is stable and g is sorted
                     key = (counts.value[_slot(g)].astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32))
                     docs.append(doc)
@@ -256,10 +267,31 @@ class NgramJoin:
         """
         rows = heads.select("doc", "size", F.posexplode("grams").alias("place", "gram"))
         rows = rows.select("gram", "doc", F.col("size").cast("int"), F.col("place").cast("int"))
+        rows = stage(self._lists(rows).select("gram", "doc", "size", "place"), "ngram-shared")
+        left = rows.count()
+        for _ in range(SIEVES):
+            rows = stage(self._lists(self._sieve(rows)).select("gram", "doc", "size", "place"), "ngram-shared")
+            before, left = left, rows.count()
+            if 10 * left > 9 * before:
+                break
+        a, b = self.share.numerator, self.share.denominator
+        # the prefix for one n-gram: size - ceil(share * size) + 1 places
+        return stage(self._lists(rows.filter((F.col("size") - F.col("place")) * b >= F.col("size") * a)), "ngram-postings")
+
+    def _lists(self, rows: DataFrame) -> DataFrame:
+        """The rows whose n-gram another one has too, each with the first of them."""
         parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         dealt = rows.repartition(parts, "gram").sortWithinPartitions("gram", "place", "doc")
         schema = "gram long, doc long, size int, place int, c_doc long, c_size int, c_place int"
-        return stage(dealt.mapInArrow(_shared, schema), "ngram-postings")
+        return dealt.mapInArrow(_shared, schema)
+
+    def _sieve(self, rows: DataFrame) -> DataFrame:
+        """The rows of sets that have as many as they would share with the smallest set like them."""
+        a, b = self.share.numerator, self.share.denominator
+        smallest = F.expr(f"(size * {a}L + {b - 1}) DIV {b}")
+        least = F.expr(f"(smallest * {a}L + {b - 1}) DIV {b}")
+        counted = rows.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("doc"))).withColumn("smallest", smallest)
+        return counted.filter(F.col("found") >= F.least(F.col("smallest") - least + 1, least)).select(*rows.columns)
 
     def described(self, pairs: DataFrame, describe) -> DataFrame:
         """(doc, told): ``describe(set)`` of the documents of the pairs.

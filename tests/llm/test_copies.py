@@ -73,3 +73,42 @@ def test_trainers_take_one_row_of_an_id(spark):
     finally:
         toxicity.FactorizationMachine.fit, quality.BoostedTrees.fit = fit, grow
     assert len(taken) == 2 and max(taken) <= 2
+
+
+def test_chance_phrases_make_no_pairs(spark, monkeypatch):
+    """Texts that share a phrase by chance leave the join before pairs are made; links are those of all pairs."""
+    rng = random.Random(11)
+    common = [" ".join(rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(4)) for _ in range(40)]
+    texts = []
+    for i in range(120):
+        own = [f"d{i}x{k}" for k in range(60)]
+        for _ in range(3):
+            own[(at := rng.randrange(50)):at] = rng.choice(common).split()
+        texts.append(" ".join(own))
+    for i in range(0, 30, 3):
+        words = texts[i].split()
+        words[rng.randrange(len(words))] = "edit"
+        texts.append(" ".join(words))
+    # any order gives right links; all n-grams are as rare as each other, as in corpora that outgrow the sketch
+    monkeypatch.setattr(ngramjoin, "_slot", lambda g: g.astype("int64") * 0)
+    met = []
+    whole = ngramjoin.NgramJoin.postings
+
+    def spy(self, heads):
+        lists = whole(self, heads)
+        met.append(lists.select("doc").distinct().count())
+        return lists
+
+    monkeypatch.setattr(ngramjoin.NgramJoin, "postings", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.NgramJoin(df, 4, "17/20").components().collect()}
+    assert got == brute.components(list(enumerate(texts)), 4, "17/20")
+    assert len(set(c for _, c in got.values())) == 120 and met == [20]
+
+
+def test_asked_holds_for_all_pairs_of_sizes():
+    for share in ("17/20", "4/5", "1/2", "1/3", "1", "99/100"):
+        share = ngramjoin.Fraction(share)
+        sizes = ngramjoin.np.arange(1, 400)
+        got = ngramjoin.asked(sizes, share)
+        assert (got >= 1).all() and (got <= ngramjoin.ceil_share(sizes, share)).all() and (got[1:] >= got[:-1]).all()
