@@ -7,10 +7,11 @@
 2. Each task inserts, for every place of a text, the ids of up to ``longest`` words from there on
    into a HAT-trie: a shallow trie over word ids whose leaves are hash containers, which burst into
    a trie node when they grow.  When it is full, its largest subtrees leave as sorted runs.
-3. The runs are cut into ranges of prefixes, anywhere in the order, so a hot word or pair spreads
-   over many tasks.  Each range is merged in one pass that counts the phrases of all lengths, which
-   are prefixes of the rows; only the phrases on its two edges may go on in the next range, and
-   those few are added up afterwards.
+3. The runs are dealt to partitions by their prefixes.  A word too frequent for one partition is split
+   by the words behind it, up to the first that is not as frequent, so what is split are phrases of
+   such words alone, and a hot word or pair spreads over many tasks.  Each partition is merged in one
+   pass that counts the phrases of all lengths, which are prefixes of the rows; those phrases of hot
+   words may go on in other partitions, and are added up afterwards.
 4. Phrases are cut, looked up and scored by joins over the frequent phrases.
 
 Counts and scores are exact whole numbers; scores are computed in decimals of 38 digits, which
@@ -42,7 +43,7 @@ KNOWN, WORD_BYTES = 1 << 18, 64
 FIELD = 21
 #: places of texts that a prefix partition is made for
 PART_PLACES = 1 << 20
-#: phrases of up to so many words may lie in several parts of a split word
+#: phrases of up to so many words, all of them split words, may lie in several parts
 SHARED = 3
 #: bits of the map of frequent words outside the dictionary
 CELLS = 1 << 23
@@ -293,10 +294,18 @@ class Partitions:
         part = self.first[first]
         hot = self.times[first] > 1
         if hot.any():
-            some = rows[hot]
-            part[hot] += self._hash(some[:, :SHARED + 1].T) % self.times[some[:, 0]]
+            some = rows[hot, :SHARED + 1]
+            # a phrase occurs at most as often as its rarest word: behind that one no more is cut
+            after = np.logical_or.accumulate(self.times[some] <= 1, axis=1)
+            cut = some.copy()
+            cut[:, 1:][after[:, :-1]] = 0
+            part[hot] += self._hash(cut.T) % self.times[some[:, 0]]
         return part
 
+    def hot(self) -> np.ndarray:
+        """The words that are split, in order."""
+        return np.flatnonzero(self.times > 1)
+
 
 def pack_run(rows: np.ndarray, counts: np.ndarray) -> bytes:
     """A sorted run in few bytes: columns, the first as differences, byte by byte, compressed."""
@@ -374,9 +383,10 @@ def count_places(docs: DataFrame, ids: DataFrame, longest: int, entries: int = E
 
 
 # -- merging -------------------------------------------------------------------------------------
-def prefixes(rows: np.ndarray, counts: np.ndarray, least: int, shared: int, hashed: bool):
+def prefixes(rows: np.ndarray, counts: np.ndarray, least: int, shared: int, hashed: bool, hot: np.ndarray | None = None):
     """(ids, n) of the prefixes of a sorted run, of two ids and more, that reach ``least``; those of up
-    to ``shared`` ids whatever their count; of rows with hashed words, those that hold one."""
+    to ``shared`` ids, all ``hot`` if these are given, whatever their count; of rows with hashed words,
+    those that hold one."""
     new = np.zeros(len(rows), bool)
     new[:1] = True
     for k in range(1, rows.shape[1] + 1):
@@ -388,13 +398,16 @@ def prefixes(rows: np.ndarray, counts: np.ndarray, least: int, shared: int, hash
         keep = rows[at, k - 1] != 0
         if k > shared:
             keep &= sums >= least
+        elif hot is not None:
+            keep &= (sums >= least) | np.isin(rows[at, :k], hot).all(axis=1)
         if hashed:
             keep &= (rows[at, :k] >= _HASHED).any(axis=1)
         yield rows[at[keep], :k], sums[keep]
 
 
-def _merge(longest: int, least: int, split: int):
-    """Reads runs in the order of their partitions, gives the phrases (ids, n) of each."""
+def _merge(longest: int, least: int, split: int, hot: np.ndarray | None = None):
+    """Reads runs in the order of their partitions, gives the phrases (ids, n) of each; the first ``split``
+    are parts of words, which share phrases of ``hot`` words (not given: any words)."""
     kind = pa.list_(pa.int64())
 
     def run(batches):
@@ -407,7 +420,7 @@ def _merge(longest: int, least: int, split: int):
 
         def leave():
             rows, counts = one()
-            for ids, n in prefixes(rows, counts, least, SHARED if 0 <= at < split else 0, at < 0):
+            for ids, n in prefixes(rows, counts, least, SHARED if 0 <= at < split else 0, at < 0, hot):
                 offsets = pa.array(np.arange(0, ids.size + 1, ids.shape[1]), pa.int32())
                 lists = pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(ids).reshape(-1)))
                 yield from pa.table({"ids": lists.cast(kind), "n": pa.array(n)}).to_batches(100_000)
@@ -436,7 +449,7 @@ def phrase_counts(
     """(ids, n) of the phrases of 2 to ``longest`` words that occur ``least`` times or more."""
     runs, partitions = count_places(docs, ids, longest, entries, part_places)
     dealt = runs.repartition(2 * partitions.many, "part").sortWithinPartitions("part")
-    parts = dealt.mapInArrow(_merge(longest, least, partitions.split), "ids array<long>, n long")
+    parts = dealt.mapInArrow(_merge(longest, least, partitions.split, partitions.hot()), "ids array<long>, n long")
     return parts.groupBy("ids").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
 
 

@@ -159,3 +159,25 @@ def test_packed_runs(high):
     counts = counts * rng.choice([1, 300, 1 << 33 if high > 5 else 2], len(counts))
     back, n = C.unpack_run(C.pack_run(rows, counts), 5)
     assert (back == rows).all() and (n == counts).all()
+
+
+def test_split_words_share_only_phrases_of_split_words():
+    """What occurs once leaves a part only if every word of it is split, and nothing else lies in two parts."""
+    rng = np.random.default_rng(8)
+    deal = C.Partitions([900, 800, 90, *[20] * 60], 100)
+    rows = rng.choice([1, 2, 3, *range(4, 64)], (6000, 5), p=[0.3, 0.3, 0.1, *[0.3 / 60] * 60])
+    rows[:, 2:][np.logical_or.accumulate(rng.random((6000, 3)) < 0.1, axis=1)] = 0
+    part = deal.of(rows, False)
+    assert deal.hot().tolist() == [1, 2] and len(set(part[part < deal.split].tolist())) == deal.split
+    want, got, rare = Counter(), Counter(), 0
+    for row in rows.tolist():
+        want.update(tuple(row[:k]) for k in range(2, 6) if row[k - 1])
+    runs = [(int(p), C.pack_run(*C.sorted_rows(rows[part == p]))) for p in np.unique(part)]
+    batch = pa.table({"part": [p for p, _ in runs], "run": [r for _, r in runs]}).to_batches()
+    for out in C._merge(5, 4, deal.split, deal.hot())(batch):
+        for ids, n in zip(out["ids"].to_pylist(), out["n"].to_pylist()):
+            got[tuple(ids)] += n
+            rare += n < 4
+            assert n >= 4 or set(ids) <= {1, 2} and len(ids) <= C.SHARED
+    assert {p: n for p, n in got.items() if n >= 4} == {p: n for p, n in want.items() if n >= 4}
+    assert rare < 4 * deal.split * (2 + 4)
