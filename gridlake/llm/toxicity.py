@@ -167,7 +167,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -
     data = sorted(zip(table["doc_id"].to_pylist(), table["label"].to_pylist(), table["terms"].to_pylist()))
     texts = [np.frombuffer(t, "<u4") for _, _, t in data]
     prior = totals.get(1, 0) / max(sum(totals.values()), 1)
-    return FactorizationMachine().fit(texts, np.array([label for _, label, _ in data], dtype=bool), prior)
+    machine = FactorizationMachine().fit(texts, np.array([label for _, label, _ in data], dtype=bool), prior)
+    # the driver goes on with the machine alone
+    del table, data, texts
+    give_back()
+    return machine
 
 
 class _Lookup:

@@ -112,3 +112,13 @@ def test_asked_holds_for_all_pairs_of_sizes():
         sizes = ngramjoin.np.arange(1, 400)
         got = ngramjoin.asked(sizes, share)
         assert (got >= 1).all() and (got <= ngramjoin.ceil_share(sizes, share)).all() and (got[1:] >= got[:-1]).all()
+
+
+def test_training_gives_memory_back(spark, monkeypatch):
+    """The driver keeps the machine, not what it was trained on."""
+    given = []
+    monkeypatch.setattr(toxicity, "give_back", lambda: given.append(1))
+    docs = spark.createDataFrame([(i, f"some words {i % 2}") for i in range(12)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    assert len(toxicity.train(docs, labels).score([[], []])) == 2
+    assert given == [1]
