@@ -14,9 +14,11 @@ threshold.  The steps, each a Spark job over all rows:
    nothing and leave: chance phrases, of which more corpora have more, do not make pairs.  What
    stays is listed by the prefixes for ``k`` = 1.
 4. Links: in each posting list the set with the fewest rarer n-grams is compared with the
-   others.  Lists whose sets are not all connected yet go on in rounds: each set is compared with
-   the first one of another component, until a round connects nothing.  What is then left are
-   pairs between different components, and those are all tested.  A pair must pass the length,
+   others.  Of lists whose sets are not all connected yet, those sets go on whose n-grams, all
+   of them, are in sets of other components to the share asked for: one that has more of its own
+   is like none of them.  They go on in rounds: each set is compared with the first one of another
+   component, until a round connects nothing.  What is then left are pairs between different
+   components, and those are all tested.  A pair must pass the length,
    positional and signature filters first; it is verified once at most, behind a wide signature
    and a suffix filter, on full sets that are computed again for the documents of such pairs alone.
 
@@ -45,7 +47,7 @@ SIGNATURE, WIDE = 8, 4096
 FOLDED = 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-# Times that sets with too few shared n-grams leave; each time the others share less.
+# Times at most that sets with too few shared n-grams leave; each time the others share less.
 SIEVES = 3
 # Rounds of one partner for each set; what they leave is compared in all pairs.
 ROUNDS = 6
@@ -231,12 +233,12 @@ class NgramJoin:
 
     # -- step 2 ---------------------------------------------------------------------
     def heads(self, classes: DataFrame) -> DataFrame:
-        """(doc, size, bits, grams) of one set of each class: its signature and its longer prefix."""
+        """(doc, size, grams) of one set of each class: its longer prefix."""
         n, share, counts = self.n, self.share, self.counts
 
         def prefix(batches):
             for batch in batches:
-                docs, sizes, bits, parts = [], [], [], []
+                docs, sizes, parts = [], [], []
                 for doc, text in zip(batch["doc"].to_pylist(), one_by_one(batch["text"])):
                     g = grams(text, n)
                     if not len(g):
@@ -246,17 +248,15 @@ class NgramJoin:
                     key = (counts.value[_slot(g)].astype(np.uint64) << np.uint64(32)) | (g >> np.uint64(32))
                     docs.append(doc)
                     sizes.append(len(g))
-                    bits.append(signature(g))
                     parts.append(g[np.argsort(key, kind="stable")[:keep]].view(np.int64))
-                longs = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, longs), pa.array(parts, longs)],
-                    names=["doc", "size", "bits", "grams"],
+                    [pa.array(docs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(parts, pa.list_(pa.int64()))],
+                    names=["doc", "size", "grams"],
                 )
             give_back()
 
-        rows = self.docs.mapInArrow(prefix, "doc long, size long, bits array<long>, grams array<long>")
-        return stage(rows.join(classes.select("doc").hint("merge"), "doc", "left_semi"), "ngram-heads")
+        rows = self.docs.mapInArrow(prefix, "doc long, size long, grams array<long>")
+        return rows.join(classes.select("doc").hint("merge"), "doc", "left_semi")
 
     # -- step 3 ---------------------------------------------------------------------
     def postings(self, heads: DataFrame) -> DataFrame:
@@ -272,7 +272,7 @@ class NgramJoin:
         for _ in range(SIEVES):
             rows = stage(self._lists(self._sieve(rows)).select("gram", "doc", "size", "place"), "ngram-shared")
             before, left = left, rows.count()
-            if 10 * left > 9 * before:
+            if 2 * left > before:
                 break
         a, b = self.share.numerator, self.share.denominator
         # the prefix for one n-gram: size - ceil(share * size) + 1 places
@@ -293,14 +293,14 @@ class NgramJoin:
         counted = rows.withColumn("found", F.count(F.lit(1)).over(Window.partitionBy("doc"))).withColumn("smallest", smallest)
         return counted.filter(F.col("found") >= F.least(F.col("smallest") - least + 1, least)).select(*rows.columns)
 
-    def described(self, pairs: DataFrame, describe) -> DataFrame:
-        """(doc, told): ``describe(set)`` of the documents of the pairs.
+    def described(self, docs: DataFrame, describe, kind: str = "binary") -> DataFrame:
+        """(doc, told): ``describe(set)``, of that type, of the documents (doc).
 
         A bitmap of fixed size picks the documents while they are read, so texts are not
-        shuffled; a few more may pass, which then meet no pair.
+        shuffled; a few more may pass, which are to be joined away.
         """
-        n = self.n
-        cells = pairs.select(F.explode(F.array("a", "b")).alias("doc")).select(F.pmod("doc", F.lit(CELLS)).alias("cell"))
+        n, told = self.n, {"binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[kind]
+        cells = docs.select(F.pmod("doc", F.lit(CELLS)).alias("cell"))
         span = 32768  # bits of one of Spark's bitmaps
         maps = cells.groupBy(F.floor(F.col("cell") / span).alias("at")).agg(
             F.bitmap_construct_agg(F.pmod("cell", F.lit(span))).alias("bits")
@@ -316,11 +316,10 @@ class NgramJoin:
                 hit = (wanted.value[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1
                 batch = batch.filter(pa.array(hit.astype(bool)))
                 parts = [describe(grams(text, n)) for text in one_by_one(batch["text"])]
-                yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(parts, pa.binary())], names=["doc", "told"])
+                yield pa.RecordBatch.from_arrays([batch["doc"], pa.array(parts, told)], names=["doc", "told"])
             give_back()
 
-        named = self.docs.filter("doc IS NOT NULL")
-        return stage(named.mapInArrow(full, "doc long, told binary"), "ngram-described")
+        return self.docs.filter("doc IS NOT NULL").mapInArrow(full, f"doc long, told {kind}")
 
     # -- step 4 ---------------------------------------------------------------------
     def _may_link(self, size_a: Column, size_b: Column, place_a: Column, place_b: Column) -> Column:
@@ -347,7 +346,7 @@ class NgramJoin:
 
     def _test(self, pairs: DataFrame, describe, allows) -> DataFrame:
         share = self.share
-        told = self.described(pairs, describe)
+        told = stage(self.described(pairs.select(F.explode(F.array("a", "b")).alias("doc")), describe), "ngram-described")
         left = told.select(F.col("doc").alias("a"), F.col("told").alias("x"))
         right = told.select(F.col("doc").alias("b"), F.col("told").alias("y"))
 
@@ -380,10 +379,26 @@ class NgramJoin:
 
     def _mixed(self, rows: DataFrame, parts: DataFrame) -> DataFrame:
         """(gram, doc, size, place, part) of the posting lists that hold more than one component."""
-        rows = rows.select("gram", "doc", "size", "place").join(parts.select("doc", "part").hint("merge"), "doc")
+        rows = rows.select("gram", "doc", "size", "place").join(parts.select("doc", "part").distinct().hint("merge"), "doc")
         spans = rows.groupBy("gram").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low < high")
         return stage(rows.join(spans.select("gram").hint("merge"), "gram"), "ngram-mixed")
 
+    def _sharing(self, mixed: DataFrame) -> DataFrame:
+        """(doc, part) of the sets whose n-grams are in sets of other components to the share asked for.
+
+        Similar sets of different components are both in ``mixed``, and have so many in common.
+        """
+        a, b = self.share.numerator, self.share.denominator
+        # texts of one id count together: more may stay
+        members = stage(mixed.groupBy("doc").agg(F.first("part").alias("part"), F.min("size").cast("long").alias("size")), "ngram-members")
+        whole = self.described(members, lambda g: g.view(np.int64), "array<long>")
+        rows = whole.join(members.select("doc", "part").hint("merge"), "doc").select(F.explode("told").alias("gram"), "doc", "part")
+        alike = Window.partitionBy("gram")
+        found = rows.select("doc", (F.min("part").over(alike) < F.max("part").over(alike)).alias("met")).filter("met")
+        found = found.groupBy("doc").agg(F.count(F.lit(1)).alias("found"))
+        stays = members.join(found.hint("merge"), "doc").filter(F.col("found") * b >= F.col("size") * a)
+        return stays.select("doc", "part")
+
     def _other_star(self, mixed: DataFrame, parts: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
         """As ``_star``, each set with the first one of another component in each of its lists."""
         first = F.struct("place", "size", "doc")
@@ -433,15 +448,23 @@ class NgramJoin:
             self.scan()
         filled = self.sets.filter("size > 0")
         classes = stage(filled.groupBy("mark").agg(F.min("doc").alias("doc"), F.max("size").alias("size")), "ngram-classes")
-        heads = self.heads(classes)
-        lists = self.postings(heads)
-        # tables that grow with the input are merged, not broadcast, at every size
+        lists = self.postings(self.heads(classes))
         inside = lists.select("doc").distinct()
-        parts = heads.select("doc", "size", "bits").join(inside.hint("merge"), "doc", "left_semi")
-        parts = stage(parts.select("doc", F.col("doc").alias("part"), "size", "bits").distinct(), "ngram-parts")
+        told = self.described(inside, lambda g: [len(g), *signature(g)], "array<long>")
+        # tables that grow with the input are merged, not broadcast, at every size
+        parts = told.join(inside.hint("merge"), "doc", "left_semi").filter("told[0] > 0").select(
+            "doc", F.col("doc").alias("part"), F.col("told")[0].alias("size"), F.slice("told", 2, SIGNATURE).alias("bits")
+        )
+        parts = stage(parts.distinct(), "ngram-parts")
         links, tested = self._star(lists, parts)
         parts = merge_parts(parts, links)
         mixed = self._mixed(lists, parts)
+        left = mixed.count()
+        for _ in range(SIEVES if left else 0):
+            mixed = self._mixed(mixed, self._sharing(mixed))
+            before, left = left, mixed.count()
+            if 10 * left > 9 * before or not left:
+                break
         for _ in range(ROUNDS):
             if mixed.isEmpty():
                 break

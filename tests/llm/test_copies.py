@@ -106,6 +106,36 @@ def test_chance_phrases_make_no_pairs(spark, monkeypatch):
     assert len(set(c for _, c in got.values())) == 120 and met == [20]
 
 
+def test_texts_with_more_of_their_own_are_not_compared(spark, monkeypatch):
+    """Variants of a text that are like no other leave before all pairs of components; links are those of all pairs."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(30):
+        own = list(base)
+        for k, at in enumerate(rng.sample(range(4, 196), 14)):
+            own[at] = f"d{i}x{k}"
+        texts.append(" ".join(own))
+    for text in texts[:4]:
+        words = text.split()
+        words[rng.randrange(200)] = "edit"
+        texts.append(" ".join(words))
+    # all n-grams are as rare as each other: prefixes do not tell what is a text's own
+    monkeypatch.setattr(ngramjoin, "_slot", lambda g: g.astype("int64") * 0)
+    met = []
+    whole = ngramjoin.NgramJoin._rest
+
+    def spy(self, mixed, parts, tested):
+        met.extend(r.doc for r in mixed.select("doc").distinct().collect())
+        return whole(self, mixed, parts, tested)
+
+    monkeypatch.setattr(ngramjoin.NgramJoin, "_rest", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.NgramJoin(df, 4, "17/20").components().collect()}
+    assert got == brute.components(list(enumerate(texts)), 4, "17/20")
+    assert len(set(c for _, c in got.values())) == 30 and len(set(met)) <= 8
+
+
 def test_asked_holds_for_all_pairs_of_sizes():
     for share in ("17/20", "4/5", "1/2", "1/3", "1", "99/100"):
         share = ngramjoin.Fraction(share)
