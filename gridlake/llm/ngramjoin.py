@@ -16,9 +16,11 @@ threshold.  The steps, each a Spark job over all rows:
 4. Links: in each posting list the set with the fewest rarer n-grams is compared with the
    others.  Of lists whose sets are not all connected yet, those sets go on whose n-grams, all
    of them, are in sets of other components to the share asked for: one that has more of its own
-   is like none of them.  They go on in rounds: each set is compared with the first one of another
-   component, until a round connects nothing.  What is then left are pairs between different
-   components, and those are all tested.  A pair must pass the length,
+   is like none of them.  Their n-grams are ordered anew, by exact counts among them, those of one
+   component alone first; the first n-gram that a pair shares is then seldom early enough in both.
+   Where more pairs are left than there were postings, each set is compared with the first one of
+   another component, in rounds, until a round connects nothing.  What is then left are pairs
+   between different components, and those are all tested.  A pair must pass the length,
    positional and signature filters first; it is verified once at most, behind a wide signature
    and a suffix filter, on full sets that are computed again for the documents of such pairs alone.
 
@@ -49,7 +51,7 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _MULTIPLY = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 # Times at most that sets with too few shared n-grams leave; each time the others share less.
 SIEVES = 3
-# Rounds of one partner for each set; what they leave is compared in all pairs.
+# Rounds at most of one partner for each set; what they leave is compared in all pairs.
 ROUNDS = 6
 # Cells of the bitmap that picks the documents whose sets are computed again: a prime.
 CELLS = 8_388_593
@@ -323,13 +325,19 @@ class NgramJoin:
 
     # -- step 4 ---------------------------------------------------------------------
     def _may_link(self, size_a: Column, size_b: Column, place_a: Column, place_b: Column) -> Column:
-        """Length and positional filters; what may still follow the shared n-gram bounds the overlap."""
+        """Length and positional filters; what may still follow any shared n-gram bounds the overlap."""
         a, b = self.share.numerator, self.share.denominator
         lengths = (size_a * b >= size_b * a) & (size_b * b >= size_a * a)
         # an earlier shared n-gram may add to the overlap, so places count from the front of both
         most = 1 + F.least(size_a - place_a - 1, size_b - place_b - 1) + F.least(place_a, place_b)
         return lengths & (most * (a + b) >= (size_a + size_b) * a)
 
+    def _reach(self, size: Column, place: Column) -> Column:
+        """``a`` times the size of the largest set that may link by a first shared n-gram at this place."""
+        a, b = self.share.numerator, self.share.denominator
+        # overlap <= size - place, and >= a / (a + b) * the sizes
+        return size * b - place * (a + b)
+
     def _bits_allow(self, size_a: Column, size_b: Column, bits_a: list[Column], bits_b: list[Column]) -> Column:
         a, b = self.share.numerator, self.share.denominator
         apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b)), F.lit(0))
@@ -399,6 +407,34 @@ class NgramJoin:
         stays = members.join(found.hint("merge"), "doc").filter(F.col("found") * b >= F.col("size") * a)
         return stays.select("doc", "part")
 
+    def _reordered(self, mixed: DataFrame) -> DataFrame:
+        """``mixed`` of the same sets in another order: by the exact counts of all their n-grams.
+
+        The sketch counts all texts, and tells fewer n-grams apart the more there are.  Here those
+        come first that no other component has, then the rare ones.  Rows stay whose place is early
+        enough for a pair that shares nothing before it.
+        """
+        a, b = self.share.numerator, self.share.denominator
+        members = stage(mixed.groupBy("doc").agg(F.first("part").alias("part")), "ngram-members")
+        whole = self.described(members, lambda g: g.view(np.int64), "array<long>").join(members.hint("merge"), "doc")
+        # texts of one id have places of their own; repeated rows are one
+        sets = whole.withColumn("text", F.xxhash64("told")).dropDuplicates(["doc", "text"])
+        rows = sets.select(F.explode("told").alias("gram"), "doc", "text", "part", F.size("told").alias("size"))
+        alike = Window.partitionBy("gram")
+        several = F.min("part").over(alike) < F.max("part").over(alike)
+        rows = rows.select("*", F.count(F.lit(1)).over(alike).alias("many"), several.alias("several")).filter("several")
+        after = F.row_number().over(Window.partitionBy("doc", "text").orderBy(F.desc("many"), F.desc("gram")))
+        rows = rows.withColumn("place", F.col("size") - after).filter((F.col("size") - F.col("place")) * b >= F.col("size") * a)
+        smallest = F.min("size").over(alike)
+        rows = rows.withColumn("least", smallest).filter(self._reach(F.col("size"), F.col("place")) >= F.col("least") * a)
+        rows = rows.withColumn("several", several).filter("several")
+        return stage(rows.select("gram", "doc", "size", "place", "part"), "ngram-mixed")
+
+    def _pairs(self, mixed: DataFrame) -> int:
+        """How many pairs of rows the posting lists have, at most."""
+        lists = mixed.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+        return lists.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+
     def _other_star(self, mixed: DataFrame, parts: DataFrame, tested: DataFrame) -> tuple[DataFrame, DataFrame]:
         """As ``_star``, each set with the first one of another component in each of its lists."""
         first = F.struct("place", "size", "doc")
@@ -425,7 +461,9 @@ class NgramJoin:
         met = left.join(
             right,
             (left["gram"] == right["gram"]) & (c("doc_a") < c("doc_b")) & (c("part_a") != c("part_b"))
-            & self._may_link(c("size_a"), c("size_b"), c("place_a"), c("place_b"))
+            # of all n-grams that a pair shares, the first one is enough
+            & (self._reach(c("size_a"), c("place_a")) >= c("size_b") * self.share.numerator)
+            & (self._reach(c("size_b"), c("place_b")) >= c("size_a") * self.share.numerator)
             & self._bits_allow(c("size_a"), c("size_b"), *folds),
         )
         # whole signatures move for the few pairs that this leaves, not for every posting
@@ -459,14 +497,13 @@ class NgramJoin:
         links, tested = self._star(lists, parts)
         parts = merge_parts(parts, links)
         mixed = self._mixed(lists, parts)
-        left = mixed.count()
-        for _ in range(SIEVES if left else 0):
+        if not mixed.isEmpty():
             mixed = self._mixed(mixed, self._sharing(mixed))
-            before, left = left, mixed.count()
-            if 10 * left > 9 * before or not left:
-                break
+        if not mixed.isEmpty():
+            mixed = self._reordered(mixed)
+        most = lists.count()
         for _ in range(ROUNDS):
-            if mixed.isEmpty():
+            if self._pairs(mixed) <= most:
                 break
             links, more = self._other_star(mixed, parts, tested)
             links = stage(links, "ngram-links")

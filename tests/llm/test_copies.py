@@ -136,6 +136,69 @@ def test_texts_with_more_of_their_own_are_not_compared(spark, monkeypatch):
     assert len(set(c for _, c in got.values())) == 30 and len(set(met)) <= 8
 
 
+def test_variants_that_differ_in_few_words_make_no_pairs(spark, monkeypatch):
+    """Variants of a text, mostly made of it but too far from each other, meet by their own n-grams first: no pairs are left."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for i in range(40):
+        own = list(base)
+        for k, at in enumerate(rng.sample(range(4, 196, 5), 6)):
+            own[at] = f"d{i}x{k}"
+        texts.append(" ".join(own))
+    for text in texts[:4]:
+        words = text.split()
+        words[rng.randrange(200)] = "edit"
+        texts.append(" ".join(words))
+    monkeypatch.setattr(ngramjoin, "_slot", lambda g: g.astype("int64") * 0)
+    met = []
+    whole = ngramjoin.NgramJoin._rest
+
+    def spy(self, mixed, parts, tested):
+        met.extend(r.doc for r in mixed.select("doc").distinct().collect())
+        return whole(self, mixed, parts, tested)
+
+    monkeypatch.setattr(ngramjoin.NgramJoin, "_rest", spy)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.NgramJoin(df, 4, "17/20").components().collect()}
+    assert got == brute.components(list(enumerate(texts)), 4, "17/20")
+    assert len(set(c for _, c in got.values())) == 40 and len(set(met)) <= 8
+
+
+def test_pairs_that_are_left_give_all_links(spark, monkeypatch):
+    """Without earlier links, what is left after the sieves and the new order still has all of them;
+    repeated rows and ids with several texts too."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(40)]
+    texts = []
+    for _ in range(12):
+        base = [rng.choice(words) for _ in range(rng.randint(20, 70))]
+        for _ in range(6):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            texts.append(" ".join(copy))
+    star = ngramjoin.NgramJoin._star
+
+    def none(self, lists, parts):
+        links, tested = star(self, lists, parts)
+        return links.limit(0), tested.limit(0)
+
+    monkeypatch.setattr(ngramjoin.NgramJoin, "_star", none)
+    monkeypatch.setattr(ngramjoin, "ROUNDS", 0)
+    rows = list(enumerate(texts))
+    for n, share in ((3, "4/5"), (2, "1/2"), (1, "17/20")):
+        df = spark.createDataFrame([*rows, *rows[::4]], "doc_id long, text string").repartition(3)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngramjoin.NgramJoin(df, n, share).components().collect()}
+        assert got == brute.components(rows, n, share)
+    # an id of two texts links by either of them
+    a, b = ([f"{c}{i}" for i in range(60)] for c in "ab")
+    near = [" ".join([*t[:50], "x", *t[51:]]) for t in (a, b)]
+    df = spark.createDataFrame([(1, " ".join(a)), (1, " ".join(b)), (2, near[0]), (3, near[1])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngramjoin.NgramJoin(df, 3, "4/5").components().collect()}
+    assert got == {1: 1, 2: 1, 3: 1}
+
+
 def test_asked_holds_for_all_pairs_of_sizes():
     for share in ("17/20", "4/5", "1/2", "1/3", "1", "99/100"):
         share = ngramjoin.Fraction(share)
